@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 VECTOR_TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Word/number tokens: maximal runs of letters, or of digits.
 WORD_NUMBER_TOKEN = r"\p{L}+|\p{N}+"
-# Whitespace as Python's str.split() sees it (Unicode White_Space plus \x1c-\x1f).
-PY_WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Whitespace characters as Python's str.split() sees them, written so that
+# both Java regex and RE2 read the class the same way.
+PY_WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+PY_WHITESPACE = "[" + PY_WS_CHARS + "]+"
 # Anything that is neither a word character nor whitespace.
-SYMBOLS = r"(?U)[^\w\s]+"
+SYMBOLS = r"(?U)[^\w" + PY_WS_CHARS + "]+"
 ALNUM = r"^[\p{L}\p{N}]+$"
 
 
