@@ -149,7 +149,10 @@ def long_weights(df: DataFrame, model: TfidfModel, id_col: str, tokens_col: str
     """(id, [extra...], term, feature_idx, weight): one row per non-zero entry."""
     extra = extra or []
     w = weights(df.select(id_col, *extra, tokens_col), model, tokens_col, "_tfidf")
-    return w.select(id_col, *extra, F.inline("_tfidf"))
+    # inline_outer + filter: plain inline would make the optimizer re-evaluate
+    # the weight expression in an inferred size() > 0 filter.
+    return (w.select(id_col, *extra, F.inline_outer("_tfidf"))
+             .where(F.col("term").isNotNull()))
 
 
 def class_centroid(df: DataFrame, model: TfidfModel, id_col: str, class_col: str,

@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from . import bias_q, clean_q, profile_q  # noqa: F401
+    from . import bias_q, clean_q, lang_q, profile_q, tfidf_q  # noqa: F401
