@@ -114,7 +114,7 @@ def bag_of_words(tokens) -> Column:
     Operators should prefer ``with_bag``, which materialises the intermediate
     arrays so none is recomputed per reference.
     """
-    s = F.array_sort(_c(tokens))
+    s = F.sort_array(_c(tokens), asc=True)
     return _bag_from(s, _run_starts(s))
 
 
@@ -148,7 +148,7 @@ def with_bag(df, tokens_col: str, out_col: str = "bag", keep: list[str] | None =
     columns instead of inlining and recomputing them.
     """
     keep = list(keep if keep is not None else [c for c in df.columns if c != tokens_col])
-    step1 = df.select(*keep, F.array_sort(F.col(tokens_col)).alias("_s"))
+    step1 = df.select(*keep, F.sort_array(F.col(tokens_col), asc=True).alias("_s"))
     step2 = step1.select(*keep, "_s", _run_starts(F.col("_s")).alias("_starts"))
     return step2.select(*keep, _bag_from(F.col("_s"), F.col("_starts")).alias(out_col))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_bag, vector_terms, with_bag
@@ -82,7 +82,7 @@ def top_terms(vocab: DataFrame, n: int = 10, by: str = "idf") -> DataFrame:
 
 @dataclass
 class TfidfModel:
-    """A fitted global vocabulary, small enough to ship to every task.
+    """A fitted global vocabulary, small enough to broadcast.
 
     ``terms``/``idfs`` are collected only because ``max_features`` bounds them;
     this is what an ML vectoriser does with its vocabulary.
@@ -95,16 +95,6 @@ class TfidfModel:
     def size(self) -> int:
         return len(self.terms)
 
-    def idf_map(self):
-        return F.create_map(*[x for t, v in zip(self.terms, self.idfs)
-                              for x in (F.lit(t), F.lit(float(v)))]) if self.terms \
-            else F.create_map().cast("map<string,double>")
-
-    def index_map(self):
-        return F.create_map(*[x for i, t in enumerate(self.terms)
-                              for x in (F.lit(t), F.lit(i))]) if self.terms \
-            else F.create_map().cast("map<string,int>")
-
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, float(v)) for i, (t, v) in enumerate(zip(self.terms, self.idfs))]
         return spark.createDataFrame(rows, "feature_idx int, term string, idf double")
@@ -121,38 +111,24 @@ def fit(df: DataFrame, tokens_col: str = "tokens", max_features: int = 1000,
     return TfidfModel([r.term for r in rows], [r.idf for r in rows])
 
 
-def weights(df: DataFrame, model: TfidfModel, tokens_col: str = "tokens",
-            out_col: str = "tfidf") -> DataFrame:
-    """Add array<struct<term, feature_idx, weight>>: L2-normalised tf x idf per row.
-
-    Row-local: no shuffle and no join; the vocabulary travels as a map literal.
-    """
-    bag = with_bag(df, tokens_col, "_bag")
-    vmap = model.idf_map()
-    imap = model.index_map()
-    kept = F.filter(F.col("_bag"), lambda x: F.map_contains_key(vmap, x["term"]))
-    raw = F.transform(kept, lambda x: F.struct(
-        x["term"].alias("term"), F.element_at(imap, x["term"]).alias("feature_idx"),
-        (x["tf"] * F.element_at(vmap, x["term"])).alias("w")))
-    step = bag.withColumn("_raw", raw).drop("_bag")
-    norm = F.sqrt(F.aggregate(F.col("_raw"), F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    out = F.transform(F.col("_raw"), lambda x: F.struct(
-        x["term"].alias("term"), x["feature_idx"].alias("feature_idx"),
-        F.when(F.col("_norm") > 0, x["w"] / F.col("_norm")).otherwise(F.lit(0.0)).alias("weight")))
-    return (step.withColumn("_norm", norm)
-                .withColumn(out_col, out)
-                .drop("_raw", "_norm"))
-
-
 def long_weights(df: DataFrame, model: TfidfModel, id_col: str, tokens_col: str = "tokens",
                  extra: list[str] | None = None) -> DataFrame:
-    """(id, [extra...], term, feature_idx, weight): one row per non-zero entry."""
+    """(id, [extra...], term, feature_idx, weight): one row per non-zero entry.
+
+    Terms are counted inside each row, looked up in the vocabulary with a
+    broadcast hash join (the vocabulary is bounded by ``max_features``), and
+    L2-normalised with a per-document window: one shuffle of the non-zero
+    entries, keyed by document.
+    """
     extra = extra or []
-    w = weights(df.select(id_col, *extra, tokens_col), model, tokens_col, "_tfidf")
-    # inline_outer + filter: plain inline would make the optimizer re-evaluate
-    # the weight expression in an inferred size() > 0 filter.
-    return (w.select(id_col, *extra, F.inline_outer("_tfidf"))
-             .where(F.col("term").isNotNull()))
+    keep = [id_col, *extra]
+    bag = with_bag(df.select(*keep, tokens_col), tokens_col, "_bag", keep=keep)
+    entries = explode_bag(bag, "_bag", keep=keep)
+    vocab = F.broadcast(model.vocabulary(df.sparkSession))
+    w = entries.join(vocab, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return w.select(*keep, "term", "feature_idx",
+                    F.when(norm > 0, F.col("_w") / norm).otherwise(F.lit(0.0)).alias("weight"))
 
 
 def class_centroid(df: DataFrame, model: TfidfModel, id_col: str, class_col: str,
