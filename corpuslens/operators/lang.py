@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, explode_bag, with_bag
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .joins import lookup_join
 
 
@@ -44,8 +44,7 @@ def fit_profiles(df: DataFrame, id_col: str, text_col: str, lang_col: str, n: in
     # The fitted profile is a model: materialise it once in the shared
     # checkpoint folder (lineage cut, survives executor loss) instead of
     # re-deriving it from the training texts for every use.
-    ensure_checkpoint_dir(df.sparkSession)
-    profile = profile.checkpoint(eager=True)
+    profile = materialize(profile)
     vocab_size = profile.select(F.countDistinct("term")).scalar()
     priors = (profile.groupBy("lang").agg(F.sum("c").alias("n_lang"))
                      .withColumn("v", vocab_size))

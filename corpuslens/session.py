@@ -52,3 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="corpuslens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and return the re-read table.
+
+    For derived tables used several times (fitted dictionaries, profiles,
+    confusion tables): computed once, lineage cut, safe on executor loss.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
