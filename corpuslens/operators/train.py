@@ -76,22 +76,24 @@ def logistic(train: DataFrame, label: str = "label", features: str = "features",
 def boosted_ovr(train: DataFrame, classes: list[int], label: str = "label",
                 features: str = "features", max_iter: int = 500, depth: int = 6,
                 step: float = 0.3, validation_col: str | None = None, seed: int = 42,
-                tol: float = 0.01) -> dict:
+                tol: float = 0.01, parallelism: int = 4) -> dict:
     """One binary GBT per class (M2/M3), early-stopped on ``validation_col`` rows.
 
     ``OneVsRest`` is avoided on purpose: its inner models carry a generated
     label column, which breaks ``evaluateEachIteration`` on them.
     """
-    models = {}
-    for c in classes:
+    def fit_one(c):
         data = train.withColumn("_bin", (F.col(label) == F.lit(c)).cast("double"))
         gbt = GBTClassifier(labelCol="_bin", featuresCol=features, maxIter=max_iter,
                             maxDepth=depth, stepSize=step, seed=seed, validationTol=tol,
                             checkpointInterval=10)
         if validation_col:
             gbt = gbt.setValidationIndicatorCol(validation_col)
-        models[c] = gbt.fit(data)
-    return models
+        return c, gbt.fit(data)
+
+    # The per-class models are independent: fit them as concurrent Spark jobs
+    # (each boosting round is a small job that leaves most cores idle).
+    return dict(_parallel(fit_one, classes, parallelism))
 
 
 def ovr_predict(models: dict, df: DataFrame, features: str = "features",
@@ -114,10 +116,18 @@ def ovr_predict(models: dict, df: DataFrame, features: str = "features",
 
 def history(models: dict, df: DataFrame, label: str = "label") -> list[tuple[int, int, float]]:
     """(class, iteration, held-out log-loss of the binary model) per boosting round."""
-    out = []
-    for c, m in sorted(models.items()):
+    def one(item):
+        c, m = item
         data = df.withColumn("_bin", (F.col(label) == F.lit(c)).cast("double"))
-        losses = m.evaluateEachIteration(data.withColumnRenamed("_bin", m.getLabelCol())
-                                         if m.getLabelCol() != "_bin" else data)
-        out.extend((c, i + 1, float(v)) for i, v in enumerate(losses))
-    return out
+        return [(c, i + 1, float(v)) for i, v in enumerate(m.evaluateEachIteration(data))]
+
+    return [row for rows in _parallel(one, sorted(models.items()), 4) for row in rows]
+
+
+def _parallel(fn, items, parallelism: int):
+    """Run ``fn`` over ``items`` from driver threads (concurrent Spark jobs)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(fn, items))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_bag, vector_terms, with_bag
 from ..operators import bias, clean, evaluate, explain, features, sample, tfidf, train
+from ..session import materialize
 from ..sources.io import read_table
 from .bias_q import sql_max_other, sql_vocab
 from .registry import query
@@ -28,10 +29,15 @@ def model_table(spark, sf_dir):
 
 
 def prepared(spark, sf_dir):
+    """Feature table (sparse TF-IDF + counts), written once to the shared
+    checkpoint folder: every model fit and scoring pass reads it instead of
+    re-running cleaning and vectorising."""
     d = model_table(spark, sf_dir)
     model = tfidf.fit(d.where(F.col("split") == "train"), "tokens", max_features=MAX_FEATURES)
     fs = train.feature_space(model)
-    return fs.transform(d), fs
+    table = fs.transform(d).select("doc_id", "class", "label", "split", "tokens",
+                                   "nr_of_words", "nr_of_characters", "features")
+    return materialize(table), fs
 
 
 def fitted_forest(spark, sf_dir):
@@ -180,3 +186,35 @@ def biased_words_attribution(spark, sf_dir):
            .otherwise(F.round("rel_diff", 6))
     return out.select("class", "term", F.round("score", 9).alias("score"),
                       F.round("max_other", 9).alias("max_other"), rel.alias("rel_diff"))
+
+
+# ----------------------------------------------- boosted trees (one-vs-rest)
+
+BOOST_ROUNDS = 500
+BOOST_DEPTH = 6
+BOOST_STEP = 0.3
+
+
+def fitted_boosted(spark, sf_dir):
+    """One binary GBT per class; the held-out split is the early-stopping set."""
+    d, fs = prepared(spark, sf_dir)
+    d = d.withColumn("_is_val", F.col("split") == "test")
+    classes = [int(r.label) for r in d.select("label").distinct().collect()]
+    models = train.boosted_ovr(d, sorted(classes), max_iter=BOOST_ROUNDS, depth=BOOST_DEPTH,
+                               step=BOOST_STEP, validation_col="_is_val", seed=SEED)
+    return d, fs, models
+
+
+@query("boosted_accuracy")
+def boosted_accuracy(spark, sf_dir):
+    d, _, models = fitted_boosted(spark, sf_dir)
+    pred = train.ovr_predict(models, d.where(F.col("split") == "test"))
+    return evaluate.accuracy(pred, "label", "prediction")
+
+
+@query("boosted_history")
+def boosted_history(spark, sf_dir):
+    """(class, iteration, held-out log-loss) per boosting round of each binary model."""
+    d, _, models = fitted_boosted(spark, sf_dir)
+    rows = train.history(models, d.where(F.col("split") == "test"))
+    return spark.createDataFrame(rows, "label int, iteration int, log_loss double")
