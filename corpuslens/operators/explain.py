@@ -43,12 +43,17 @@ def importance(spark: SparkSession, model, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature_idx int, feature_name string, importance double")
 
 
-def node_table(spark: SparkSession, model) -> DataFrame:
-    """Tree nodes of a saved tree-ensemble model: (tree_id, node_id, feature_idx, gain,
-    left, right, count). Saved under the session's shared checkpoint folder."""
+def saved_tree_data(spark: SparkSession, model) -> DataFrame:
+    """The raw node rows (treeID, nodeData) of a tree-ensemble model, saved under
+    the session's shared checkpoint folder and read back as a table."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/{uuid.uuid4().hex}"
     model.write().overwrite().save(base)
-    data = spark.read.parquet(base + "/data")
+    return spark.read.parquet(base + "/data")
+
+
+def node_table(spark: SparkSession, model) -> DataFrame:
+    """Tree nodes: (tree_id, node_id, feature_idx, gain, left, right, count, prediction)."""
+    data = saved_tree_data(spark, model)
     return data.select(
         F.col("treeID").alias("tree_id"), F.col("nodeData.id").alias("node_id"),
         F.col("nodeData.split.featureIndex").alias("feature_idx"),
@@ -164,3 +169,14 @@ def presence_mean_abs(weights: DataFrame, test_presence: DataFrame, n_rows,
     m = F.col("_nnz") / n
     val = (F.col("_nnz") * F.abs(F.col("w") * (1 - m)) + (n - F.col("_nnz")) * F.abs(F.col("w") * m)) / n
     return j.select(class_col, term_col, val.alias("mean_abs"))
+
+
+def row_importance(phi: DataFrame, n_classes, id_col: str = "doc_id") -> DataFrame:
+    """Mean over classes of |phi| per (row, feature); absent entries are 0."""
+    return (phi.groupBy(id_col, "feature_idx")
+               .agg((F.sum(F.abs("phi")) / F.lit(n_classes)).alias("importance")))
+
+
+def mean_abs_by_class(phi: DataFrame, n_rows) -> DataFrame:
+    """Mean |phi| per (label, feature) over ``n_rows`` rows; absent entries are 0."""
+    return phi.groupBy("label", "feature_idx").agg((F.sum(F.abs("phi")) / n_rows).alias("mean_abs"))

@@ -104,3 +104,44 @@ def detect_with(df: DataFrame, text_col: str, make_predict_fn, out: str = "langu
 
     udf = predict_batch_udf(make, return_type=StringType(), batch_size=batch_size)
     return df.withColumn(out, udf(F.col(text_col)))
+
+
+def profile_model(profile: DataFrame, priors: DataFrame, max_rows: int = 2_000_000):
+    """Bring a fitted trigram profile to the driver as a plain-Python scorer factory.
+
+    Used to run the same model through the batch-inference path (L2). Refuses
+    profiles above ``max_rows`` rows instead of collecting an unbounded table.
+    """
+    from .joins import fits_broadcast
+
+    if not fits_broadcast(profile, max_rows):
+        raise ValueError(f"profile has more than {max_rows} rows; use detect() instead")
+    counts: dict[str, dict[str, int]] = {}
+    for r in profile.collect():
+        counts.setdefault(r["lang"], {})[r["term"]] = int(r["c"])
+    lognv = {r["lang"]: float(r["n_lang"] + r["v"]) for r in priors.collect()}
+
+    def make_predict_fn():
+        import math
+        from collections import Counter
+
+        logs = {lang: math.log(v) for lang, v in lognv.items()}
+        langs = sorted(logs)
+
+        def predict(texts):
+            out = []
+            for t in texts:
+                low = t.lower()
+                grams = Counter(low[i:i + 3] for i in range(len(low) - 2))
+                k = sum(grams.values())
+                best = None
+                for lang in langs:
+                    c = counts.get(lang, {})
+                    s = sum(n * math.log(c.get(g, 0) + 1.0) for g, n in grams.items()) - k * logs[lang]
+                    if best is None or s > best[0]:
+                        best = (s, lang)
+                out.append(best[1])
+            return out
+        return predict
+
+    return make_predict_fn

@@ -92,3 +92,16 @@ def class_report(spark, sf_dir):
     r = evaluate.report(detected(spark, sf_dir), "lang", "predicted")
     return r.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall")],
                     "support", F.round("f1", 9).alias("f1"))
+
+
+@query("lang_detect_batch")
+def lang_detect_batch(spark, sf_dir):
+    """The same trigram model run as a user model through batched inference
+    (model built once per Python worker, texts scored in Arrow batches)."""
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "lang", "text")
+    docs = sample.hash_split(docs, "doc_id", 0.8, seed=SEED)
+    profile, priors = lang.fit_profiles(docs.where(F.col("split") == "train"),
+                                        "doc_id", "text", "lang")
+    make = lang.profile_model(profile, priors)
+    test = docs.where(F.col("split") == "test")
+    return lang.detect_with(test, "text", make, out="predicted").select("doc_id", "lang", "predicted")

@@ -218,3 +218,38 @@ def boosted_history(spark, sf_dir):
     d, _, models = fitted_boosted(spark, sf_dir)
     rows = train.history(models, d.where(F.col("split") == "test"))
     return spark.createDataFrame(rows, "label int, iteration int, log_loss double")
+
+
+# ----------------------------------------------- TreeSHAP on the forest
+
+def _forest_shap(spark, sf_dir):
+    from ..operators import treeshap
+
+    d, fs, rf = fitted_forest(spark, sf_dir)
+    codes = features.class_codes(d, "class").select(F.col("label").cast("int").alias("label"),
+                                                    "class")
+    n_classes = rf.numClasses
+    trees = treeshap.forest_trees(spark, rf, n_classes)
+    test = d.where(F.col("split") == "test")
+    phi = treeshap.tree_shap(test, "doc_id", "features", trees, len(fs.names))
+    return d, fs, test, phi, codes, n_classes
+
+
+@query("tree_attribution_top")
+def tree_attribution_top(spark, sf_dir):
+    """Mean |TreeSHAP| of the forest per class and feature, top 10 per class."""
+    _, fs, test, phi, codes, _ = _forest_shap(spark, sf_dir)
+    n_test = test.select(F.count(F.lit(1))).scalar()
+    ma = explain.mean_abs_by_class(phi, n_test)
+    named = (ma.join(F.broadcast(codes), "label")
+               .join(F.broadcast(explain.names_table(spark, fs.names)), "feature_idx"))
+    return explain.top_features(named.select("class", "feature_name", "mean_abs"), TOP_N)
+
+
+@query("row_importance")
+def row_importance(spark, sf_dir):
+    """Per test row and feature: mean over classes of |TreeSHAP| (non-zero entries)."""
+    _, fs, _, phi, _, n_classes = _forest_shap(spark, sf_dir)
+    imp = explain.row_importance(phi, n_classes)
+    return imp.join(F.broadcast(explain.names_table(spark, fs.names)), "feature_idx") \
+              .select("doc_id", "feature_name", "importance")

@@ -11,8 +11,8 @@ from .conftest import SF_SMALL
 
 TABLES = ["documents", "labels", "pages", "orders", "events"]
 SLOW = {"forest_accuracy", "forest_report", "forest_importance", "gain_importance",
-        "interactions", "logistic_attribution_top", "boosted_ovr", "tree_attribution",
-        "permutation_importance", "boosted_history"}
+        "interactions", "logistic_attribution_top", "boosted_accuracy", "boosted_history",
+        "tree_attribution_top", "row_importance"}
 
 
 def _norm(v):
