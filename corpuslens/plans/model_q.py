@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_bag, vector_terms, with_bag
-from ..operators import bias, clean, evaluate, explain, features, sample, tfidf, train
+from ..operators import (bias, clean, evaluate, explain, features, permutation, sample,
+                         tfidf, train)
 from ..session import materialize
 from ..sources.io import read_table
 from .bias_q import sql_max_other, sql_vocab
@@ -85,6 +88,19 @@ def interactions(spark, sf_dir):
     return explain.interactions(nodes, explain.names_table(spark, fs.names))
 
 
+def feature_entries(df, fs):
+    """(doc_id, feature_idx, value): the non-zero entries of the feature vectors,
+    built natively (TF-IDF weights from the bag of words, then the counts)."""
+    terms = tfidf.long_weights(df, fs.tfidf, "doc_id", "tokens").select(
+        "doc_id", "feature_idx", F.col("weight").alias("value"))
+    v = fs.tfidf.size
+    nums = df.select("doc_id", F.explode(F.array(*[
+        F.struct(F.lit(v + i).alias("feature_idx"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(fs.numeric)])).alias("e")) \
+        .select("doc_id", "e.feature_idx", "e.value").where(F.col("value") != 0)
+    return terms.unionByName(nums)
+
+
 @query("logistic_attribution_top")
 def logistic_attribution_top(spark, sf_dir):
     """Exact linear attributions of a multinomial logistic regression, top 10 per class."""
@@ -94,24 +110,16 @@ def logistic_attribution_top(spark, sf_dir):
     coef = explain.coefficient_table(spark, lr, codes)
     test = d.where(F.col("split") == "test")
     n_test = test.select(F.count(F.lit(1))).scalar()
-    model = fs.tfidf
-    terms = tfidf.long_weights(test, model, "doc_id", "tokens").select(
-        "doc_id", "feature_idx", F.col("weight").alias("value"))
-    v = model.size
-    nums = test.select("doc_id", F.explode(F.array(
-        F.struct(F.lit(v).alias("feature_idx"), F.col("nr_of_words").cast("double").alias("value")),
-        F.struct(F.lit(v + 1).alias("feature_idx"),
-                 F.col("nr_of_characters").cast("double").alias("value")))).alias("e")) \
-        .select("doc_id", "e.feature_idx", "e.value").where(F.col("value") != 0)
-    entries = terms.unionByName(nums)
-    ma = explain.linear_mean_abs(entries, coef, n_test)
+    ma = explain.linear_mean_abs(feature_entries(test, fs), coef, n_test)
     named = ma.join(F.broadcast(explain.names_table(spark, fs.names)), "feature_idx")
     return explain.top_features(named, TOP_N)
 
 
 # ----------------------------------------------- closed-form presence model
 
-def _presence(spark, sf_dir):
+def _presence_model(spark, sf_dir):
+    """Documents, term presence, class log-odds weights and class sizes of the
+    closed-form presence model (vocabulary: the training split's top terms)."""
     docs = read_table(spark, sf_dir, "documents", spread=True).select(
         "doc_id", F.col("lang").alias("class"), vector_terms("text").alias("tokens"))
     docs = sample.hash_split(docs, "doc_id", 0.8, seed=SEED)
@@ -125,6 +133,11 @@ def _presence(spark, sf_dir):
     w = explain.presence_weights(
         pres.where((F.col("split") == "train") & F.col("class").isNotNull()),
         sizes, "class", classes)
+    return docs, pres, w, sizes, vocab
+
+
+def _presence(spark, sf_dir):
+    docs, pres, w, _, _ = _presence_model(spark, sf_dir)
     n_test = docs.where(F.col("split") == "test").select(F.count(F.lit(1))).scalar()
     return explain.presence_mean_abs(w, pres.where(F.col("split") == "test"), n_test)
 
@@ -188,6 +201,102 @@ def biased_words_attribution(spark, sf_dir):
                       F.round("max_other", 9).alias("max_other"), rel.alias("rel_diff"))
 
 
+# ----------------------------------------------- permutation importance
+
+PERM_REPEATS = 10
+
+
+def _presence_permutation(spark, sf_dir):
+    """Class-wise permutation importance of the presence model on the test split.
+
+    Prediction: argmax_c ln(n_c / n) + sum of w(c, t) over the terms present.
+    """
+    docs, pres, w, sizes, vocab = _presence_model(spark, sf_dir)
+    rows = docs.where((F.col("split") == "test") & F.col("class").isNotNull()) \
+               .select("doc_id", F.col("class").alias("label"))
+    entries = (pres.where(F.col("split") == "test").join(rows.select("doc_id"), "doc_id")
+                   .select("doc_id", "term", F.lit(1.0).alias("value")))
+    n_c = {r["class"]: r["n_c"] for r in sizes.collect()}   # one row per class
+    total = sum(n_c.values())
+    intercepts = {c: math.log(k / total) for c, k in n_c.items()}
+    return permutation.permutation_importance(rows, entries, w, intercepts, vocab,
+                                              n_repeats=PERM_REPEATS, seed=SEED,
+                                              feature_col="term")
+
+
+@query("permutation_importance", sql=f"""
+WITH {_presence_sql()},
+rws AS (SELECT doc_id, class AS label FROM docs WHERE split = 'test' AND class IS NOT NULL),
+nr AS (SELECT count(*) AS n FROM rws),
+b AS (SELECT class AS cls, ln(n_c / (SELECT n FROM nall)) AS b FROM nc),
+ent AS (SELECT p.doc_id, p.term, 1.0 AS x FROM pres p JOIN rws USING (doc_id) WHERE p.split = 'test'),
+contrib AS (SELECT e.doc_id, w.class AS cls, sum(e.x * w.w) AS s
+            FROM ent e JOIN w ON w.term = e.term GROUP BY 1, 2),
+sc AS (SELECT r.doc_id, b.cls, b.b + coalesce(c.s, 0) AS score
+       FROM rws r CROSS JOIN b LEFT JOIN contrib c ON c.doc_id = r.doc_id AND c.cls = b.cls),
+pr AS (SELECT doc_id, cls AS pred FROM (
+         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cls) AS rn FROM sc)
+       WHERE rn = 1),
+rk AS (SELECT doc_id, row_number() OVER (
+         ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '{SEED}')), doc_id) - 1 AS rho FROM rws),
+fr AS (SELECT term, rep,
+              1 + CAST(('0x' || substr(md5(concat_ws('|', term, CAST(rep AS VARCHAR), '{SEED}')), 1, 8))
+                       AS BIGINT) % ((SELECT n FROM nr) - 1) AS shift
+       FROM (SELECT term FROM v) CROSS JOIN (SELECT unnest(range(0, {PERM_REPEATS})) AS rep)),
+er AS (SELECT e.term, fr.rep, fr.shift, rk.rho, e.x FROM ent e JOIN rk USING (doc_id) JOIN fr USING (term)),
+own AS (SELECT term, rep, rho, x AS x_own FROM er),
+don AS (SELECT term, rep, (((rho - shift) % (SELECT n FROM nr)) + (SELECT n FROM nr)) % (SELECT n FROM nr) AS rho,
+               x AS x_don FROM er),
+ch AS (SELECT coalesce(o.term, d.term) AS term, coalesce(o.rep, d.rep) AS rep,
+              coalesce(o.rho, d.rho) AS rho, coalesce(d.x_don, 0) - coalesce(o.x_own, 0) AS delta
+       FROM own o FULL OUTER JOIN don d ON o.term = d.term AND o.rep = d.rep AND o.rho = d.rho),
+ch2 AS (SELECT ch.term, ch.rep, rk.doc_id, ch.delta FROM ch JOIN rk USING (rho) WHERE ch.delta <> 0),
+ns AS (SELECT ch2.term, ch2.rep, ch2.doc_id, sc.cls, sc.score + coalesce(w.w, 0) * ch2.delta AS score
+       FROM ch2 JOIN sc USING (doc_id) LEFT JOIN w ON w.class = sc.cls AND w.term = ch2.term),
+np AS (SELECT term, rep, doc_id, cls AS pred2 FROM (
+         SELECT *, row_number() OVER (PARTITION BY term, rep, doc_id ORDER BY score DESC, cls) AS rn
+         FROM ns) WHERE rn = 1),
+fl AS (SELECT np.term, pr.pred AS cls, CASE WHEN r.label <> pr.pred THEN 1 ELSE -1 END AS d
+       FROM np JOIN pr USING (doc_id) JOIN rws r USING (doc_id) WHERE np.pred2 <> pr.pred
+       UNION ALL
+       SELECT np.term, np.pred2 AS cls, CASE WHEN r.label = np.pred2 THEN 1 ELSE -1 END AS d
+       FROM np JOIN pr USING (doc_id) JOIN rws r USING (doc_id) WHERE np.pred2 <> pr.pred),
+g AS (SELECT cls, term, sum(d) AS gain FROM fl GROUP BY 1, 2),
+imp AS (SELECT b.cls AS class, v.term,
+               -coalesce(g.gain, 0) / ({PERM_REPEATS}.0 * (SELECT n FROM nr)) AS importance
+        FROM v CROSS JOIN b LEFT JOIN g ON g.cls = b.cls AND g.term = v.term)
+SELECT class, term, round(importance, 9) AS importance, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY class ORDER BY importance DESC, term) AS BIGINT)
+            AS rank FROM imp) WHERE rank <= {TOP_N}""")
+def permutation_importance(spark, sf_dir):
+    """Top 10 terms per class by permutation importance (10 repeats) of the presence model."""
+    imp = _presence_permutation(spark, sf_dir)
+    top = explain.top_features(imp, TOP_N, feature_col="term", score_col="importance")
+    return top.select("class", "term", F.round("importance", 9).alias("importance"), "rank")
+
+
+@query("logistic_permutation")
+def logistic_permutation(spark, sf_dir):
+    """Top 10 features per class by permutation importance of the multinomial
+    logistic regression (TF-IDF + counts), exact on the sparse entries."""
+    d, fs = prepared(spark, sf_dir)
+    lr = train.logistic(d.where(F.col("split") == "train"))
+    codes = [r["class"] for r in features.class_codes(d, "class").orderBy("label").collect()]
+    coef = explain.coefficient_table(spark, lr, codes)
+    b = lr.interceptVector.toArray()
+    intercepts = {codes[i]: float(b[i]) for i in range(len(codes))}
+    test = d.where((F.col("split") == "test") & F.col("class").isNotNull())
+    rows = test.select("doc_id", F.col("class").alias("label"))
+    entries = feature_entries(test, fs)
+    names = explain.names_table(spark, fs.names)
+    imp = permutation.permutation_importance(rows, entries, coef, intercepts,
+                                             names.select("feature_idx"),
+                                             n_repeats=PERM_REPEATS, seed=SEED)
+    named = imp.join(F.broadcast(names), "feature_idx")
+    return explain.top_features(named.select("class", "feature_name", "importance"), TOP_N,
+                                score_col="importance")
+
+
 # ----------------------------------------------- boosted trees (one-vs-rest)
 
 BOOST_ROUNDS = 500
