@@ -56,6 +56,15 @@ def feature_space(model: TfidfModel, tokens_col: str = "tokens",
     return FeatureSpace(model, PipelineModel(stages=stages), tuple(numeric))
 
 
+def bow_space(model: TfidfModel, tokens_col: str = "tokens",
+              numeric: tuple[str, ...] = NUMERIC_FEATURES, out: str = "features") -> FeatureSpace:
+    """Binary bag of words over a fitted vocabulary, plus the numeric columns (M3)."""
+    cv = CountVectorizerModel.from_vocabulary(model.terms or ["<empty>"], inputCol=tokens_col,
+                                              outputCol="_bow", binary=True)
+    va = VectorAssembler(inputCols=["_bow", *numeric], outputCol=out, handleInvalid="keep")
+    return FeatureSpace(model, PipelineModel(stages=[cv, va]), tuple(numeric))
+
+
 def forest(train: DataFrame, label: str = "label", features: str = "features",
            num_trees: int = 100, max_depth: int = 30, seed: int = 42):
     """Random forest (M1); Spark caps depth at 30 where the reference grows trees fully."""

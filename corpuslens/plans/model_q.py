@@ -329,6 +329,54 @@ def boosted_history(spark, sf_dir):
     return spark.createDataFrame(rows, "label int, iteration int, log_loss double")
 
 
+@query("boosted_importance")
+def boosted_importance(spark, sf_dir):
+    """Top 10 features of each class's binary model by its own importance."""
+    d, fs, models = fitted_boosted(spark, sf_dir)
+    codes = {int(r.label): r["class"] for r in features.class_codes(d, "class").collect()}
+    per_class = [explain.importance(spark, m, fs.names).withColumn("class", F.lit(codes[c]))
+                 for c, m in sorted(models.items())]
+    imp = per_class[0]
+    for t in per_class[1:]:
+        imp = imp.unionByName(t)
+    return explain.top_features(imp, TOP_N, score_col="importance") \
+        .select("class", "feature_name", "importance", "rank")
+
+
+# ----------------------------------------------- boosted trees on a bag of words (M3)
+
+BOW_STEP = 0.1
+
+
+def prepared_bow(spark, sf_dir):
+    """Word/number tokens (X18), binary bag of words over the training
+    vocabulary plus the two counts; written once to the checkpoint folder."""
+    docs = read_table(spark, sf_dir, "documents", spread=True).select(
+        "doc_id", F.col("lang").alias("class"), "text")
+    docs = clean.clean_table(docs, "text", "tokens")
+    docs = features.label_encode(docs, "class", "label")
+    docs = docs.withColumn("tokens", F.split("clean_post", " "))
+    docs = docs.withColumn("label", F.col("label").cast("double"))
+    d = sample.hash_split(docs, "doc_id", 0.8, seed=SEED)
+    model = tfidf.fit(d.where(F.col("split") == "train"), "tokens", max_features=MAX_FEATURES)
+    fs = train.bow_space(model)
+    table = fs.transform(d).select("doc_id", "class", "label", "split", "features")
+    return materialize(table), fs
+
+
+@query("boosted_bow_accuracy")
+def boosted_bow_accuracy(spark, sf_dir):
+    """M3: one-vs-rest boosted trees (rate 0.1, depth 6, up to 500 rounds, early
+    stopping on the held-out split) on the binary bag of words; accuracy."""
+    d, _ = prepared_bow(spark, sf_dir)
+    d = d.where(F.col("label").isNotNull()).withColumn("_is_val", F.col("split") == "test")
+    classes = sorted(int(r.label) for r in d.select("label").distinct().collect())
+    models = train.boosted_ovr(d, classes, max_iter=BOOST_ROUNDS, depth=BOOST_DEPTH,
+                               step=BOW_STEP, validation_col="_is_val", seed=SEED)
+    pred = train.ovr_predict(models, d.where(F.col("split") == "test"))
+    return evaluate.accuracy(pred, "label", "prediction")
+
+
 # ----------------------------------------------- TreeSHAP on the forest
 
 def _forest_shap(spark, sf_dir):

@@ -34,3 +34,27 @@ def test_batch_inference_equals_native(spark):
 def test_boosted_runs(spark):
     acc = E.queries()["boosted_accuracy"](spark, SF_SMALL).collect()[0]
     assert acc.accuracy > 0.7
+
+
+def test_boosted_importance_per_class(spark):
+    rows = E.queries()["boosted_importance"](spark, SF_SMALL).collect()
+    by_class = {}
+    for r in rows:
+        by_class.setdefault(r["class"], []).append(r)
+    assert len(by_class) >= 2
+    for rs in by_class.values():
+        rs.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rs] == list(range(1, len(rs) + 1))
+        assert all(a.importance >= b.importance for a, b in zip(rs, rs[1:]))
+        # each binary model's importances sum to 1, so its top 10 sum to at most 1
+        assert sum(r.importance for r in rs) <= 1 + 1e-9
+
+
+def test_boosted_bag_of_words(spark):
+    d, fs = model_q.prepared_bow(spark, SF_SMALL)
+    v = d.select("features").first().features
+    assert v.size == len(fs.names)
+    # binary presence for the terms, raw counts for the two numerics
+    assert set(v.values[v.indices < fs.tfidf.size]) <= {1.0}
+    acc = E.queries()["boosted_bow_accuracy"](spark, SF_SMALL).collect()[0]
+    assert acc.accuracy > 0.7
