@@ -91,18 +91,31 @@ def join_tokens(tokens, sep: str = " ") -> Column:
 def char_ngrams(col, n: int = 3) -> Column:
     """All character n-grams of the whole string, in order (empty when shorter).
 
-    The string is split into code points once and the n-grams are built by
-    zipping shifted copies, so the cost is linear in the text length (a
-    ``substring`` per position would rescan UTF-8 from the start each time).
+    One regex pass: a zero-width lookahead at every position captures the n
+    code points that start there, so the cost is linear in the text length and
+    stays in the JVM (no per-character array or lambda functions).
     """
-    chars = F.regexp_extract_all(_c(col), F.lit("(?s)."), 0)
-    size = F.size(chars)
-    grams = chars
-    for k in range(1, n):
-        shifted = F.slice(chars, k + 1, size)
-        grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, b))
-    grams = F.filter(grams, lambda g: g.isNotNull())
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+    grams = F.regexp_extract_all(_c(col), F.lit(f"(?s)(?=(.{{{int(n)}}}))"), 1)
+    return F.coalesce(grams, F.array().cast("array<string>"))
+
+
+def term_counts(df, tokens_col: str, keys: list[str]):
+    """(keys..., term, df, tf): per key, the rows containing each term (df) and
+    its occurrences (tf).
+
+    Each row emits its tokens followed by its distinct tokens
+    (``array_distinct``, hash based); ``posexplode`` tells the two parts apart
+    by position. One generator and one map-side-combined aggregation, all in
+    generated code: no per-row sort and no lambda functions.
+    """
+    step = df.select(*keys, F.col(tokens_col).alias("_t"))
+    step = step.select(*keys, F.size("_t").alias("_n"),
+                       F.concat(F.col("_t"), F.array_distinct("_t")).alias("_a"))
+    rows = step.select(*keys, "_n", F.posexplode("_a").alias("_p", "term"))
+    occ = F.col("_p") < F.col("_n")
+    return rows.groupBy(*keys, "term").agg(
+        F.sum(F.when(occ, 0).otherwise(1)).cast("bigint").alias("df"),
+        F.sum(F.when(occ, 1).otherwise(0)).cast("bigint").alias("tf"))
 
 
 def bag_of_words(tokens) -> Column:

@@ -22,25 +22,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, explode_bag, with_bag
+from ..functions.text import char_ngrams
 from ..session import materialize
 from .joins import lookup_join
 
 
-def doc_trigrams(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None,
-                 n: int = 3) -> DataFrame:
-    """(id, [keep...], term=trigram, tf=count in the doc); counted inside the row."""
-    keep = [id_col, *(keep or [])]
+def trigram_rows(df: DataFrame, text_col: str, keep: list[str], n: int = 3) -> DataFrame:
+    """([keep...], term): one row per trigram occurrence of the lowercased text.
+
+    The rows are never shuffled as such: each consumer aggregates them
+    map-side in the same stage (profile counts, per-document scores).
+    """
     grams = df.select(*keep, char_ngrams(F.lower(F.col(text_col)), n).alias("_g"))
-    return explode_bag(with_bag(grams, "_g", "_bag", keep=keep), "_bag", keep=keep)
+    return grams.select(*keep, F.explode("_g").alias("term"))
 
 
 def fit_profiles(df: DataFrame, id_col: str, text_col: str, lang_col: str, n: int = 3):
     """Return (profile(lang, term, c), priors(lang, n_lang, v)) from labelled texts."""
     base = df.where(F.col(lang_col).isNotNull())
-    grams = doc_trigrams(base, id_col, text_col, keep=[lang_col], n=n)
+    grams = trigram_rows(base, text_col, [lang_col], n=n)
     profile = (grams.groupBy(F.col(lang_col).alias("lang"), "term")
-                    .agg(F.sum("tf").alias("c")))
+                    .agg(F.count(F.lit(1)).alias("c")))
     # The fitted profile is a model: materialise it once in the shared
     # checkpoint folder (lineage cut, survives executor loss) instead of
     # re-deriving it from the training texts for every use.
@@ -59,12 +61,13 @@ def detect(df: DataFrame, id_col: str, text_col: str, profile: DataFrame, priors
     low = F.lower(F.col(text_col))
     with_k = df.withColumn("_k", F.greatest(F.coalesce(F.length(low), F.lit(0)) - (n - 1),
                                             F.lit(0)).cast("double"))
-    grams = doc_trigrams(with_k, id_col, text_col, keep=["_k"], n=n)
+    grams = trigram_rows(with_k, text_col, [id_col, "_k"], n=n)
     # Hot trigrams occur in most documents: broadcast the profile when it is
-    # proven small, otherwise salt the trigram key.
+    # proven small, otherwise salt the trigram key. Occurrences are summed per
+    # (document, language) in the join's own stage.
     matched = lookup_join(grams, profile, ["term"], salt_from=[id_col, "term"])
     partial = (matched.groupBy(id_col, "_k", "lang")
-                      .agg(F.sum(F.col("tf") * F.log(F.col("c") + F.lit(1.0))).alias("_gain")))
+                      .agg(F.sum(F.log(F.col("c") + F.lit(1.0))).alias("_gain")))
     # One row per language: bounded by the label set.
     pri = F.broadcast(priors.select("lang", F.log(F.col("n_lang") + F.col("v")).alias("_lognv")))
     scored = (partial.join(pri, "lang")

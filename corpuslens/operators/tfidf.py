@@ -8,9 +8,11 @@ Definitions (fixed to match the reference's vectoriser defaults):
 * idf = ln((1 + n) / (1 + df)) + 1 with n = documents in the scope (smoothed);
 * document vectors: raw count x idf, L2-normalised per document.
 
-Plan shape: tokens are counted per document inside the row (no shuffle), then
-one map-side-combined aggregation by (scope, term). The vocabulary cut is the
-skew-safe ``top_k``. Per-class fits are one pass over the data for all classes.
+Plan shape: each document emits its tokens and its distinct tokens
+(``functions.text.term_counts``), then one map-side-combined aggregation by
+(scope, term) gives df and tf; no per-document shuffle. The vocabulary cut is
+the skew-safe ``top_k``. Per-class fits are one pass over the data for all
+classes, and ``idf_scopes`` adds the global scope to the same pass.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_bag, vector_terms, with_bag
+from ..functions.text import explode_bag, term_counts, vector_terms, with_bag
 from .topk import top_k
 
 GLOBAL = "__all__"
@@ -36,10 +38,7 @@ def term_stats(df: DataFrame, tokens_col: str, class_col: str | None = None) ->
     base = df.select(scope.alias("class"), F.col(tokens_col))
     if class_col:
         base = base.where(F.col("class").isNotNull())
-    bag = with_bag(base, tokens_col, "bag", keep=["class"])
-    exploded = explode_bag(bag, "bag", keep=["class"])
-    return exploded.groupBy("class", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return term_counts(base, tokens_col, ["class"])
 
 
 def doc_counts(df: DataFrame, class_col: str | None = None) -> DataFrame:
@@ -57,13 +56,36 @@ def idf_by(df: DataFrame, tokens_col: str = "tokens", class_col: str | None = No
 
     ``class_col=None`` fits one global vocabulary (class = ``GLOBAL``).
     """
-    stats = term_stats(df, tokens_col, class_col).where(F.col("df") >= F.lit(min_df))
+    return _vocab(term_stats(df, tokens_col, class_col), doc_counts(df, class_col),
+                  min_df, max_features)
+
+
+def idf_scopes(df: DataFrame, tokens_col: str, class_col: str, min_df: int = 1,
+               max_features: int | None = None) -> DataFrame:
+    """Per-class and global vocabularies in one table from one pass over the tokens.
+
+    Each (document, term) row counts for its class and for the global scope
+    (``class = GLOBAL``): one aggregation, one ranking window (partitioned by
+    scope) and one scan serve both, instead of tokenising and shuffling the
+    corpus twice. Documents with a NULL class are left out of both scopes.
+    """
+    base = df.where(F.col(class_col).isNotNull()).select(
+        F.explode(F.array(F.col(class_col), F.lit(GLOBAL))).alias("class"), F.col(tokens_col))
+    stats = term_counts(base, tokens_col, ["class"])
+    counts = (df.where(F.col(class_col).isNotNull())
+                .select(F.explode(F.array(F.col(class_col), F.lit(GLOBAL))).alias("class"))
+                .groupBy("class").agg(F.count(F.lit(1)).alias("n_docs")))
+    return _vocab(stats, counts, min_df, max_features)
+
+
+def _vocab(stats: DataFrame, counts: DataFrame, min_df: int,
+           max_features: int | None) -> DataFrame:
+    stats = stats.where(F.col("df") >= F.lit(min_df))
     if max_features is not None:
         stats = top_k(stats, ["class"], [F.col("tf").desc(), F.col("term").asc()],
                       max_features, rank_col="_tf_rank", salt_on=["term"]).drop("_tf_rank")
     # One row per class: bounded by the label set, so broadcasting it is safe.
-    n = F.broadcast(doc_counts(df, class_col))
-    return (stats.join(n, "class")
+    return (stats.join(F.broadcast(counts), "class")
                  .withColumn("idf", F.log((F.lit(1.0) + F.col("n_docs")) /
                                           (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
 

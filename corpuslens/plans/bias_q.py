@@ -165,6 +165,7 @@ def compare_terms(spark, sf_dir):
     classes = [r[0] for r in read_table(spark, sf_dir, "documents")
                .where(F.col("lang").isNotNull()).select("lang").distinct().collect()]
     terms = spark.createDataFrame([(t,) for t in COMPARE_TERMS], "term string")
-    out = bias.compare_terms(global_vocab(spark, sf_dir), class_vocab(spark, sf_dir),
-                             terms, sorted(classes))
+    vocab = tfidf.idf_scopes(class_tokens(spark, sf_dir), "tokens", "class",
+                             min_df=MIN_DF, max_features=MAX_FEATURES)
+    out = bias.compare_scoped(vocab, terms, sorted(classes), global_scope=tfidf.GLOBAL)
     return out.select("term", *[F.round(c, 9).alias(c) for c in out.columns if c != "term"])

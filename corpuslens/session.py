@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,10 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and return the re-read table.
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and
+    return the table read back.
 
     For derived tables used several times (fitted dictionaries, profiles,
-    confusion tables): computed once, lineage cut, safe on executor loss.
+    feature matrices, confusion tables): computed once, lineage cut, safe on
+    executor loss. Unlike ``DataFrame.checkpoint`` (an RDD checkpoint, which
+    runs the plan once to count and again to save unless it is cached), the
+    plan runs once, and the re-read table carries file sizes the optimizer
+    uses for its join choices.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
