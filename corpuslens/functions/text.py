@@ -106,12 +106,16 @@ def term_counts(df, tokens_col: str, keys: list[str]):
     Each row emits its tokens followed by its distinct tokens
     (``array_distinct``, hash based); ``posexplode`` tells the two parts apart
     by position. One generator and one map-side-combined aggregation, all in
-    generated code: no per-row sort and no lambda functions.
+    generated code: no per-row sort and no lambda functions. The ``_outer``
+    generator plus a null filter: a plain one makes the optimizer infer a
+    ``size(array) > 0`` filter and push it below the projection, which would
+    evaluate the token expression again in the scan.
     """
     step = df.select(*keys, F.col(tokens_col).alias("_t"))
     step = step.select(*keys, F.size("_t").alias("_n"),
                        F.concat(F.col("_t"), F.array_distinct("_t")).alias("_a"))
-    rows = step.select(*keys, "_n", F.posexplode("_a").alias("_p", "term"))
+    rows = (step.select(*keys, "_n", F.posexplode_outer("_a").alias("_p", "term"))
+                .where(F.col("term").isNotNull()))
     occ = F.col("_p") < F.col("_n")
     return rows.groupBy(*keys, "term").agg(
         F.sum(F.when(occ, 0).otherwise(1)).cast("bigint").alias("df"),
@@ -176,3 +180,9 @@ def explode_bag(df, bag_col: str = "bag", keep: list[str] | None = None):
     keep = list(keep if keep is not None else [c for c in df.columns if c != bag_col])
     return (df.select(*keep, F.inline_outer(F.col(bag_col)))
               .where(F.col("term").isNotNull()))
+
+
+def explode_terms(arr, name: str = "term") -> tuple[Column, Column]:
+    """(generator, filter) pair: explode ``arr`` without letting the optimizer
+    re-evaluate it in a pushed-down ``size > 0`` filter (see ``term_counts``)."""
+    return F.explode_outer(arr).alias(name), F.col(name).isNotNull()

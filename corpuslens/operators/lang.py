@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
+from ..functions.text import char_ngrams, explode_terms
 from ..session import materialize
 from .joins import lookup_join
 
@@ -34,7 +34,8 @@ def trigram_rows(df: DataFrame, text_col: str, keep: list[str], n: int = 3) -> D
     map-side in the same stage (profile counts, per-document scores).
     """
     grams = df.select(*keep, char_ngrams(F.lower(F.col(text_col)), n).alias("_g"))
-    return grams.select(*keep, F.explode("_g").alias("term"))
+    gen, nonnull = explode_terms(F.col("_g"))
+    return grams.select(*keep, gen).where(nonnull)
 
 
 def fit_profiles(df: DataFrame, id_col: str, text_col: str, lang_col: str, n: int = 3):

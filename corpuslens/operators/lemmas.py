@@ -38,7 +38,8 @@ IRREGULAR = (("children", "child"), ("feet", "foot"), ("geese", "goose"), ("men"
 
 def distinct_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
     """(token, freq) over the whole corpus (one map-side-combined aggregation)."""
-    return (df.select(F.explode(F.col(tokens_col)).alias("token"))
+    return (df.select(F.explode_outer(F.col(tokens_col)).alias("token"))
+              .where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
 
 
@@ -78,7 +79,8 @@ def map_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFrame, ou
 
     ``drop_missing``: tokens without a table row are dropped instead of kept.
     """
-    pos = df.select(id_col, F.posexplode(F.col(tokens_col)).alias("pos", "token"))
+    pos = (df.select(id_col, F.posexplode_outer(F.col(tokens_col)).alias("pos", "token"))
+             .where(F.col("token").isNotNull()))
     mapped = lookup_join(pos, table, ["token"], how="left", salt_from=[id_col, "pos"])
     if drop_missing:
         mapped = mapped.where(F.col("lemma").isNotNull())
@@ -118,10 +120,12 @@ def correction_table(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2
     dict_words = dictionary.select("word", "freq")
     unknown = tokens.select("token").join(dict_words.select(F.col("word").alias("token")),
                                           "token", "left_anti")
-    tk = unknown.select("token", F.explode(deletes("token", max_dist)).alias("key"))
-    dk = dict_words.select("word", "freq", F.explode(deletes("word", max_dist)).alias("key"))
-    tk = tk.where(F.length("key") >= min_key_len)
-    dk = dk.where(F.length("key") >= min_key_len)
+    # ``explode_outer`` + filter: keeps the optimizer from re-running
+    # ``deletes`` in an inferred ``size > 0`` filter below the projection.
+    tk = unknown.select("token", F.explode_outer(deletes("token", max_dist)).alias("key"))
+    dk = dict_words.select("word", "freq", F.explode_outer(deletes("word", max_dist)).alias("key"))
+    tk = tk.where(F.col("key").isNotNull() & (F.length("key") >= min_key_len))
+    dk = dk.where(F.col("key").isNotNull() & (F.length("key") >= min_key_len))
     pairs = tk.join(dk, "key").select("token", "word", "freq").distinct()
     pairs = pairs.withColumn("dist", F.levenshtein("token", "word")) \
                  .where(F.col("dist") <= max_dist)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.text import vector_terms
+from ..functions.text import explode_terms, vector_terms
 from ..operators import (bias, clean, evaluate, explain, features, permutation, sample,
                          tfidf, train)
 from ..session import materialize
@@ -125,8 +125,8 @@ def _presence_model(spark, sf_dir):
     docs = sample.hash_split(docs, "doc_id", 0.8, seed=SEED)
     model = tfidf.fit(docs.where(F.col("split") == "train"), "tokens", max_features=MAX_FEATURES)
     vocab = F.broadcast(model.vocabulary(spark).select("term"))  # <= MAX_FEATURES rows
-    pres = docs.select("doc_id", "class", "split",
-                       F.explode(F.array_distinct("tokens")).alias("term")).join(vocab, "term")
+    gen, nonnull = explode_terms(F.array_distinct("tokens"))
+    pres = docs.select("doc_id", "class", "split", gen).where(nonnull).join(vocab, "term")
     train_docs = docs.where((F.col("split") == "train") & F.col("class").isNotNull())
     sizes = train_docs.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
     classes = sorted(r["class"] for r in sizes.select("class").collect())

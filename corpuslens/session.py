@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,17 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` once as a Parquet table in the shared checkpoint folder and
-    return the table read back.
+    """Checkpoint ``df`` into the shared checkpoint folder and return it.
 
     For derived tables used several times (fitted dictionaries, profiles,
     feature matrices, confusion tables): computed once, lineage cut, safe on
-    executor loss. Unlike ``DataFrame.checkpoint`` (an RDD checkpoint, which
-    runs the plan once to count and again to save unless it is cached), the
-    plan runs once, and the re-read table carries file sizes the optimizer
-    uses for its join choices.
+    executor loss. The plan is persisted first: a checkpoint of an unpersisted
+    plan runs it twice (once to count, once to save). The partitioning is
+    kept, so model fits on the result keep their parallelism.
     """
-    spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
