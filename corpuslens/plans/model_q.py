@@ -126,13 +126,17 @@ def _presence_model(spark, sf_dir):
     model = tfidf.fit(docs.where(F.col("split") == "train"), "tokens", max_features=MAX_FEATURES)
     vocab = F.broadcast(model.vocabulary(spark).select("term"))  # <= MAX_FEATURES rows
     gen, nonnull = explode_terms(F.array_distinct("tokens"))
-    pres = docs.select("doc_id", "class", "split", gen).where(nonnull).join(vocab, "term")
+    # Presence rows feed the weights, the explained entries and their counts:
+    # written once instead of re-tokenising the corpus for each.
+    pres = materialize(docs.select("doc_id", "class", "split", gen).where(nonnull)
+                           .join(vocab, "term"))
     train_docs = docs.where((F.col("split") == "train") & F.col("class").isNotNull())
     sizes = train_docs.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
     classes = sorted(r["class"] for r in sizes.select("class").collect())
-    w = explain.presence_weights(
+    # The fitted weights are the model (classes x vocabulary): written once.
+    w = materialize(explain.presence_weights(
         pres.where((F.col("split") == "train") & F.col("class").isNotNull()),
-        sizes, "class", classes)
+        sizes, "class", classes))
     return docs, pres, w, sizes, vocab
 
 
