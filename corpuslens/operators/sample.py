@@ -5,7 +5,7 @@ partitioning, task retries or executor loss:
 
 * order key: ``md5(id | seed)`` (hex), ties by id;
 * cap / down-sample: keep the rows ranked <= k in their group, ranks from the
-  skew-safe ``topk.hash_rank`` (a hot group is ranked by 256 tasks);
+  skew-safe ``topk.hash_rank`` (a hot group is split into 65,536 hash ranges);
 * sampling with replacement: draw slot ``i`` of class ``c`` picks the row at
   position ``h(c | i | seed) mod size`` of the class, an equi-join on
   (class, position). Draw slots are generated in chunks, so even a huge class

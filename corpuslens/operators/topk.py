@@ -49,13 +49,15 @@ def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k,
 
 
 def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, id_col: str,
-              rank_col: str = "rank", bucket_chars: int = 2) -> DataFrame:
+              rank_col: str = "rank", bucket_chars: int = 4) -> DataFrame:
     """Add the exact 1-based rank of each row in its group by (hash, id).
 
     ``hash_col`` must be a lowercase hex string (md5). The first
     ``bucket_chars`` hex digits give 16**bucket_chars range buckets; each
     (group, bucket) is numbered in its own task and offset by the row counts of
-    the group's earlier buckets, a table of at most groups x buckets rows.
+    the group's earlier buckets. The offsets table holds only non-empty
+    (group, bucket) pairs, so it never exceeds the input; with the default
+    65,536 buckets a group of 3e10 rows is numbered ~500k rows per window.
     """
     g = _cols(group_cols)
     bucket = F.conv(F.substring(F.col(hash_col), 1, bucket_chars), 16, 10).cast("int")
