@@ -118,3 +118,25 @@ def word_number_tokens(spark, sf_dir):
     toks = T.word_number_tokens("text")
     return docs.select("doc_id", T.join_tokens(toks).alias("tokens"),
                        F.size(toks).cast("bigint").alias("n_tokens"))
+
+
+@query("user_function_counts", sql=f"""
+SELECT doc_id,
+       CAST(len(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '')) AS BIGINT)
+         AS nr_of_words,
+       CAST(length(text) AS BIGINT) AS nr_of_characters
+FROM documents""")
+def user_function_counts(spark, sf_dir):
+    """X13/X14 on the raw texts through user Python functions: a per-value
+    function (``str.split``) and a per-batch one (pandas ``str.len``)."""
+    from ..functions.user import map_column, map_partitions
+
+    # Defined here so the workers unpickle it by value, not by importing this module.
+    def char_count(pdf):
+        return pdf.assign(nr_of_characters=pdf["text"].str.len().astype("Int64")) \
+                  .drop(columns="text")
+
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    words = map_column(docs, "text", lambda t: len(t.split()), "nr_of_words", "bigint")
+    return map_partitions(words, char_count,
+                          "doc_id long, nr_of_words long, nr_of_characters long")

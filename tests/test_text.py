@@ -57,3 +57,18 @@ def test_contractions(spark):
 def test_remove_words_keeps_order_and_duplicates(spark):
     df = spark.createDataFrame([(["a", "the", "b", "a", "the"],)], "t array<string>")
     assert df.select(T.remove_words("t", ["the"]).alias("x")).collect()[0].x == ["a", "b", "a"]
+
+
+def test_user_functions_null_guard_and_batches(spark):
+    from corpuslens.functions.user import map_column, map_partitions
+
+    df = spark.createDataFrame([(1, "a  b\tc"), (2, None), (3, "")], "id long, s string")
+    calls = map_column(df, "s", lambda t: len(t.split()), "n", "bigint")
+    got = {r.id: r.n for r in calls.collect()}
+    assert got == {1: 3, 2: None, 3: 0}
+
+    def upper(pdf):
+        return pdf.assign(s=pdf["s"].str.upper())
+
+    out = {r.id: r.s for r in map_partitions(df.repartition(3), upper, "id long, s string").collect()}
+    assert out == {1: "A  B\tC", 2: None, 3: ""}
