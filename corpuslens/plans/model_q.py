@@ -301,6 +301,28 @@ def logistic_permutation(spark, sf_dir):
                                 score_col="importance")
 
 
+@query("forest_permutation")
+def forest_permutation(spark, sf_dir):
+    """Top 10 features per class by permutation importance (10 repeats) of the
+    random forest; only predictions whose trees see a changed value are re-scored."""
+    from ..operators import treeshap
+
+    d, fs, rf = fitted_forest(spark, sf_dir)
+    trees = treeshap.forest_trees(spark, rf, rf.numClasses)
+    test = d.where((F.col("split") == "test") & F.col("label").isNotNull())
+    rows = test.select("doc_id", F.col("label").cast("int").alias("label"), "features")
+    names = explain.names_table(spark, fs.names)
+    imp = permutation.tree_permutation_importance(
+        rows, feature_entries(test, fs), trees, names.select("feature_idx"), rf.numClasses,
+        n_repeats=PERM_REPEATS, seed=SEED)
+    codes = features.class_codes(d, "class")
+    named = (imp.withColumnRenamed("class", "label")
+                .join(F.broadcast(codes), "label")
+                .join(F.broadcast(names), "feature_idx"))
+    return explain.top_features(named.select("class", "feature_name", "importance"), TOP_N,
+                                score_col="importance")
+
+
 # ----------------------------------------------- boosted trees (one-vs-rest)
 
 BOOST_ROUNDS = 500
