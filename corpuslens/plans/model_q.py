@@ -369,6 +369,29 @@ def boosted_importance(spark, sf_dir):
         .select("class", "feature_name", "importance", "rank")
 
 
+@query("boosted_permutation")
+def boosted_permutation(spark, sf_dir):
+    """E6 on the boosted one-vs-rest models (the reference's target model): top 10
+    features per class by permutation importance (10 repeats) of the prediction."""
+    from ..operators import treeshap
+
+    d, fs, models = fitted_boosted(spark, sf_dir)
+    n_classes = max(models) + 1
+    trees = treeshap.one_vs_rest_trees(spark, models, n_classes)
+    test = d.where((F.col("split") == "test") & F.col("label").isNotNull())
+    rows = test.select("doc_id", F.col("label").cast("int").alias("label"), "features")
+    names = explain.names_table(spark, fs.names)
+    imp = permutation.tree_permutation_importance(
+        rows, feature_entries(test, fs), trees, names.select("feature_idx"), n_classes,
+        n_repeats=PERM_REPEATS, seed=SEED)
+    codes = features.class_codes(d, "class")
+    named = (imp.withColumnRenamed("class", "label")
+                .join(F.broadcast(codes), "label")
+                .join(F.broadcast(names), "feature_idx"))
+    return explain.top_features(named.select("class", "feature_name", "importance"), TOP_N,
+                                score_col="importance")
+
+
 # ----------------------------------------------- boosted trees on a bag of words (M3)
 
 BOW_STEP = 0.1

@@ -58,3 +58,23 @@ def test_boosted_bag_of_words(spark):
     assert set(v.values[v.indices < fs.tfidf.size]) <= {1.0}
     acc = E.queries()["boosted_bow_accuracy"](spark, SF_SMALL).collect()[0]
     assert acc.accuracy > 0.7
+
+
+def test_one_vs_rest_trees_reproduce_predictions(spark):
+    from corpuslens.operators import train
+
+    d, fs, models = model_q.fitted_boosted(spark, SF_SMALL)
+    n_classes = max(models) + 1
+    trees = treeshap.one_vs_rest_trees(spark, models, n_classes)
+    test = d.where(F.col("split") == "test")
+    pred = {r.doc_id: int(r.prediction) for r in train.ovr_predict(models, test).collect()}
+    for r in test.select("doc_id", "features").collect():
+        margins = sum(t.value[_leaf(t, r.features.toArray())] for t in trees)
+        assert int(np.argmax(margins)) == pred[r.doc_id]
+
+
+def _leaf(t, x):
+    j = 0
+    while t.left[j] >= 0:
+        j = t.left[j] if x[t.feature[j]] <= t.threshold[j] else t.right[j]
+    return j
