@@ -94,7 +94,9 @@ def class_report(spark, sf_dir):
                     "support", F.round("f1", 9).alias("f1"))
 
 
-@query("lang_detect_batch")
+@query("lang_detect_batch", sql=f"""
+WITH {_DETECT_SQL}
+SELECT doc_id, lang, predicted FROM pred""")
 def lang_detect_batch(spark, sf_dir):
     """The same trigram model run as a user model through batched inference
     (model built once per Python worker, texts scored in Arrow batches)."""
