@@ -310,7 +310,7 @@ def forest_permutation(spark, sf_dir):
     d, fs, rf = fitted_forest(spark, sf_dir)
     trees = treeshap.forest_trees(spark, rf, rf.numClasses)
     test = d.where((F.col("split") == "test") & F.col("label").isNotNull())
-    rows = test.select("doc_id", F.col("label").cast("int").alias("label"), "features")
+    rows = test.select("doc_id", F.col("label").cast("int").alias("label"))
     names = explain.names_table(spark, fs.names)
     imp = permutation.tree_permutation_importance(
         rows, feature_entries(test, fs), trees, names.select("feature_idx"), rf.numClasses,
@@ -379,7 +379,7 @@ def boosted_permutation(spark, sf_dir):
     n_classes = max(models) + 1
     trees = treeshap.one_vs_rest_trees(spark, models, n_classes)
     test = d.where((F.col("split") == "test") & F.col("label").isNotNull())
-    rows = test.select("doc_id", F.col("label").cast("int").alias("label"), "features")
+    rows = test.select("doc_id", F.col("label").cast("int").alias("label"))
     names = explain.names_table(spark, fs.names)
     imp = permutation.tree_permutation_importance(
         rows, feature_entries(test, fs), trees, names.select("feature_idx"), n_classes,
