@@ -437,7 +437,8 @@ def _forest_shap(spark, sf_dir):
     n_classes = rf.numClasses
     trees = treeshap.forest_trees(spark, rf, n_classes)
     test = d.where(F.col("split") == "test")
-    phi = treeshap.tree_shap(test, "doc_id", "features", trees, len(fs.names))
+    phi = treeshap.tree_shap(test, "doc_id", "features", trees, len(fs.names),
+                             entries=feature_entries(test, fs))
     return d, fs, test, phi, codes, n_classes
 
 
