@@ -1,7 +1,11 @@
-"""corpuslens: Spark-native analysis of labelled text corpora.
+"""corpuslens: text-corpus analytics on PySpark.
 
-Operators take and return DataFrames; see ``corpuslens.plans`` for the
-registered queries and their DuckDB oracle SQL.
+Functions of this package that run in Python workers travel with the task
+(pickled by value), so workers need not have the package on their own path.
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

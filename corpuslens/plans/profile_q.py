@@ -66,7 +66,7 @@ _PROFILE_COLS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
 
 def _profile_sql() -> str:
     parts = " UNION ALL ".join(
-        f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, "
+        f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, '{t}' AS data_type, "
         f"count({'d' if c in ('doc_id',) else 'j'}.{c}) AS non_null, count(*) AS rows FROM j"
         for i, (c, t) in enumerate(_PROFILE_COLS))
     parts = parts.replace("count(d.doc_id)", "count(j.doc_id)")

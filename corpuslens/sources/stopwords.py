@@ -1,36 +1,37 @@
 """Reference data: stopword lists (S3).
 
-The English list is Spark's own (``StopWordsRemover.loadDefaultStopWords``),
-read straight from the MLlib jar so no JVM is needed to build SQL text.
+The English list is part of this module: building SQL text needs neither a JVM
+nor a file. Other languages Spark ships are asked of the running session.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 # The short stop set of the boosted-tree cleaner.
 SHORT_STOPWORDS = ("be", "is", "are", "the", "an", "of", "and", "in")
 
-
-@functools.lru_cache(maxsize=None)
-def spark_default(language: str = "english") -> tuple[str, ...]:
-    """Spark's default stop words for ``language`` (181 for English)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-    return tuple(w for w in raw.decode("utf-8").split() if w)
+# The 181 English stop words of Spark's StopWordsRemover.
+ENGLISH_STOPWORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+her hers herself it its itself they them their theirs themselves what which who whom this that
+these those am is are was were be been being have has had having do does did doing a an the and
+but if or because as until while of at by for with about against between into through during
+before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own
+same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll
+i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't
+shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+""".split())
 
 
 def stopwords(name: str = "english") -> tuple[str, ...]:
-    """Named stop list: ``short`` or any language Spark ships."""
+    """Named stop list: ``short``, ``english``, or any language Spark ships
+    (the latter needs an active SparkSession)."""
     if name == "short":
         return SHORT_STOPWORDS
-    return spark_default(name)
+    if name == "english":
+        return ENGLISH_STOPWORDS
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(StopWordsRemover.loadDefaultStopWords(name))
