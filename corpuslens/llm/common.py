@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
@@ -43,7 +44,7 @@ def groups(batches: Iterator[pa.RecordBatch], text_cols: tuple[str, ...],
             continue
         size = np.zeros(batch.num_rows, np.int64)
         for c in text_cols:
-            size += pa.compute.binary_length(batch.column(c)).fill_null(0).to_numpy(
+            size += pc.binary_length(batch.column(c)).fill_null(0).to_numpy(
                 zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size + 64) // limit
         cuts = np.flatnonzero(np.diff(part)) + 1
