@@ -339,12 +339,14 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = 0.8) -> DataFrame:
-    """The documents that stand first in their group, all columns kept. Rows that repeat the first
-    one's id and text are dropped as well."""
-    keep = groups_of(docs, id_col, text_col, threshold).where("first").select(
-        F.col("doc_id").alias("_keep_id"), F.col("mark").alias("_keep_mark")).distinct()
-    mark = F.xxhash64(docs[text_col].cast("string"))
-    out = docs.withColumn("_keep_row_mark", mark).join(
-        keep, F.col("_keep_mark").eqNullSafe(F.col("_keep_row_mark"))
-        & F.col("_keep_id").eqNullSafe(docs[id_col]), "left_semi").drop("_keep_row_mark")
-    return out.dropDuplicates([id_col, text_col])
+    """The documents that stand first in their group, all columns kept. Of rows that repeat the
+    first one's id and text, one stays."""
+    keep = written(groups_of(docs, id_col, text_col, threshold).where("first").groupBy(
+        F.col("doc_id").alias("_keep_id"), F.col("mark").alias("_keep_mark")).agg(
+        F.count(F.lit(1)).alias("rows")), "kept")
+    marked = docs.withColumn("_keep_row_mark", F.xxhash64(docs[text_col].cast("string")))
+    out = marked.join(keep.drop("rows"), F.col("_keep_mark").eqNullSafe(F.col("_keep_row_mark"))
+                      & F.col("_keep_id").eqNullSafe(docs[id_col]), "left_semi")
+    if keep.where("rows > 1").limit(1).count():  # else there is nothing to drop
+        out = out.dropDuplicates([id_col, "_keep_row_mark"])
+    return out.drop("_keep_row_mark")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, digest, langid, licences, neardup, packing, pii, quality
+from . import ann, chat, digest, langid, licences, neardup, packing, pieces, pii, quality
 from .common import table
 
 
@@ -61,6 +61,19 @@ def op4_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_ann(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op6_pieces(spark, sf_dir):
+    model = _tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    back = pieces.decode(encoded, model)
+    return back.select("doc_id", "variant", F.size("ids").cast("long").alias("n_ids"), "ids",
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.resample(docs, table(spark, sf_dir, "labels", "doc_id", "quality"),
@@ -92,7 +105,8 @@ def op10_pii(spark, sf_dir):
                         _joined("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_neardup, op4_licences, op7_quality, op8_digest,
+QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_neardup, op4_licences, op5_ann,
+                                  op6_pieces, op7_quality, op8_digest,
                                   op9_packing, op10_pii)}
 #: DuckDB SQL for queries of which SQL gives the same rows.
 ORACLE_SQL: dict[str, str] = {}
