@@ -2,13 +2,13 @@
 word shapes that finds forms the patterns miss (numbers without a country code,
 addresses with spaces, numbers side by side, keys and passwords).
 
-Tokens are runs of digits, runs of letters, runs of spaces and single other
-characters; a token's shape is its kind with its length and case. The field has
+Tokens are runs of letters and digits, runs of spaces and single other
+characters; a token's shape is its kind (letters, digits, both) with its length and case. The field has
 weights for the shapes at offsets -3..3 and for neighbouring pairs, and for
 transitions. It is trained on the driver from a small labelled table (``TRAINING``, filled
 in by a seeded rule) by gradient ascent, and decoded by Viterbi in numpy, many
 sequences at a time. Its sequences are the maximal runs of tokens within REACH
-tokens of a digit or an ``@``; tokens farther away are outside by definition, so
+tokens of one with a digit or an ``@``; tokens farther away are outside by definition, so
 whole texts are read but plain prose costs little. What the field finds is checked
 (digit counts, Luhn, parts up to 255) and added where no base span stands.
 
@@ -128,19 +128,22 @@ def shapes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(cp):
         return (np.empty(0, np.int64),) * 3
     kind = _CHAR_KINDS[np.minimum(cp, 128)]
-    run = np.where(kind == 4, 3, kind)
+    run = np.where((kind == 3) | (kind == 4), 2, kind)
     new = np.ones(len(cp), bool)
     new[1:] = (run[1:] != run[:-1]) | (run[1:] == 5) | (run[1:] == 1)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(cp))
     n, first = ends - starts, run[starts]
     upper = np.add.reduceat((kind == 4).astype(np.int64), starts)
+    digits = np.add.reduceat((kind == 2).astype(np.int64), starts)
     case = np.where(upper == 0, 0, np.where(upper == n, 1, np.where(
         (upper == 1) & (kind[starts] == 4), 2, 3)))
+    # Shapes 65-90 and 97-122: letters and digits together, with or without capitals, by length.
     shape = np.select(
-        [first == 0, first == 1, first == 2, first == 3],
+        [first == 0, first == 1, (first == 2) & (digits == n), (first == 2) & (digits == 0),
+         first == 2],
         [196 + (n > 1), np.full(len(n), 198), 175 + np.minimum(n, 20),
-         127 + case * 12 + np.minimum(n, 12)],
+         127 + case * 12 + np.minimum(n, 12), np.where(upper > 0, 64, 96) + np.minimum(n, 26)],
         np.minimum(cp[starts], 127))
     return starts, ends, shape.astype(np.int64)
 
@@ -174,6 +177,9 @@ TRAINING = (
     "{W}: {phone}, {w} {w} {w}",
     "{w}. {phone} {W} {w} {w}",
     "{w} {phone}. {W}. {w}",
+    "{w} {w} {phone} {card} {w}",
+    "{w} {phone} {w}. {ip} {w} {card}, {w}",
+    "{W} {ip} {w} {ip}",
     "{w} {w}, {secret} {w} {w}",
     "{W} {w} {secret}. {w}",
     "{w} {w} {w}, {w} {w}. {W} {w} {w}.",
@@ -228,7 +234,8 @@ def _fill(field: str, r: random.Random) -> str:
             return r.choice(["4", "5"]) + r.choice([d(15), f"{d(3)} {d(4)} {d(4)} {d(4)}",
                                                     f"{d(3)}-{d(4)}-{d(4)}-{d(4)}"])
         case "phone":
-            return r.choice([f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}",
+            return r.choice([f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}",
+                             f"({d(3)}) {d(3)}-{d(4)}",
                              f"+{r.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}",
                              f"00{r.randint(10, 99)} {d(3)} {d(3)} {d(4)}", f"+{d(11)}",
                              f"({d(3)}) {d(3)} {d(4)}"])
@@ -257,7 +264,7 @@ def _fill(field: str, r: random.Random) -> str:
             return d(r.randint(1, 2))
 
 
-def training_rows(copies: int = 12, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def training_rows(copies: int = 24, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, spans) rows: every line of TRAINING, ``copies`` times, filled in."""
     r, out = random.Random(seed), []
     for line in TRAINING * copies:
@@ -369,7 +376,8 @@ def viterbi(scores: list[np.ndarray], tr: np.ndarray, cells: int = 1 << 17) -> l
 
 def _near(shape: np.ndarray) -> np.ndarray:
     """Whether a token is within REACH tokens of a digit token or an ``@``."""
-    hit = ((shape > 175) & (shape < 196)) | (shape == ord("@"))
+    hit = ((shape > 175) & (shape < 196)) | (shape == ord("@")) | (
+        (shape > 64) & (shape < 91)) | ((shape > 96) & (shape < 123))
     c = np.concatenate([[0], np.cumsum(hit)])
     n, i = len(shape), np.arange(len(shape))
     return c[np.minimum(i + REACH + 1, n)] > c[np.maximum(i - REACH, 0)]
@@ -412,7 +420,8 @@ def _plausible(kind: str, s: str) -> bool:
     if kind == "email":
         return bool(re.search(r"\.[A-Za-z]{2,}$", s) and re.search(r"@|\bat\b", s))
     if kind == "phone":  # a bare number without + or grouping is no phone number
-        return 9 <= len(_digits(s)) <= 15 and bool(re.search(r"[0-9]{2,}[ )-]+[0-9]{3,}[ -]+[0-9]{3,}", s))
+        return 9 <= len(_digits(s)) <= 15 and bool(
+            re.search(r"^\+[0-9]+$|[0-9]{2,}[ )-]+[0-9]{3,}[ -]+[0-9]{3,}", s))
     if kind == "secret":
         value = s.rpartition("=")[2]
         return len(value) >= 16 and bool(re.fullmatch(r"[A-Za-z0-9]+", value)
