@@ -1,13 +1,13 @@
-"""Contraction expansion (X3) as replacements over a lowercase text column.
+"""Contraction expansion (X3) over a lowercase text column.
 
-The mapping is a parameter; the default covers common English contractions.
-Rows without an apostrophe skip the chain entirely.
+The text is cut, in one pass, into words with an apostrophe inside, other words, and what
+stands between; the first kind is looked up in the mapping (straight and curly apostrophes
+alike). The mapping is a parameter; the default covers common English contractions. Rows
+without an apostrophe are left as they are.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +31,34 @@ CONTRACTIONS: dict[str, str] = {
 APOSTROPHES = ("'", "’")
 
 
-def _ordered(mapping: dict[str, str]) -> list[tuple[str, str]]:
-    # Longest first, so no short form consumes part of a longer one.
-    return sorted(mapping.items(), key=lambda kv: (-len(kv[0]), kv[0]))
-
-
-def java_pairs(mapping: dict[str, str] = CONTRACTIONS) -> list[tuple[str, str]]:
-    out = []
-    for form, full in _ordered(mapping):
-        body = re.escape(form).replace("'", "['’]")
-        out.append((r"(?U)(?<!\w)" + body + r"(?!\w)", full.replace("$", r"\$")))
-    return out
+# Words with an apostrophe inside, other words, and what stands between them.
+_PIECES = r"[\p{L}\p{N}_]+['’][\p{L}\p{N}_]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
 def duckdb_expr(col: str, mapping: dict[str, str] = CONTRACTIONS) -> str:
-    expr = col
-    for form, full in _ordered(mapping):
-        body = re.escape(form).replace("'", "['’]").replace("'", "''")
-        expr = f"regexp_replace({expr}, '(^|[^\\w]){body}([^\\w]|$)', '\\1{full}\\2', 'g')"
-    return expr
+    """The same in DuckDB SQL."""
+    def q(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    cases = " ".join(f"WHEN {q(form)} THEN {q(full)}" for form, full in sorted(mapping.items()))
+    straight = f"replace(x, {q('’')}, {q(APOSTROPHES[0])})"
+    return (f"array_to_string(list_transform(regexp_extract_all({col}, {q(_PIECES)}), "
+            f"lambda x: CASE {straight} {cases} ELSE x END), '')")
 
 
 def with_expanded_contractions(df: DataFrame, col: str, out: str,
                                mapping: dict[str, str] = CONTRACTIONS) -> DataFrame:
     """Add ``out``: ``col`` with contractions replaced (apostrophe-free rows untouched)."""
     src = F.col(col)
-    expanded = src
-    for pat, rep in java_pairs(mapping):
-        expanded = F.regexp_replace(expanded, pat, rep)
-    has_apostrophe = None
+    table = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
+
+    def expand(t):
+        inside = (F.instr(t, "'") > 1) | (F.instr(t, "’") > 1)
+        return F.when(inside, F.coalesce(table[F.translate(t, "’", "'")], t)).otherwise(t)
+
+    expanded = F.array_join(F.transform(F.regexp_extract_all(src, F.lit(_PIECES), 0), expand), "")
+    has = None
     for a in APOSTROPHES:
         h = F.instr(src, a) > 0
-        has_apostrophe = h if has_apostrophe is None else (has_apostrophe | h)
-    return df.withColumn(out, F.when(has_apostrophe, expanded).otherwise(src))
+        has = h if has is None else (has | h)
+    return df.withColumn(out, F.when(has, expanded).otherwise(src))

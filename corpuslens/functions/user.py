@@ -30,11 +30,12 @@ def map_column(df: DataFrame, col: str, fn: Callable, out: str,
     integral = simple in ("int", "bigint", "smallint", "tinyint")
 
     @F.pandas_udf(rtype)
-    def _apply(s: pd.Series) -> pd.Series:
-        res = s.map(lambda v: None if v is None else fn(v))
+    def _apply(s: pd.Series, null: pd.Series) -> pd.Series:
+        # Arrow hands numeric NULLs over as NaN, so which values are null comes as a column.
+        res = pd.Series([None if n else fn(v) for v, n in zip(s, null)], index=s.index, dtype=object)
         return res.astype("Int64") if integral else res
 
-    return df.withColumn(out, _apply(F.col(col)))
+    return df.withColumn(out, _apply(F.col(col), F.col(col).isNull()))
 
 
 def map_partitions(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],

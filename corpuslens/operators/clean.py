@@ -2,14 +2,14 @@
 
 * ``full_clean`` (X16): markup rules -> lowercase -> contractions -> stopword
   removal on whitespace tokens -> symbols removed -> whitespace tokens ->
-  optional lemmas -> joined by single spaces.
+  joined by single spaces.
 * ``basic_clean`` (X17): lowercase -> whitespace tokens with edge punctuation
   trimmed (our stand-in for a Treebank tokenizer) -> alphanumeric tokens only ->
-  stopwords dropped -> optional lemmas -> joined.
-* ``tokens_only`` (X18): lowercase runs of letters or digits -> optional lemmas.
+  stopwords dropped -> joined.
+* ``tokens_only`` (X18): lowercase runs of letters or digits.
 
-All steps are JVM expressions in one or a few projections; lemmatising is a
-lookup in a (form, lemma) table (see ``operators.lemmas``).
+All steps are JVM expressions in one or a few projections. Lemmas (``with_lemmas``) follow as a
+lookup of the cleaned tokens in a (form, lemma) table (see ``operators.lemmas``).
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from ..functions.contractions import CONTRACTIONS, with_expanded_contractions
 from ..functions.markup import with_stripped_markup
 from ..sources.stopwords import stopwords
 from .features import counts
+from .lemmas import map_tokens
 
 
 def full_clean(df: DataFrame, text_col: str, out: str = "clean_post",
                stop: tuple[str, ...] | None = None, contractions: dict | None = None,
-               lemma_map=None, skip_rules: tuple[int, ...] = ()) -> DataFrame:
+               skip_rules: tuple[int, ...] = ()) -> DataFrame:
     stop = stopwords("english") if stop is None else stop
     contractions = CONTRACTIONS if contractions is None else contractions
     d = with_stripped_markup(df, text_col, "_c1", skip=skip_rules)
@@ -35,8 +36,6 @@ def full_clean(df: DataFrame, text_col: str, out: str = "clean_post",
     no_stop = T.join_tokens(T.remove_words(T.split_words("_c2"), stop))
     d = d.withColumn("_c3", T.strip_symbols(no_stop)).drop("_c2")
     toks = T.split_words("_c3")
-    if lemma_map is not None:
-        toks = apply_lemmas(toks, lemma_map)
     return d.withColumn(out, T.join_tokens(toks)).drop("_c3")
 
 
@@ -47,24 +46,21 @@ def basic_tokens(text_col, stop: tuple[str, ...] | None = None):
 
 
 def basic_clean(df: DataFrame, text_col: str, out: str = "clean_post",
-                stop: tuple[str, ...] | None = None, lemma_map=None) -> DataFrame:
+                stop: tuple[str, ...] | None = None) -> DataFrame:
     toks = basic_tokens(text_col, stop)
-    if lemma_map is not None:
-        toks = apply_lemmas(toks, lemma_map)
     return df.withColumn(out, T.join_tokens(toks))
 
 
-def tokens_only(df: DataFrame, text_col: str, out: str = "clean_post",
-                lemma_map=None) -> DataFrame:
+def tokens_only(df: DataFrame, text_col: str, out: str = "clean_post") -> DataFrame:
     toks = T.word_number_tokens(text_col)
-    if lemma_map is not None:
-        toks = apply_lemmas(toks, lemma_map)
     return df.withColumn(out, T.join_tokens(toks))
 
 
-def apply_lemmas(tokens, lemma_map):
-    """Replace each token by its lemma where the (bounded) map has one."""
-    return F.transform(tokens, lambda t: F.coalesce(F.element_at(lemma_map, t), t))
+def with_lemmas(df: DataFrame, tokens_col: str, table: DataFrame, id_col: str = "doc_id",
+                out: str = "clean_post") -> DataFrame:
+    """``out``: the tokens through a lemma table (``lemmas.lemma_table``), joined, and its counts."""
+    mapped = map_tokens(df, id_col, tokens_col, table, "_lemmas")
+    return counts(mapped.withColumn(out, T.join_tokens("_lemmas")).drop("_lemmas"), out)
 
 
 def clean_table(df: DataFrame, text_col: str, how: str = "basic", **kw) -> DataFrame:

@@ -1,9 +1,8 @@
 """Join strategies for a big table against a dimension of unknown size.
 
-``lookup_join`` broadcasts the small side only after counting it against a row
-limit; beyond the limit it salts the join key so a hot key (a trigram or word
-present in a third of all rows) is spread over ``salt_buckets`` tasks instead
-of one.
+``lookup_join`` broadcasts the small side only when its measured bytes fit; otherwise it salts
+the join key so a hot key (a trigram or word present in a third of all rows) is spread over as
+many tasks as the session shuffles to.
 """
 
 from __future__ import annotations
@@ -11,21 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 << 20
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def measured_bytes(df: DataFrame) -> int:
+    """About the bytes of a table in memory: string lengths and 16 bytes a column, summed where
+    the rows are; one number reaches the driver."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif f.dataType.typeName() == "array":
+            size = size + 8 * F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0))
+    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` measures at most ``max_bytes``."""
+    return measured_bytes(df) <= max_bytes
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                salt_buckets: int = 32, salt_from: list[str] | None = None) -> DataFrame:
-    """Equi-join with the small side replicated ``salt_buckets`` times.
+                salt_buckets: int | None = None, salt_from: list[str] | None = None) -> DataFrame:
+    """Equi-join with the small side replicated ``salt_buckets`` times (default: 32, or fewer if the
+    session shuffles to fewer partitions).
 
     Each big row gets a salt from a hash of ``salt_from`` (default: all its
     columns), so the rows of one hot key land in ``salt_buckets`` partitions.
     """
+    salt_buckets = salt_buckets or min(32, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cols = salt_from or big.columns
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]),
                                                 F.lit(salt_buckets)))
@@ -35,9 +48,9 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                max_rows: int = BROADCAST_MAX_ROWS, salt_buckets: int = 32,
+                max_bytes: int = BROADCAST_MAX_BYTES, salt_buckets: int | None = None,
                 salt_from: list[str] | None = None) -> DataFrame:
     """Broadcast hash join when ``small`` is proven small, else a salted shuffle join."""
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how, salt_buckets, salt_from)

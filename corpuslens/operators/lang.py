@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, explode_terms
+from ..functions.text import char_ngrams, explode_bag, explode_terms, with_bag
 from ..session import materialize
-from .joins import lookup_join
+from .joins import fits_broadcast, salted_join
 
 
 def trigram_rows(df: DataFrame, text_col: str, keep: list[str], n: int = 3) -> DataFrame:
@@ -62,13 +62,29 @@ def detect(df: DataFrame, id_col: str, text_col: str, profile: DataFrame, priors
     low = F.lower(F.col(text_col))
     with_k = df.withColumn("_k", F.greatest(F.coalesce(F.length(low), F.lit(0)) - (n - 1),
                                             F.lit(0)).cast("double"))
-    grams = trigram_rows(with_k, text_col, [id_col, "_k"], n=n)
-    # Hot trigrams occur in most documents: broadcast the profile when it is
-    # proven small, otherwise salt the trigram key. Occurrences are summed per
-    # (document, language) in the join's own stage.
-    matched = lookup_join(grams, profile, ["term"], salt_from=[id_col, "term"])
-    partial = (matched.groupBy(id_col, "_k", "lang")
-                      .agg(F.sum(F.log(F.col("c") + F.lit(1.0))).alias("_gain")))
+    # One row per trigram with a count for each language, in the order of their names (a label
+    # set), so an occurrence meets one row whatever the number of languages.
+    langs = [r["lang"] for r in priors.select("lang").orderBy("lang").collect()]
+    counts = profile.groupBy("term").pivot("lang", langs).agg(F.first("c"))
+    logs = counts.select("term", *[F.log(F.coalesce(F.col(f"`{g}`"), F.lit(0)) + F.lit(1.0)).alias(f"_l{i}")
+                                   for i, g in enumerate(langs)])
+    if fits_broadcast(logs):
+        # Hot trigrams occur in most documents: looked up where they stand, nothing is shuffled.
+        grams = trigram_rows(with_k, text_col, [id_col, "_k"], n=n).withColumn("tf", F.lit(1))
+        matched = grams.join(F.broadcast(logs), "term")
+    else:
+        # Counted inside each row first; the trigram key is salted.
+        bag = with_bag(with_k.select(id_col, "_k", char_ngrams(low, n).alias("_g")), "_g", "_bag",
+                       keep=[id_col, "_k"])
+        matched = salted_join(explode_bag(bag, "_bag", keep=[id_col, "_k"]), logs, ["term"],
+                              salt_from=[id_col, "term"])
+    sums = matched.groupBy(id_col, "_k").agg(*[
+        F.sum(F.col("tf") * F.col(f"_l{i}")).alias(f"_s{i}") for i in range(len(langs))])
+    pairs = F.array(*[F.struct(F.lit(g).alias("lang"), F.col(f"_s{i}").alias("_gain"))
+                      for i, g in enumerate(langs)]) if langs else F.lit(None).cast(
+        "array<struct<lang: string, _gain: double>>")
+    partial = sums.select(id_col, "_k", F.inline(pairs)) if langs else sums.select(
+        id_col, "_k", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("_gain"))
     # One row per language: bounded by the label set.
     pri = F.broadcast(priors.select("lang", F.log(F.col("n_lang") + F.col("v")).alias("_lognv")))
     scored = (partial.join(pri, "lang")
@@ -93,7 +109,7 @@ def detect_with(df: DataFrame, text_col: str, make_predict_fn, out: str = "langu
                 batch_size: int = 64) -> DataFrame:
     """L2: label texts with a user model, in batches, loaded once per worker.
 
-    ``make_predict_fn()`` returns ``fn(list[str]) -> list[str]``.
+    ``make_predict_fn()`` returns ``fn(list[str]) -> list[str]``. A NULL text has a NULL label.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import StringType
@@ -103,48 +119,62 @@ def detect_with(df: DataFrame, text_col: str, make_predict_fn, out: str = "langu
 
         def predict(texts):
             import numpy as np
-            return np.array(fn([str(t) for t in texts]), dtype=object)
+            out = np.full(len(texts), None, dtype=object)
+            some = [i for i, t in enumerate(texts) if t is not None]
+            out[some] = fn([str(texts[i]) for i in some]) if some else []
+            return out
         return predict
 
     udf = predict_batch_udf(make, return_type=StringType(), batch_size=batch_size)
     return df.withColumn(out, udf(F.col(text_col)))
 
 
-def profile_model(profile: DataFrame, priors: DataFrame, max_rows: int = 2_000_000):
-    """Bring a fitted trigram profile to the driver as a plain-Python scorer factory.
-
-    Used to run the same model through the batch-inference path (L2). Refuses
-    profiles above ``max_rows`` rows instead of collecting an unbounded table.
-    """
-    from .joins import fits_broadcast
+def bucket(term_col, bits: int = 16):
+    """Bucket of a trigram: the first ``bits`` (a multiple of 4) of its md5."""
+    return F.conv(F.substring(F.md5(F.col(term_col).cast("binary")), 1, bits // 4), 16, 10).cast("int")
 
-    if not fits_broadcast(profile, max_rows):
-        raise ValueError(f"profile has more than {max_rows} rows; use detect() instead")
-    counts: dict[str, dict[str, int]] = {}
-    for r in profile.collect():
-        counts.setdefault(r["lang"], {})[r["term"]] = int(r["c"])
-    lognv = {r["lang"]: float(r["n_lang"] + r["v"]) for r in priors.collect()}
 
+def hashed_profile(df: DataFrame, text_col: str, lang_col: str, n: int = 3, bits: int = 16) -> dict:
+    """lang -> counts of its trigrams' buckets. A model of fixed size, 2**bits numbers a language, for
+    batch inference; it is that, not the profile, that reaches the driver."""
+    base = df.where(F.col(lang_col).isNotNull())
+    # Trigrams are counted before they are hashed.
+    grams = trigram_rows(base, text_col, [lang_col], n=n).groupBy(lang_col, "term").agg(
+        F.count(F.lit(1)).alias("c"))
+    rows = grams.groupBy(F.col(lang_col).alias("lang"), bucket("term", bits).alias("b")).agg(
+        F.sum("c").alias("c")).collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["lang"], [0] * (1 << bits))[r["b"]] = int(r["c"])
+    return out
+
+
+def hashed_model(counts: dict, n: int = 3, bits: int = 16):
+    """``make_predict_fn`` for ``detect_with``: naive Bayes over hashed trigrams, add-one smoothed."""
     def make_predict_fn():
-        import math
-        from collections import Counter
+        import hashlib
+
+        import numpy as np
+
+        langs = sorted(counts)
+        c = np.array([counts[g] for g in langs], float)
+        logs = np.log((c + 1) / (c.sum(1, keepdims=True) + c.shape[1]))
+        known: dict = {}
 
-        logs = {lang: math.log(v) for lang, v in lognv.items()}
-        langs = sorted(logs)
+        def bucket_of(g):
+            b = known.get(g)
+            if b is None:
+                if len(known) > 1_000_000:
+                    known.clear()
+                b = known[g] = int(hashlib.md5(g.encode()).hexdigest()[:bits // 4], 16)
+            return b
 
         def predict(texts):
             out = []
             for t in texts:
                 low = t.lower()
-                grams = Counter(low[i:i + 3] for i in range(len(low) - 2))
-                k = sum(grams.values())
-                best = None
-                for lang in langs:
-                    c = counts.get(lang, {})
-                    s = sum(n * math.log(c.get(g, 0) + 1.0) for g, n in grams.items()) - k * logs[lang]
-                    if best is None or s > best[0]:
-                        best = (s, lang)
-                out.append(best[1])
+                b = [bucket_of(low[i:i + n]) for i in range(len(low) - n + 1)]
+                out.append(langs[int(logs[:, b].sum(1).argmax())])
             return out
         return predict
 

@@ -7,25 +7,28 @@ table, and map it back onto the token arrays:
   a known word; among the valid candidates (the form itself included when it
   is known) the shortest wins, ties by rule order. Known words default to the
   corpus's own tokens.
-* spelling: the symmetric-delete method. Every dictionary word and every
-  unknown token is expanded into the strings reachable by deleting up to
-  ``max_dist`` characters; an equi-join on those keys finds all dictionary
-  words within that many deletions, Levenshtein filters them, the nearest
-  distance class wins, and its most frequent word is kept when its share of
-  that class's frequency reaches ``min_share``. Only unknown tokens take part,
-  and no all-pairs comparison is ever made.
-
-Mapping back: tokens are exploded with their positions, looked up (broadcast
-when the table is proven small, else a salted join), and re-assembled per
-document in position order.
+* spelling: dictionary words within Levenshtein distance ``max_dist`` of an unknown token, found by
+  segments: a word cut into ``max_dist + 1`` parts keeps at least one of them, within
+  ``max_dist`` places, in everything that near to it. Words and tokens meet on (length, part number,
+  part) keys, a fixed number a token; Levenshtein filters what meets. Every word counts, the
+  shortest included. The nearest distance class wins, and its most frequent word is kept when
+  its share of that class's frequency reaches ``min_share``. Only unknown tokens take part.
+
+Mapping back: a table that measures small is looked up where the tokens stand, in Arrow batches,
+and nothing is shuffled. A larger one is joined to the distinct tokens of each document, salted,
+and comes back to it as a map of the document's own tokens.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import lookup_join
+from .joins import fits_broadcast, salted_join
+
+#: A table of forms up to this size is sent to the workers.
+TABLE_MAX_BYTES = 64 << 20
 
 # Noun suffix rules (suffix, replacement), in order.
 NOUN_RULES = (("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
@@ -74,65 +77,100 @@ def lemma_table(tokens: DataFrame, known: DataFrame, exceptions: DataFrame | Non
 
 
 def map_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFrame, out: str,
-               drop_missing: bool = False) -> DataFrame:
-    """Replace each token through ``table(token, lemma)``; order kept.
+               drop_missing: bool = False, max_bytes: int = TABLE_MAX_BYTES) -> DataFrame:
+    """Replace each token through ``table(token, lemma)``; order kept. NULL tokens go.
 
     ``drop_missing``: tokens without a table row are dropped instead of kept.
     """
-    pos = (df.select(id_col, F.posexplode_outer(F.col(tokens_col)).alias("pos", "token"))
-             .where(F.col("token").isNotNull()))
-    mapped = lookup_join(pos, table, ["token"], how="left", salt_from=[id_col, "pos"])
-    if drop_missing:
-        mapped = mapped.where(F.col("lemma").isNotNull())
-    value = F.col("lemma") if drop_missing else F.coalesce("lemma", "token")
-    regrouped = (mapped.groupBy(id_col)
-                       .agg(F.array_sort(F.collect_list(F.struct("pos", value.alias("v"))))
-                            .alias("_pv")))
-    out_df = regrouped.select(id_col, F.transform("_pv", lambda x: x["v"]).alias(out))
-    empty = F.array().cast("array<string>")
-    return (df.join(out_df, id_col, "left")
-              .withColumn(out, F.coalesce(F.col(out), empty)))
-
-
-def deletes(col, max_dist: int):
-    """All strings reachable by deleting 0..max_dist characters (as an array)."""
-    c = F.col(col) if isinstance(col, str) else col
-    level = F.array(c)
-    out = level
-    for _ in range(max_dist):
-        level = F.array_distinct(F.flatten(F.transform(level, lambda w: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-                     lambda i: i <= F.length(w)),
-            lambda i: F.concat(F.substring(w, F.lit(1), i - 1),
-                               F.substring(w, i + 1, F.lit(1 << 30)))))))
-        out = F.array_union(out, level)
+    if fits_broadcast(table.select("token", "lemma"), max_bytes):
+        return _map_in_place(df, tokens_col, table, out, drop_missing)
+    # Documents keep their rows: an id may repeat.
+    rows = df.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), tokens_col))
+    words = rows.select("_row", tokens_col).dropDuplicates(["_row"]).select(
+        "_row", F.explode_outer(F.array_distinct(tokens_col)).alias("token")).where("token IS NOT NULL")
+    found = salted_join(words, table.select("token", "lemma"), ["token"], salt_from=["_row", "token"])
+    maps = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma")))
+                                     .alias("_map"))
+    keep = F.filter(F.coalesce(tokens_col, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    table_of = F.coalesce("_map", F.create_map().cast("map<string, string>"))
+    mapped = F.transform(keep, lambda t: table_of[t]) if drop_missing else F.transform(
+        keep, lambda t: F.coalesce(table_of[t], t))
+    return rows.join(maps, "_row", "left").withColumn(
+        out, F.filter(mapped, lambda t: t.isNotNull())).drop("_row", "_map")
+
+
+def _map_in_place(df: DataFrame, tokens_col: str, table: DataFrame, out: str,
+                  drop_missing: bool) -> DataFrame:
+    """The lookup by a table whose size was measured, sent to the workers once."""
+    pairs = {r["token"]: r["lemma"] for r in table.select("token", "lemma").collect()}
+    shipped = df.sparkSession.sparkContext.broadcast(pairs)
+
+    @F.pandas_udf("array<string>")
+    def look_up(tokens: pd.Series) -> pd.Series:
+        get = shipped.value.get
+
+        def one(ts):
+            if ts is None:
+                return []
+            if drop_missing:
+                return [x for x in map(get, ts) if x is not None]
+            return [get(t, t) for t in ts if t is not None]
+
+        return tokens.map(one)
+
+    return df.withColumn(out, look_up(F.col(tokens_col)))
+
+
+def _parts(length, parts: int) -> list[tuple]:
+    """(start, size) columns, start from 1, of the parts that a word of ``length`` is cut into."""
+    small, more = F.floor(length / parts).cast("int"), length % parts
+    out, start = [], F.lit(1)
+    for i in range(parts):
+        # The last ``more`` parts are one longer.
+        size = small + F.when(parts - more <= i, 1).otherwise(0)
+        out.append((start, size))
+        start = start + size
     return out
 
 
+def near_words(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2) -> DataFrame:
+    """(token, word, freq, dist): all dictionary words within ``max_dist`` of each token."""
+    n = max_dist + 1
+    word_len = F.length("word")
+    keys = F.array(*[F.struct(word_len.alias("len"), F.lit(i).alias("part"),
+                              F.substring(F.col("word"), a, size).alias("piece"))
+                     for i, (a, size) in enumerate(_parts(word_len, n))])
+    dk = dictionary.select("word", "freq", F.inline(keys))
+    token_len = F.length("token")
+    wanted = []
+    for d in range(-max_dist, max_dist + 1):
+        for i, (a, size) in enumerate(_parts(token_len + d, n)):
+            for shift in range(-max_dist, max_dist + 1):
+                at = a + shift
+                inside = (token_len + d >= 0) & (at >= 1) & (at + size - 1 <= token_len)
+                wanted.append(F.when(inside, F.struct(
+                    (token_len + d).alias("len"), F.lit(i).alias("part"),
+                    F.substring(F.col("token"), at, size).alias("piece"))))
+    wanted = F.filter(F.array_distinct(F.array(*wanted)), lambda k: k.isNotNull())
+    tk = tokens.select("token", F.explode_outer(wanted).alias("k")).where("k IS NOT NULL").select(
+        "token", "k.*")
+    pairs = tk.join(dk, ["len", "part", "piece"]).select(
+        "token", "word", "freq", F.levenshtein("token", "word", max_dist).alias("dist"))
+    return pairs.where(F.col("dist") >= 0).distinct()
+
+
 def correction_table(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2,
-                     min_share: float = 0.85, min_key_len: int = 3) -> DataFrame:
+                     min_share: float = 0.85) -> DataFrame:
     """(token, lemma) for unknown tokens with a confident correction.
 
     ``tokens``: distinct ``token``; ``dictionary``: (word, freq). Known tokens
-    are not in the result (callers keep them unchanged). Keys shorter than
-    ``min_key_len`` are not used, so very short tokens are never corrected.
+    are not in the result (callers keep them unchanged).
     """
     dict_words = dictionary.select("word", "freq")
     unknown = tokens.select("token").join(dict_words.select(F.col("word").alias("token")),
                                           "token", "left_anti")
-    # ``explode_outer`` + filter: keeps the optimizer from re-running
-    # ``deletes`` in an inferred ``size > 0`` filter below the projection.
-    tk = unknown.select("token", F.explode_outer(deletes("token", max_dist)).alias("key"))
-    dk = dict_words.select("word", "freq", F.explode_outer(deletes("word", max_dist)).alias("key"))
-    tk = tk.where(F.col("key").isNotNull() & (F.length("key") >= min_key_len))
-    dk = dk.where(F.col("key").isNotNull() & (F.length("key") >= min_key_len))
-    pairs = tk.join(dk, "key").select("token", "word", "freq").distinct()
-    pairs = pairs.withColumn("dist", F.levenshtein("token", "word")) \
-                 .where(F.col("dist") <= max_dist)
-    nearest = pairs.groupBy("token").agg(F.min("dist").alias("dist"))
-    cls = pairs.join(nearest, ["token", "dist"])
-    best = cls.groupBy("token").agg(
-        F.sum("freq").alias("_total"),
-        F.max(F.struct(F.col("freq"), F.col("word"))).alias("_b"))
-    share = F.col("_b.freq") / F.col("_total")
-    return best.where(share >= min_share).select("token", F.col("_b.word").alias("lemma"))
+    by_class = near_words(unknown, dict_words, max_dist).groupBy("token", "dist").agg(
+        F.sum("freq").alias("total"), F.max(F.struct("freq", "word")).alias("best"))
+    near = by_class.groupBy("token").agg(F.min(F.struct("dist", "total", "best")).alias("c"))
+    return near.where(F.col("c.best.freq") / F.col("c.total") >= min_share).select(
+        "token", F.col("c.best.word").alias("lemma"))

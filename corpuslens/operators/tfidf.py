@@ -10,8 +10,8 @@ Definitions (fixed to match the reference's vectoriser defaults):
 
 Plan shape: each document emits its tokens and its distinct tokens
 (``functions.text.term_counts``), then one map-side-combined aggregation by
-(scope, term) gives df and tf; no per-document shuffle. The vocabulary cut is
-the skew-safe ``top_k``. Per-class fits are one pass over the data for all
+(scope, term) gives df and tf; no per-document shuffle. The vocabulary cut is read off
+a histogram of the tf (``topk.top_counts``). Per-class fits are one pass over the data for all
 classes, and ``idf_scopes`` adds the global scope to the same pass.
 """
 
@@ -19,11 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_bag, term_counts, vector_terms, with_bag
-from .topk import top_k
+from ..functions.text import term_counts, vector_terms
+from .topk import top_counts, top_k
 
 GLOBAL = "__all__"
 
@@ -82,8 +82,7 @@ def _vocab(stats: DataFrame, counts: DataFrame, min_df: int,
            max_features: int | None) -> DataFrame:
     stats = stats.where(F.col("df") >= F.lit(min_df))
     if max_features is not None:
-        stats = top_k(stats, ["class"], [F.col("tf").desc(), F.col("term").asc()],
-                      max_features, rank_col="_tf_rank", salt_on=["term"]).drop("_tf_rank")
+        stats = top_counts(stats, "class", "tf", "term", max_features)
     # One row per class: bounded by the label set, so broadcasting it is safe.
     return (stats.join(F.broadcast(counts), "class")
                  .withColumn("idf", F.log((F.lit(1.0) + F.col("n_docs")) /
@@ -137,20 +136,23 @@ def long_weights(df: DataFrame, model: TfidfModel, id_col: str, tokens_col: str
                  extra: list[str] | None = None) -> DataFrame:
     """(id, [extra...], term, feature_idx, weight): one row per non-zero entry.
 
-    Terms are counted inside each row, looked up in the vocabulary with a
-    broadcast hash join (the vocabulary is bounded by ``max_features``), and
-    L2-normalised with a per-document window: one shuffle of the non-zero
-    entries, keyed by document.
+    Counting, the lookup in the vocabulary (bounded by ``max_features``), the weights and the
+    L2 norm all happen inside each row, on sparse vectors; the entries are exploded last and
+    nothing is shuffled.
     """
+    from .train import tfidf_stages
+
     extra = extra or []
     keep = [id_col, *extra]
-    bag = with_bag(df.select(*keep, tokens_col), tokens_col, "_bag", keep=keep)
-    entries = explode_bag(bag, "_bag", keep=keep)
-    vocab = F.broadcast(model.vocabulary(df.sparkSession))
-    w = entries.join(vocab, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return w.select(*keep, "term", "feature_idx",
-                    F.when(norm > 0, F.col("_w") / norm).otherwise(F.lit(0.0)).alias("weight"))
+    rows = df.select(*keep, F.coalesce(tokens_col, F.array().cast("array<string>")).alias(tokens_col))
+    for stage in tfidf_stages(model, tokens_col, "_tfidf"):
+        rows = stage.transform(rows)
+    vec = F.unwrap_udt("_tfidf")
+    entries = rows.select(*keep, F.inline_outer(F.arrays_zip(
+        vec["indices"].alias("feature_idx"), vec["values"].alias("weight"))))
+    terms = F.broadcast(model.vocabulary(df.sparkSession).select("feature_idx", "term"))
+    return (entries.where(F.col("feature_idx").isNotNull()).join(terms, "feature_idx")
+            .select(*keep, "term", "feature_idx", "weight"))
 
 
 def class_centroid(df: DataFrame, model: TfidfModel, id_col: str, class_col: str,

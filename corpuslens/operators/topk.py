@@ -5,9 +5,11 @@ task; a group holding a third of the table would then sort a third of the
 table in a single task. Both helpers here keep per-group work spread out:
 
 * ``top_k`` - exact top-k per group by any order. Stage 1 ranks inside
-  (group, salt) sub-groups and keeps k rows each; stage 2 ranks the at most
-  ``salt_buckets * k`` survivors of each group. Used where k is a bounded
-  parameter (top-n reports, ``max_features``).
+  (group, salt) sub-groups, as many as the session shuffles to, and keeps k rows each;
+  stage 2 ranks the survivors of each group. Used for top-n reports.
+* ``top_counts`` - the k rows of the largest counts per group (``max_features``), for any
+  k: the count that the k-th row has is read off a histogram of the counts, so rows above it need
+  no sorting at all and only the ties at it are ranked.
 * ``hash_rank`` - exact rank of every row inside its group when the order key
   is a uniform hex hash (md5). Buckets are ranges of the hash itself, so the
   rank is the row's number inside its (group, bucket) plus the sizes of the
@@ -19,15 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALT_BUCKETS = 32
-
-
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
 def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k,
-          rank_col: str = "rank", salt_buckets: int = DEFAULT_SALT_BUCKETS,
+          rank_col: str = "rank", salt_buckets: int | None = None,
           salt_on: list[str] | None = None) -> DataFrame:
     """Rows ranked 1..k inside each group by ``order`` (which must be total).
 
@@ -36,6 +35,7 @@ def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k,
     ``df`` that are not group columns).
     """
     k_col = k if isinstance(k, Column) else F.lit(int(k))
+    salt_buckets = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt_src = salt_on or [c for c in df.columns if c not in group_cols]
     salt = F.pmod(F.xxhash64(*_cols(salt_src)), F.lit(salt_buckets))
     w1 = Window.partitionBy(*_cols(group_cols), F.col("_salt")).orderBy(*order)
@@ -48,6 +48,29 @@ def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k,
                   .where(F.col(rank_col) <= k_col))
 
 
+def top_counts(df: DataFrame, group_col: str, count_col: str, tie_col: str, k: int) -> DataFrame:
+    """The ``k`` rows of each group with the largest counts (ties: ``tie_col`` ascending).
+
+    The histogram has a row per group and distinct count; a running sum over it, largest first,
+    gives each group's cut and how many rows of exactly that count are still wanted.
+    """
+    w = Window.partitionBy(group_col).orderBy(F.desc(count_col)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cut = (df.groupBy(group_col, count_col).agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_upto", F.sum("_n").over(w))
+             .where(F.col("_upto") - F.col("_n") < k)
+             .groupBy(group_col).agg(F.min(F.struct(F.col(count_col).alias("cut"),
+                                                    (k - F.col("_upto") + F.col("_n")).alias("want")))
+                                     .alias("_cut")))
+    # A row per group: the label set (``df``'s groups are classes).
+    near = df.join(F.broadcast(cut), group_col).where(F.col(count_col) >= F.col("_cut.cut"))
+    tie = F.col(count_col) == F.col("_cut.cut")
+    wanted = near.withColumn("_tie", tie).withColumn(
+        "_want", F.when(tie, F.col("_cut.want")).otherwise(F.lit(k)))
+    return top_k(wanted, [group_col, "_tie"], [F.col(tie_col).asc()], F.col("_want"), rank_col="_rank",
+                 salt_on=[tie_col]).drop("_rank", "_tie", "_want", "_cut")
+
+
 def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, id_col: str,
               rank_col: str = "rank", bucket_chars: int = 4) -> DataFrame:
     """Add the exact 1-based rank of each row in its group by (hash, id).

@@ -39,15 +39,19 @@ class FeatureSpace:
         return self.pipeline.transform(df)
 
 
-def feature_space(model: TfidfModel, tokens_col: str = "tokens",
-                  numeric: tuple[str, ...] = NUMERIC_FEATURES,
-                  out: str = "features") -> FeatureSpace:
+def tfidf_stages(model: TfidfModel, tokens_col: str, out: str) -> list:
+    """Tokens -> counts -> times IDF -> L2-normalised, as sparse vectors."""
     cv = CountVectorizerModel.from_vocabulary(model.terms or ["<empty>"], inputCol=tokens_col,
                                               outputCol="_tf")
     idf = ElementwiseProduct(scalingVec=Vectors.dense(model.idfs or [0.0]), inputCol="_tf",
                              outputCol="_tfidf_raw")
-    norm = Normalizer(p=2.0, inputCol="_tfidf_raw", outputCol="_tfidf")
-    stages = [cv, idf, norm]
+    return [cv, idf, Normalizer(p=2.0, inputCol="_tfidf_raw", outputCol=out)]
+
+
+def feature_space(model: TfidfModel, tokens_col: str = "tokens",
+                  numeric: tuple[str, ...] = NUMERIC_FEATURES,
+                  out: str = "features") -> FeatureSpace:
+    stages = tfidf_stages(model, tokens_col, "_tfidf")
     if numeric:
         stages.append(VectorAssembler(inputCols=["_tfidf", *numeric], outputCol=out,
                                       handleInvalid="keep"))
@@ -65,12 +69,19 @@ def bow_space(model: TfidfModel, tokens_col: str = "tokens",
     return FeatureSpace(model, PipelineModel(stages=[cv, va]), tuple(numeric))
 
 
+#: Bounds of a fitted tree, whatever the rows: Spark's greatest depth, and at most this share
+#: of all rows for a leaf to be split off, so at most 1 / MIN_LEAF leaves.
+MAX_DEPTH = 30
+MIN_LEAF = 1e-4
+
+
 def forest(train: DataFrame, label: str = "label", features: str = "features",
-           num_trees: int = 100, max_depth: int = 30, seed: int = 42):
-    """Random forest (M1); Spark caps depth at 30 where the reference grows trees fully."""
+           num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 42):
+    """Random forest (M1). Trees grow to purity within MAX_DEPTH and MIN_LEAF, which bound the model."""
     rf = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt",
-                                impurity="gini", cacheNodeIds=True, checkpointInterval=10)
+                                impurity="gini", cacheNodeIds=True, checkpointInterval=10,
+                                minWeightFractionPerNode=MIN_LEAF)
     return rf.fit(train)
 
 

@@ -46,7 +46,7 @@ def strip_markup_full(spark, sf_dir):
     return out.select("source", "id", "clean")
 
 
-def _basic_sql() -> str:
+def basic_sql() -> str:
     return f"""
 WITH t AS (
   SELECT doc_id, array_to_string(list_filter(list_transform(
@@ -62,14 +62,14 @@ SELECT doc_id, clean_post,
 FROM t"""
 
 
-@query("normalise_basic", sql=_basic_sql())
+@query("normalise_basic", sql=basic_sql())
 def normalise_basic(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     return clean.clean_table(docs, "text", "basic").select(
         "doc_id", "clean_post", "nr_of_words", "nr_of_characters")
 
 
-def _full_sql() -> str:
+def full_sql() -> str:
     return f"""
 WITH m AS (SELECT doc_id, lower({M.duckdb_expr('text')}) AS t FROM documents),
 c AS (SELECT doc_id, {C.duckdb_expr('t')} AS t FROM m),
@@ -85,7 +85,7 @@ SELECT doc_id, clean_post,
 FROM z"""
 
 
-@query("clean_text", sql=_full_sql())
+@query("clean_text", sql=full_sql())
 def clean_text(spark, sf_dir):
     """The full cleaner without the run squeeze, so RE2 can check it."""
     docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
@@ -109,6 +109,29 @@ def expand_contractions(spark, sf_dir):
     return C.with_expanded_contractions(docs, "lt", "expanded").select("doc_id", "expanded")
 
 
+# Words of the test texts that are written as contractions, so that there are some.
+_SHORTENED = ((" it ", " it's "), (" an ", " can’t "), (" un ", " don't "), (" es ", " y'all've "),
+              (" la ", " l'homme "), (" die ", " we'll "))
+
+
+def _shortened_sql() -> str:
+    expr = "lower(text)"
+    for word, short in _SHORTENED:
+        expr = f"replace({expr}, '{word}', '{short.replace(chr(39), chr(39) * 2)}')"
+    return expr
+
+
+@query("expand_contractions_made", sql=f"""
+SELECT doc_id, {C.duckdb_expr(_shortened_sql())} AS expanded FROM documents""")
+def expand_contractions_made(spark, sf_dir):
+    """Contractions on the documents with some words of theirs written as contractions."""
+    text = F.lower("text")
+    for word, short in _SHORTENED:
+        text = F.replace(text, F.lit(word), F.lit(short))
+    docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", text.alias("lt"))
+    return C.with_expanded_contractions(docs, "lt", "expanded").select("doc_id", "expanded")
+
+
 @query("word_number_tokens", sql="""
 SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+'), ' ') AS tokens,
        CAST(len(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+')) AS BIGINT) AS n_tokens

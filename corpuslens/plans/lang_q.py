@@ -94,16 +94,34 @@ def class_report(spark, sf_dir):
                     "support", F.round("f1", 9).alias("f1"))
 
 
+_BATCH_SQL = f"""
+docs AS (SELECT doc_id, lang, lower(text) AS t, {SPLIT_SQL} AS split FROM documents),
+g AS (SELECT doc_id, lang, split,
+             unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS term
+      FROM docs WHERE length(t) >= 3),
+h AS (SELECT doc_id, lang, split, term, CAST(('0x' || substr(md5(term), 1, 4)) AS INTEGER) AS b FROM g),
+prof AS (SELECT lang, b, count(*) AS c FROM h WHERE split = 'train' AND lang IS NOT NULL GROUP BY lang, b),
+pri AS (SELECT lang, ln(sum(c) + 65536) AS lognv FROM prof GROUP BY lang),
+tg AS (SELECT doc_id, b, count(*) AS k FROM h WHERE split = 'test' GROUP BY doc_id, b),
+te AS (SELECT doc_id, lang FROM docs WHERE split = 'test'),
+sc AS (SELECT te.doc_id, pri.lang,
+              coalesce((SELECT sum(k) FROM tg WHERE tg.doc_id = te.doc_id), 0) * -pri.lognv
+              + coalesce((SELECT sum(tg.k * ln(prof.c + 1.0)) FROM tg JOIN prof ON prof.b = tg.b
+                          AND prof.lang = pri.lang WHERE tg.doc_id = te.doc_id), 0) AS score
+       FROM te, pri),
+best AS (SELECT doc_id, lang AS predicted,
+                row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS rn FROM sc)"""
+
+
 @query("lang_detect_batch", sql=f"""
-WITH {_DETECT_SQL}
-SELECT doc_id, lang, predicted FROM pred""")
+WITH {_BATCH_SQL}
+SELECT te.doc_id, te.lang, best.predicted FROM te JOIN best ON best.doc_id = te.doc_id AND best.rn = 1""")
 def lang_detect_batch(spark, sf_dir):
-    """The same trigram model run as a user model through batched inference
+    """A hashed trigram model, of fixed size, run as a user model through batched inference
     (model built once per Python worker, texts scored in Arrow batches)."""
     docs = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "lang", "text")
     docs = sample.hash_split(docs, "doc_id", 0.8, seed=SEED)
-    profile, priors = lang.fit_profiles(docs.where(F.col("split") == "train"),
-                                        "doc_id", "text", "lang")
-    make = lang.profile_model(profile, priors)
+    counts = lang.hashed_profile(docs.where(F.col("split") == "train"), "text", "lang")
     test = docs.where(F.col("split") == "test")
-    return lang.detect_with(test, "text", make, out="predicted").select("doc_id", "lang", "predicted")
+    return lang.detect_with(test, "text", lang.hashed_model(counts), out="predicted").select(
+        "doc_id", "lang", "predicted")

@@ -40,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/ABFS) path and
-    is respected as is. Only when it is unset (local tests) do we create one.
+    is respected as is. Only when it is unset and the master is local (tests) do we
+    create one; on a cluster an unset one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Tests only: nothing configured, so use a private local folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # Tests only: one JVM, so a private local folder is shared by all.
         configured = tempfile.mkdtemp(prefix="corpuslens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

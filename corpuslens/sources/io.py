@@ -10,6 +10,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..schema import POSTS
 
@@ -17,7 +18,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# Spaces stay, and NULL is written as a mark of its own, so that it differs from ''. A value that
+# is just that mark would come back as NULL.
+_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+                "nullValue": "\\N", "emptyValue": ""}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
@@ -50,10 +55,13 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet",
 
     ``renames`` maps source column names to ours, e.g. a misspelt author column.
     """
+    back = {new: old for old, new in (renames or {}).items()}
     if fmt == "csv":
         reader = spark.read.options(**_CSV_OPTIONS)
-        if schema is not None and not renames:
-            reader = reader.schema(schema)
+        if schema is not None:
+            # The file's own schema: ours, under the names that the file uses.
+            reader = reader.schema(StructType([
+                StructField(back.get(f.name, f.name), f.dataType, f.nullable) for f in schema]))
         df = reader.csv(path)
     else:
         df = spark.read.format(fmt).load(path)

@@ -8,14 +8,11 @@ stateful piece (a streaming aggregation, complete mode).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean
-from ..session import ensure_checkpoint_dir
 
 
 def read_posts_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -36,13 +33,11 @@ def class_counts_stream(stream: DataFrame, class_col: str) -> DataFrame:
                   .groupBy(class_col).agg(F.count(F.lit(1)).alias("n")))
 
 
-def write_stream(df: DataFrame, out_path: str, checkpoint: str | None = None,
+def write_stream(df: DataFrame, out_path: str, checkpoint: str,
                  available_now: bool = True, mode: str = "append", fmt: str = "parquet"):
-    """Start the sink. The checkpoint defaults to a folder under the session's
-    shared checkpoint directory, so a restarted query resumes exactly."""
-    spark = df.sparkSession
-    ckpt = checkpoint or (ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{uuid.uuid4().hex}")
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+    """Start the sink. ``checkpoint`` is a path of its own for this query, kept between
+    starts: a query started again with it goes on where it stopped."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if fmt == "memory":
         w = w.format("memory").queryName(out_path)
     else:

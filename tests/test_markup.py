@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -25,6 +26,10 @@ CRAFTED = [
     "",
 ]
 HOSTILE = ["[" * 15000, "<" * 15000, "1" * 15000, "\n" * 15000, "[a" * 7500, "-\n" * 7500]
+# Rows on which the plain patterns take quadratic time although the guards let them through.
+QUADRATIC = [lambda n: "^(" * n, lambda n: "[a](" * n, lambda n: "> " + "<" * n,
+             lambda n: "[a" * n + "](b", lambda n: "\n" * n + "a- b", lambda n: "[a][" * n,
+             lambda n: "<" * n + "_>", lambda n: ">!a" * n, lambda n: "^(" * n + ")"]
 
 
 def _spark_apply(spark, texts, **kw):
@@ -74,6 +79,35 @@ def test_hostile_rows_are_fast_and_exact(spark, h):
     assert got == M.python_reference(h)
 
 
+def test_linear_rules_equal_python_on_random_rows(spark):
+    r = random.Random(9)
+    parts = ["[", "]", "(", ")", "<", ">", "_", "^", "*", "-", "\n", " ", "a", "1.", "!", "^(", "](", "][",
+             "> ", "#", "`", "~~", "__", "\t", "\r\n", "r/", "12"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 18))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rules = M.java_rules()
+    for row in df.select("id", *[F.regexp_replace("t", p, q).alias(f"r{i}") for i, p, q in rules]).collect():
+        for i, _, _ in rules:
+            p, q, _ = M.MARKUP_RULES[i]
+            assert row[f"r{i}"] == re.sub(p, q, texts[row["id"]], flags=re.M), (i, texts[row["id"]])
+
+
+@pytest.mark.parametrize("k", range(len(QUADRATIC)))
+def test_hostile_rows_take_linear_time(spark, k):
+    def seconds(n):
+        df = spark.createDataFrame([(QUADRATIC[k](n),)], "t string")
+        out = M.with_stripped_markup(df, "t", "c").select("c")
+        out.collect()
+        best = []
+        for _ in range(3):
+            began = time.time()
+            out.collect()
+            best.append(time.time() - began)
+        return min(best)
+
+    assert seconds(80_000) < 2 * seconds(40_000) + 0.5
+
+
 def test_duckdb_chain_equals_spark_on_documents(spark):
     import duckdb
 
