@@ -8,15 +8,18 @@ edit-sensitive minhash. Texts that agree on a lane are candidates.
 
 Similarity is 1 - edit distance / the longer length, over shingle sequences; pairs of at least
 ``threshold`` are links. Texts of the same words are one class (its key a hash of the words)
-before anything is compared. Candidates aren't expanded into all pairs: in each bucket (a lane's
-value) every class is first compared with the bucket's least class. Buckets whose members then
-are in more than one component are finished exactly: every member outside the bucket's largest
-component is compared with all members outside its own. So no candidate pair that could join two
-groups stays untested, while a bucket of near copies costs a comparison a member.
-
-A comparison first counts shared shingles (fewer than threshold x the longer: no link), then aligns
-what is left between common beginning and end in a band of the allowed distance, many pairs at
-a time.
+before anything is compared. Candidates aren't expanded into all pairs. In each of ROUNDS rounds,
+a bucket (a lane's value) whose members are in more than one component so far picks a leader
+from its largest component, another one each round, and its members outside that component
+are compared with the leader: a comparison a member. The buckets that then still have more than one
+component are finished exactly, those of one largest component together: every member outside it
+is compared with all members outside its own, in blocks within tasks. So no candidate pair that could join two groups stays untested, while
+a bucket of near copies, however large, costs a few comparisons a member.
+
+A comparison counts shared shingles (fewer than threshold x the longer: no link), then aligns along
+shared shingles that stand once in either text (if the gaps cost no more than allowed: a link), and
+else aligns what is left between common beginning and end in a band of the allowed distance, many
+pairs at a time.
 
 Defined cases: a null text counts as empty; all texts without words are one class; repeated
 ids are rows of their own (a row's class depends on its text alone); the group id is the least
@@ -30,6 +33,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +41,15 @@ from .common import WordHashes, map_batches, mix, written
 from .components import components
 
 SHINGLE = 5
-LANES = 24
-PICK = 3
+LANES = 40
+PICK = 5
+ROUNDS = 2
+SIGNS = 4
 _WORD = re.compile(r"\w+")
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
+#: Shingles of a block of texts that are compared with another block.
+CELLS = 300_000
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 14
 
@@ -80,8 +88,8 @@ def _least(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = (s[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None]
     if len(s) > 64:
-        # The least of n even numbers are nearly always below 16 n-ths of the range.
-        lane, at = np.nonzero(h < np.uint64(2 ** 64 / len(s) * 16))
+        # The least of n even numbers are nearly always below 24 n-ths of the range.
+        lane, at = np.nonzero(h < np.uint64(2 ** 64 / len(s) * 24))
         begin = np.searchsorted(lane, np.arange(LANES + 1))
         if (np.diff(begin) >= PICK).all():
             low = h[lane, at]
@@ -108,6 +116,15 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """SIGNS numbers of 64 bits, of which each labelled shingle sets one: a bit that a text has
+    alone tells of a shingle that it has alone."""
+    at = (labelled(s) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % (64 * SIGNS)
+    bits = np.zeros(64 * SIGNS, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits).view("<i8")
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the multiset intersection."""
     return len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))
@@ -186,6 +203,24 @@ def _aligned(part: list, out: np.ndarray) -> None:
             out[part[r][2]] = row[r, c] if 0 <= c < width else far
 
 
+def anchored(a: np.ndarray, b: np.ndarray) -> int:
+    """A cost that an alignment of both has: shingles that stand once in each, as far as they
+    stand in the same order, are matched, and what lies between is replaced."""
+    ua, ia, na = np.unique(a, return_index=True, return_counts=True)
+    ub, ib, nb = np.unique(b, return_index=True, return_counts=True)
+    _, x, y = np.intersect1d(ua[na == 1], ub[nb == 1], assume_unique=True, return_indices=True)
+    i, j = ia[na == 1][x], ib[nb == 1][y]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    # Kept are anchors behind all before and ahead of all after them: one order for both.
+    if len(j):
+        ok = (j >= np.maximum.accumulate(j)) & (j <= np.minimum.accumulate(j[::-1])[::-1])
+        i, j = i[ok], j[ok]
+    gap_a = np.diff(np.concatenate([[-1], i, [len(a)]])) - 1
+    gap_b = np.diff(np.concatenate([[-1], j, [len(b)]])) - 1
+    return int(np.maximum(gap_a, gap_b).sum())
+
+
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
     """Which pairs of shingle sequences are at least ``threshold`` alike."""
     yes = np.zeros(len(pairs), bool)
@@ -196,8 +231,11 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.
         if not most:
             yes[i] = True
         elif most - min(len(a), len(b)) <= allowed and most - shared(a, b) <= allowed:
-            left.append((i, allowed))
-    narrow = 16  # most near copies differ little: a narrow band settles those
+            if anchored(a, b) <= allowed:
+                yes[i] = True
+            else:
+                left.append((i, allowed))
+    narrow = 16
     while left:
         bands = [min(w, narrow) for _, w in left]
         d = distances([pairs[i] for i, _ in left], bands)
@@ -212,7 +250,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, key, n, lanes) per row; ``mark`` is a hash of the text as it stands."""
+    """(doc_id, mark, key, n, lanes, signs) per row; ``mark`` is a hash of the text as it stands."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -221,7 +259,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         words = WordHashes()
 
         def run(batch):
-            key, n, lanes = [], [], []
+            key, n, lanes, signs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 w = words_of(text)
                 key.append(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"),
@@ -229,54 +267,69 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = shingles(words.of(w))
                 n.append(len(s))
                 lanes.append(sketch(s).view(np.int64) if len(s) else [])
+                signs.append(signature(s))
             return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "key": key,
-                    "n": n, "lanes": lanes}
+                    "n": n, "lanes": lanes, "signs": signs}
 
         return run
 
     return map_batches(rows, make, f"doc_id {kind}, mark long, key binary, n long, "
-                                   "lanes array<bigint>", ("text",))
+                                   "lanes array<bigint>, signs array<bigint>", ("text",))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the (a, b) pairs of keys whose texts (key, text) are alike."""
+def _linked(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
+    """Those of the (a, b) pairs of keys whose sequences (key, seq) are alike."""
     for side in ("b", "a"):
-        pairs = pairs.join(texts.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")),
+        pairs = pairs.join(sequences.select(F.col("key").alias(side), F.col("seq").alias(f"seq_{side}")),
                            side)
 
     def make():
-        words, last = WordHashes(), {}
-
-        def sequence(key, text):
-            if key not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[key] = shingles(words.of(words_of(text)))
-            return last[key]
-
         def run(batch):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            seqs = [(sequence(x, s), sequence(y, t)) for x, y, s, t in zip(
-                a, b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
+            seqs = [(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(
+                batch.column("seq_a").to_pylist(), batch.column("seq_b").to_pylist())]
             yes = similar(seqs, threshold)
             return {"a": [x for x, y in zip(a, yes) if y], "b": [x for x, y in zip(b, yes) if y]}
 
         return run
 
-    return map_batches(pairs.select("a", "b", "text_a", "text_b"), make, "a binary, b binary",
-                       ("text_a", "text_b"))
+    return map_batches(pairs.select("a", "b", "seq_a", "seq_b"), make, "a binary, b binary",
+                       ("seq_a", "seq_b"))
 
 
-def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame, id_col: str,
-           text_col: str) -> DataFrame:
-    """(key, text) of the classes in ``pairs``, each read from its first row."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def _sequences(docs: DataFrame, first: DataFrame, keys: DataFrame, id_col: str,
+               text_col: str) -> DataFrame:
+    """(key, seq) of the classes in ``keys``: the shingles of each, from its first row's text."""
     wanted = first.join(keys, "key", "left_semi").select("key", "doc_id", "mark")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("_mark", F.xxhash64("text"))
     got = rows.join(wanted, (rows["_mark"] == wanted["mark"]) & rows["_id"].eqNullSafe(wanted["doc_id"]))
+
+    def make():
+        words = WordHashes()
+
+        def run(batch):
+            return {"key": batch.column("key"),
+                    "seq": [shingles(words.of(words_of(t))).astype("<u8").tobytes()
+                            for t in batch.column("text").to_pylist()]}
+
+        return run
+
     # Rows that repeat id and text would repeat the class.
-    return got.select("key", "text").dropDuplicates(["key"])
+    return map_batches(got.select("key", "text"), make, "key binary, seq binary",
+                       ("text",)).dropDuplicates(["key"])
+
+
+def _open(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, key, n, label, main) of the buckets in more than one component; ``main`` is the
+    bucket's largest (ties: greatest label)."""
+    placed = member.withColumn("label", F.col("key")) if labels is None else member.join(
+        labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "label", F.coalesce("label", "key"))
+    parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"),
+                                       F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return placed.join(main.select("bucket", F.col("most.label").alias("main")), "bucket")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -285,41 +338,111 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = written(_sketches(docs, id_col, text_col), "sketches")
     first = written(sketched.groupBy("key").agg(
         F.min(F.struct("doc_id", "mark")).alias("row"), F.first("n").alias("n"),
-        F.first("lanes").alias("lanes"))
-        .select("key", "row.doc_id", "row.mark", "n", "lanes"), "classes")
+        F.first("lanes").alias("lanes"), F.first("signs").alias("signs"))
+        .select("key", "row.doc_id", "row.mark", "n", "lanes",
+                *[F.col("signs")[k].alias(f"sign{k}") for k in range(SIGNS)]), "classes")
+    signs = [f"sign{k}" for k in range(SIGNS)]
+
+    def near(one: str, other: str):
+        """Whether two rows' lengths and signatures allow a link. Each bit that one has alone
+        is a shingle that can't be matched."""
+        n, m = F.col(f"{one}n"), F.col(f"{other}n")
+        allowed = (1 - threshold) * F.greatest(n, m) + 1e-6
+        alone = [sum((F.bit_count(F.col(f"{x}{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}{c}"))))
+                      for c in signs), F.lit(0)) for x, y in ((one, other), (other, one))]
+        return (F.abs(n - m) <= allowed) & (alone[0] <= allowed) & (alone[1] <= allowed)
 
     # Buckets of more than one class.
     member = first.select("key", "n", F.explode("lanes").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"),
-                                         F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = written(member.join(heads.select("bucket", "head"), "bucket"), "buckets")
-    near = F.lit(threshold)
-    star = written(member.where(
-        (F.col("key") != F.col("head.key"))
-        & (F.least("n", "head.n") >= near * F.greatest("n", "head.n") - 1e-6))
-        .select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), "star")
-    links = written(_linked(star, _texts(docs, first, star, id_col, text_col), threshold), "links")
-    labels = components(links)
-
-    # Buckets whose members aren't one component yet.
-    placed = member.select("bucket", "key", "n").join(
-        labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "label", F.coalesce("label", "key"))
-    parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"),
-                                       F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = written(placed.join(main.select("bucket", F.col("most.label").alias("main")), "bucket"),
-                    "open")
-    minor = open_.where("label <> main").select(
-        "bucket", F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("own"))
-    rest = (minor.join(open_, "bucket")
-            .where((F.col("own") != F.col("label"))
-                   & (F.least("n", "m") >= near * F.greatest("n", "m") - 1e-6))
-            .select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct())
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    more = written(_linked(rest, _texts(docs, first, rest, id_col, text_col), threshold), "links")
-    labels = components(links.unionByName(more))
-    return sketched.select("doc_id", "mark", "key"), labels
+    many = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = member.join(many.select("bucket"), "bucket", "left_semi")
+    member = written(member.join(first.select("key", *signs), "key"), "buckets")
+    sequences = written(_sequences(docs, first, member.select("key").distinct(), id_col, text_col),
+                        "sequences")
+    tested = links = labels = None
+    for turn in range(ROUNDS):
+        open_ = written(_open(member, labels), "open")
+        leader = open_.where("label = main").groupBy("bucket").agg(F.min(F.struct(
+            F.xxhash64(F.lit(turn), "key").alias("draw"), "key", "n", *signs)).alias("lead"))
+        pairs = (open_.where("label <> main").join(leader, "bucket").where(near("", "lead."))
+                 .select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
+                 .distinct())
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = written(_linked(pairs, sequences, threshold), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+
+    more = _finished(_open(member, labels), sequences, threshold)
+    return sketched.select("doc_id", "mark", "key"), components(links.unionByName(more))
+
+
+def _finished(open_: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
+    """Links between components that share a bucket, exactly. The buckets of one largest component
+    are a family; its members outside that component are compared, block by block, with all its
+    members. Blocks hold about CELLS shingles, so a family of any size is spread out."""
+    kin = open_.select("main", "key", "label", "n").distinct()
+    size = kin.groupBy("main").agg(
+        F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))) / CELLS).cast("int").alias("rows"),
+        F.ceil(F.sum("n") / CELLS).cast("int").alias("columns"))
+    kin = written(kin.join(size, "main"), "kin")
+    whole = kin.join(sequences, "key")
+
+    def dealt(rows, own: str, of: str, other: str, times: str, side: str):
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("key"), F.col(of)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+        return rows.select(*[F.col(c).alias(f"{side}_{c}") for c in (*keys, "key", "label", "seq")])
+
+    keys = ("main", "row", "column")
+
+    minor = dealt(whole.where("label <> main"), "row", "rows", "column", "columns", "a")
+    every = dealt(whole, "column", "columns", "row", "rows", "b")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            (ka, la, a), (kb, lb, b) = (
+                (t.column(f"{side}_key").to_pylist(), t.column(f"{side}_label").to_pylist(),
+                 [np.frombuffer(x, "<u8") for x in t.column(f"{side}_seq").to_pylist()])
+                for t, side in ((left, "a"), (right, "b")))
+            main = left.column("a_main")[0].as_py()
+            # A pair of two outside the largest component is compared from its lesser side only.
+            ask = np.array([[x != y and (y == main or x < y) for y in lb] for x in la])
+            pairs = [(i, j) for i, j in zip(*np.nonzero(ask & _possible(a, b, threshold)))]
+            yes = similar([(a[i], b[j]) for i, j in pairs], threshold)
+            found = [(ka[i], kb[j]) for (i, j), y in zip(pairs, yes) if y]
+        return pa.table({"a": pa.array([min(x) for x in found], pa.binary()),
+                         "b": pa.array([max(x) for x in found], pa.binary())})
+
+    found = minor.groupBy(*[f"a_{c}" for c in keys]).cogroup(every.groupBy(*[f"b_{c}" for c in keys])).applyInArrow(run, "a binary, b binary")
+    return written(found, "links")
+
+
+def _possible(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """(a, b) whether two sequences share as many labelled shingles as a link needs: counts by
+    products of 0/1 matrices over the shingles that occur on both sides."""
+    x, y = ([labelled(s) for s in part] for part in (a, b))
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    n, m = (np.array([len(s) for s in part]) for part in (a, b))
+    most = np.maximum(n[:, None], m[None, :])
+    allowed = np.floor((1 - threshold) * most + 1e-9)
+
+    def places(part):
+        row = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        s = np.concatenate(part)
+        at = np.minimum(np.searchsorted(both, s), max(len(both) - 1, 0))
+        ok = both[at] == s if len(both) else np.zeros(len(s), bool)
+        return row[ok], at[ok]
+
+    (ra, ca), (rb, cb) = places(x), places(y)
+    count = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(both), 4096):
+        u, v = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        for z, r, c in ((u, ra, ca), (v, rb, cb)):
+            here = (c >= lo) & (c < lo + 4096)
+            z[r[here], c[here] - lo] = 1
+        count += u @ v.T
+    return (np.abs(n[:, None] - m[None, :]) <= allowed) & (most - count <= allowed)
 
 
 def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -47,6 +47,7 @@ def test_banded_alignment():
         assert np.where(true <= band, d == true, d > band).all()
     alike = 1 - true / np.array([max(len(a), len(b)) for a, b in pairs])
     assert (N.similar(pairs, 0.8) == (alike >= 0.8 - 1e-9)).all()
+    assert all(N.anchored(a, b) >= t for (a, b), t in zip(pairs, true))
 
 
 def test_sketch(monkeypatch):
@@ -69,6 +70,17 @@ def test_sketch(monkeypatch):
     assert (N.sketch(s) == N.sketch(s[::-1])).mean() < 0.5
 
 
+def test_signature_bounds_the_distance():
+    r = random.Random(3)
+    for _ in range(200):
+        a = [r.randint(0, 400) for _ in range(r.randint(1, 80))]
+        b = [x for x in a if r.random() < 0.8] or [1]
+        a, b = (N.shingles(np.array(x, np.uint64)) for x in (a, b))
+        x, y = (np.unpackbits(N.signature(s).view(np.uint8)) for s in (a, b))
+        d = levenshtein(a.tolist(), b.tolist())
+        assert (x & ~y & 1).sum() <= d and (y & ~x & 1).sum() <= d
+
+
 def test_components(spark):
     r = random.Random(7)
     chain = [(i, i + 1) for i in range(100, 140)]
