@@ -1,8 +1,8 @@
-"""Feature columns (X13-X15, P8, P9): counts, label codes, assembled vectors."""
+"""Feature columns (X13-X15): counts and label codes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_count, word_count
@@ -32,19 +32,3 @@ def label_encode(df: DataFrame, class_col: str, out: str = "label") -> DataFrame
     codes = F.broadcast(class_codes(df, class_col).withColumnRenamed("label", out))
     return df.join(codes, class_col, "left")
 
-
-def assemble(df: DataFrame, vector_col: str, numeric: list[str], out: str = "features",
-             size: int | None = None) -> DataFrame:
-    """Concatenate a (sparse) vector with numeric columns; sparse stays sparse."""
-    from pyspark.ml.feature import VectorAssembler
-
-    va = VectorAssembler(inputCols=[vector_col, *numeric], outputCol=out, handleInvalid="keep")
-    return va.transform(df)
-
-
-def feature_names(spark: SparkSession, terms: list[str],
-                  numeric: tuple[str, ...] = NUMERIC_FEATURES) -> DataFrame:
-    """(feature_idx, feature_name, kind): terms first, then the numeric columns."""
-    rows = [(i, t, "term") for i, t in enumerate(terms)]
-    rows += [(len(terms) + j, n, "numeric") for j, n in enumerate(numeric)]
-    return spark.createDataFrame(rows, "feature_idx int, feature_name string, kind string")

@@ -57,6 +57,16 @@ def confusion_matrix(spark, sf_dir):
     return evaluate.confusion(detected(spark, sf_dir), "lang", "predicted")
 
 
+@query("confusion_matrix_wide", sql=f"""
+WITH {_DETECT_SQL}
+SELECT lang AS label, count(*) FILTER (predicted = 'de') AS de, count(*) FILTER (predicted = 'en') AS en,
+       count(*) FILTER (predicted = 'es') AS es, count(*) FILTER (predicted = 'fr') AS fr
+FROM pred GROUP BY lang""")
+def confusion_matrix_wide(spark, sf_dir):
+    """Rows: true class; a column per predicted class (A16, wide)."""
+    return evaluate.confusion_wide(detected(spark, sf_dir), ["de", "en", "es", "fr"], "lang", "predicted")
+
+
 @query("accuracy", sql=f"""
 WITH {_DETECT_SQL}
 SELECT count(*) AS n, round(avg(CASE WHEN lang = predicted THEN 1.0 ELSE 0.0 END), 9) AS accuracy

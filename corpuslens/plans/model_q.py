@@ -45,6 +45,7 @@ def prepared(spark, sf_dir):
 
 def fitted_forest(spark, sf_dir):
     d, fs = prepared(spark, sf_dir)
+    d = d.where(F.col("label").isNotNull())  # a NULL class neither trains nor scores
     rf = train.forest(d.where(F.col("split") == "train"), num_trees=NUM_TREES, seed=SEED)
     return d, fs, rf
 
@@ -105,6 +106,7 @@ def feature_entries(df, fs):
 def logistic_attribution_top(spark, sf_dir):
     """Exact linear attributions of a multinomial logistic regression, top 10 per class."""
     d, fs = prepared(spark, sf_dir)
+    d = d.where(F.col("label").isNotNull())
     lr = train.logistic(d.where(F.col("split") == "train"))
     codes = [r["class"] for r in features.class_codes(d, "class").orderBy("label").collect()]
     coef = explain.coefficient_table(spark, lr, codes)
@@ -284,6 +286,7 @@ def logistic_permutation(spark, sf_dir):
     """Top 10 features per class by permutation importance of the multinomial
     logistic regression (TF-IDF + counts), exact on the sparse entries."""
     d, fs = prepared(spark, sf_dir)
+    d = d.where(F.col("label").isNotNull())
     lr = train.logistic(d.where(F.col("split") == "train"))
     codes = [r["class"] for r in features.class_codes(d, "class").orderBy("label").collect()]
     coef = explain.coefficient_table(spark, lr, codes)
@@ -333,7 +336,7 @@ BOOST_STEP = 0.3
 def fitted_boosted(spark, sf_dir):
     """One binary GBT per class; the held-out split is the early-stopping set."""
     d, fs = prepared(spark, sf_dir)
-    d = d.withColumn("_is_val", F.col("split") == "test")
+    d = d.where(F.col("label").isNotNull()).withColumn("_is_val", F.col("split") == "test")
     classes = [int(r.label) for r in d.select("label").distinct().collect()]
     models = train.boosted_ovr(d, sorted(classes), max_iter=BOOST_ROUNDS, depth=BOOST_DEPTH,
                                step=BOOST_STEP, validation_col="_is_val", seed=SEED)
@@ -459,3 +462,79 @@ def row_importance(spark, sf_dir):
     imp = explain.row_importance(phi, n_classes)
     return imp.join(F.broadcast(explain.names_table(spark, fs.names)), "feature_idx") \
               .select("doc_id", "feature_name", "importance")
+
+
+# ----------------------------------------------- TreeSHAP on the boosted models
+
+def _boosted_shap(spark, sf_dir):
+    """Mean |TreeSHAP| of the boosted margins: (class, feature_name, score), with the class table."""
+    from ..operators import treeshap
+
+    d, fs, models = fitted_boosted(spark, sf_dir)
+    codes = features.class_codes(d, "class")
+    trees = treeshap.one_vs_rest_trees(spark, models, max(models) + 1)
+    test = d.where(F.col("split") == "test")
+    phi = treeshap.tree_shap(test, "doc_id", "features", trees, len(fs.names), average=False)
+    n_test = test.select(F.count(F.lit(1))).scalar()
+    ma = explain.mean_abs_by_class(phi, n_test)
+    named = (ma.join(F.broadcast(codes), "label")
+               .join(F.broadcast(explain.names_table(spark, fs.names)), "feature_idx"))
+    return named.select("class", "feature_name", "mean_abs"), codes
+
+
+@query("boosted_attribution_top")
+def boosted_attribution_top(spark, sf_dir):
+    """Mean |TreeSHAP| of the boosted margins per class and feature, top 10 per class."""
+    scores, _ = _boosted_shap(spark, sf_dir)
+    return explain.top_features(scores, TOP_N)
+
+
+@query("boosted_biased_words")
+def boosted_biased_words(spark, sf_dir):
+    """Words biased toward a class by the boosted model's attributions (B2), ranked by relative
+    gap within the class (T5)."""
+    scores, codes = _boosted_shap(spark, sf_dir)
+    scores = materialize(scores.select("class", F.col("feature_name").alias("term"),
+                                       F.col("mean_abs").alias("score")))
+    out = bias.biased_words(scores, codes.count(), mode="rel", threshold=REL_THRESHOLD)
+    return bias.ranked(out).select("class", "term", "score", "max_other", "rel_diff", "rank")
+
+
+@query("boosted_gain")
+def boosted_gain(spark, sf_dir):
+    """Top 10 features of each class's binary model by mean split gain."""
+    return _per_class(spark, sf_dir, lambda nodes, names: explain.top_features(
+        explain.gain_importance(nodes, names).withColumn("class", F.lit("")), TOP_N, score_col="gain")
+        .drop("class").select("feature_name", "gain", "splits", "rank"))
+
+
+@query("boosted_interactions")
+def boosted_interactions(spark, sf_dir):
+    """Split-gain interactions of each class's binary model."""
+    return _per_class(spark, sf_dir, explain.interactions)
+
+
+def _per_class(spark, sf_dir, fn):
+    d, fs, models = fitted_boosted(spark, sf_dir)
+    names = explain.names_table(spark, fs.names)
+    out = None
+    for r in features.class_codes(d, "class").orderBy("label").collect():  # the label set
+        t = fn(explain.node_table(spark, models[int(r["label"])]), names).withColumn(
+            "class", F.lit(r["class"]))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("boosted_multiclass_history")
+def boosted_multiclass_history(spark, sf_dir):
+    """Multiclass held-out log-loss per boosting round, and the round that a patience of 50 keeps."""
+    from ..operators import treeshap
+
+    d, fs, models = fitted_boosted(spark, sf_dir)
+    trees = treeshap.one_vs_rest_trees(spark, models, max(models) + 1)
+    rounds = [i for _, m in sorted(models.items()) for i in range(m.getNumTrees)]
+    losses = treeshap.boosted_losses(d.where(F.col("split") == "test"), "features", "label", trees,
+                                     rounds, len(fs.names))
+    rows = sorted((r["iteration"], r["log_loss"]) for r in losses.collect())  # a row per round
+    kept = treeshap.stop_round([v for _, v in rows])
+    return losses.withColumn("kept", F.col("iteration") == kept)

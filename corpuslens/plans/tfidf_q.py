@@ -91,3 +91,16 @@ def biased_words_rel(spark, sf_dir):
                  F.col("rel_diff")).otherwise(F.round("rel_diff", 6))
     return out.select("class", "term", F.round("score", 9).alias("score"),
                       F.round("max_other", 9).alias("max_other"), rel.alias("rel_diff"))
+
+
+@query("biased_words_ranked", sql=f"""
+WITH {_centroid_sql()}, {sql_max_other('cen', 'mean_tfidf')},
+rel AS (SELECT *, CASE WHEN max_other > 0 THEN (score - max_other) / max_other
+                       WHEN score > 0 THEN CAST('inf' AS DOUBLE) END AS rel_diff FROM mo2),
+r2 AS (SELECT class, term, CASE WHEN isinf(rel_diff) THEN rel_diff ELSE round(rel_diff, 6) END AS rel_diff
+       FROM rel WHERE rel_diff > {REL_THRESHOLD})
+SELECT class, term, rel_diff, CAST(row_number() OVER (PARTITION BY class ORDER BY rel_diff DESC, term)
+                                   AS BIGINT) AS rank FROM r2""")
+def biased_words_ranked(spark, sf_dir):
+    """The biased words in order of their relative gap within the class (T5)."""
+    return bias.ranked(biased_words_rel(spark, sf_dir)).select("class", "term", "rel_diff", "rank")

@@ -1,8 +1,7 @@
-"""Fixed schemas and a validation step (no inferred types anywhere)."""
+"""Fixed schemas (no inferred types anywhere)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 POSTS = T.StructType([
@@ -19,20 +18,3 @@ CLEAN = T.StructType(POSTS.fields + [
     T.StructField("label", T.IntegerType(), True),
 ])
 
-
-def validate(df: DataFrame, required: dict[str, str]) -> DataFrame:
-    """Check that ``df`` has the required columns with the given simple types.
-
-    ``required`` maps column name to a Spark simpleString such as ``"bigint"``.
-    Raises ``ValueError`` listing every problem; returns ``df`` unchanged.
-    """
-    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    problems = []
-    for name, typ in required.items():
-        if name not in have:
-            problems.append(f"missing column {name!r}")
-        elif typ and have[name] != typ:
-            problems.append(f"column {name!r} is {have[name]}, expected {typ}")
-    if problems:
-        raise ValueError("; ".join(problems))
-    return df
