@@ -57,35 +57,91 @@ def vocabulary(model_path: str) -> list[str]:
                    and re.fullmatch(f"{_MARK}?[^\\W\\d_]*", p)})
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
+class PieceTable:
+    """Numbers of pieces by a hash of their letters, looked up for many strings at a time: a
+    table of SLOTS slots a bucket, with a multiplier under which they suffice."""
+
+    BITS, SLOTS = 18, 3
+
+    def __init__(self, pieces: list[str]):
+        self.size = len(pieces)
+        keys = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in pieces],
+                        np.uint64).reshape(-1)
+        r = np.random.default_rng(0)
+        while True:
+            self.factor = np.uint64(int(r.integers(1 << 62)) * 2 + 1)
+            at = self._bucket(keys)
+            order = np.argsort(at, kind="stable")
+            same = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+            if (same < self.SLOTS).all():
+                break
+        self.keys = np.zeros((self.SLOTS, 1 << self.BITS), np.uint64)
+        self.ids = np.full((self.SLOTS, 1 << self.BITS), -1, np.int32)
+        self.keys[same, at[order]] = keys[order]
+        self.ids[same, at[order]] = order
+
+    @staticmethod
+    def step(h, letters):
+        with np.errstate(over="ignore"):
+            return (h ^ letters) * np.uint64(0x100000001B3) + np.uint64(0x9E3779B97F4A7C15)
+
+    def _hash(self, letters: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(letters), np.uint64)
+        for k in range(letters.shape[1]):
+            h = self.step(h, letters[:, k])
+        return h
+
+    def _bucket(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h * self.factor) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray, none: int) -> np.ndarray:
+        """Number of the piece of each hash, or ``none``."""
+        at = self._bucket(h)
+        out = np.where(self.keys[0, at] == h, self.ids[0, at], -1)
+        for k in range(1, self.SLOTS):
+            # Only where the bucket has one more piece.
+            left = np.flatnonzero((out < 0) & (self.ids[k, at] >= 0))
+            out[left] = np.where(self.keys[k, at[left]] == h[left], self.ids[k, at[left]], -1)
+        return np.where(out < 0, np.int32(none), out)
+
+
+def lattice(words: list[str], pieces: PieceTable) -> np.ndarray:
     """(words, n, MAX_PIECE) piece numbers of marked words of one length n: entry (j, k)
-    is the piece of k + 1 letters from j. len(pieces) is a letter without a piece,
-    len(pieces) + 1 no piece."""
-    n, v = len(words[0]), len(pieces)
-    wide = min(n, MAX_PIECE)
-    get = pieces.get
-    out = np.full((len(words), n, MAX_PIECE), v + 1, np.int32)
+    is the piece of k + 1 letters from j. pieces.size is a letter without a piece,
+    pieces.size + 1 no piece."""
+    n, v = len(words[0]), pieces.size
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(
+        len(words), n).astype(np.uint64).T.copy()
+    out = np.full((n, MAX_PIECE, len(words)), v + 1, np.int32)
     for j in range(n):
-        for k in range(min(wide, n - j)):
-            none = v if k == 0 else v + 1
-            out[:, j, k] = [get(w[j:j + k + 1], none) for w in words]
-    return out
+        h = np.zeros(len(words), np.uint64)
+        for k in range(min(MAX_PIECE, n - j)):
+            h = pieces.step(h, letters[j + k])
+            out[j, k] = pieces.find(h, v if k == 0 else v + 1)
+    return out.transpose(2, 0, 1)
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     """(words, n + 1, languages) probability of each prefix, summed over its segmentations.
     p: (pieces + 2, languages). Words are at most MAX_WORD letters, so nothing underflows."""
     w, n, m = ids.shape
-    alpha = np.zeros((w, n + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
+    alpha = np.zeros((n + 1, w, p.shape[1]))
+    alpha[0] = 1.0
+    none = len(p) - 1
     for i in range(1, n + 1):
         for k in range(min(m, i)):
-            alpha[:, i] += alpha[:, i - 1 - k] * p[ids[:, i - 1 - k, k]]
-    return alpha
+            at = ids[:, i - 1 - k, k]
+            some = np.flatnonzero(at != none)
+            if 2 * len(some) > w:
+                alpha[i] += alpha[i - 1 - k] * p[at]
+            elif len(some):
+                alpha[i, some] += alpha[i - 1 - k, some] * p[at[some]]
+    return alpha.transpose(1, 0, 2)
 
 
 def expected(words: list[str], counts: np.ndarray, p: np.ndarray,
-             pieces: dict[str, int]) -> np.ndarray:
+             pieces: PieceTable) -> np.ndarray:
     """Expected uses of every piece in the words (each ``counts`` times); p has one column."""
     total = np.zeros(len(p))
     by_len: dict[int, list[int]] = {}
@@ -136,7 +192,7 @@ def train(docs: DataFrame, pieces: list[str], lang_col: str = "lang", id_col: st
 
     words = map_batches(rows.where(part), make, "lang string, word string, n long", ("text",))
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    number = {p: i for i, p in enumerate(pieces)}
+    number = PieceTable(pieces)
     p = np.full((len(pieces) + 2, len(langs)), 1.0 / len(pieces))
     p[-2:] = [[FLOOR], [0.0]]
     for _ in range(rounds):
@@ -144,7 +200,7 @@ def train(docs: DataFrame, pieces: list[str], lang_col: str = "lang", id_col: st
     return langs, p
 
 
-def _round(words: DataFrame, number: dict, langs: list, p: np.ndarray, smooth: float) -> np.ndarray:
+def _round(words: DataFrame, number: PieceTable, langs: list, p: np.ndarray, smooth: float) -> np.ndarray:
     shipped = words.sparkSession.sparkContext.broadcast(cloudpickle.dumps((number, langs, p)))
 
     def run(batches):
@@ -177,7 +233,7 @@ def _round(words: DataFrame, number: dict, langs: list, p: np.ndarray, smooth: f
 class Scorer:
     """text -> log probability under each language, over remembered words."""
 
-    def __init__(self, pieces: dict[str, int], p: np.ndarray, bound: int = 200_000):
+    def __init__(self, pieces: PieceTable, p: np.ndarray, bound: int = 200_000):
         self.pieces, self.p, self.bound = pieces, p, bound
         self.number: dict[str, int] = {}
         self.logs = np.zeros((0, p.shape[1]))
@@ -224,13 +280,14 @@ def identify(docs: DataFrame, model, pieces: list[str], text_col: str = "text",
     rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     fields = [f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep))]
     langs, p = model
-    shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((langs, p, pieces)))
+    shipped = docs.sparkSession.sparkContext.broadcast(
+        cloudpickle.dumps((langs, p, PieceTable(pieces))))
 
     def make():
         import pickle
 
         langs, p, pieces = pickle.loads(shipped.value)
-        score = Scorer({x: i for i, x in enumerate(pieces)}, p)
+        score = Scorer(pieces, p)
 
         def run(batch):
             kept = {f"c{i}": batch.column(i) for i in range(len(keep))}

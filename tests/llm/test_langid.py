@@ -29,13 +29,13 @@ def test_forward_sums_all_segmentations():
     p = np.vstack([rng.random((len(pieces), 2)), np.full((1, 2), 0.01), np.zeros((1, 2))])
     for n in range(1, 7):
         words = ["▁" + "".join(w) for w in itertools.product("abz", repeat=n)][:200]
-        got = G.forward(G.lattice(words, pieces), p)[:, -1]
+        got = G.forward(G.lattice(words, G.PieceTable(list(pieces))), p)[:, -1]
         for w, g in zip(words, got):
             want = sum(np.prod([p[pieces.get(s, len(pieces))] for s in seg], axis=0)
                        for seg in segmentations(w, pieces))
             assert np.allclose(g, want)
     words, count = ["▁ab", "▁aab", "▁bab"], np.array([2.0, 1.0, 3.0])
-    total = G.expected(words, count, p[:, :1], pieces)
+    total = G.expected(words, count, p[:, :1], G.PieceTable(list(pieces)))
     want = np.zeros(len(p))
     for w, c in zip(words, count):
         segs = list(segmentations(w, pieces))
@@ -49,13 +49,14 @@ def test_forward_sums_all_segmentations():
 def test_scorer_sums_words():
     pieces = {p: i for i, p in enumerate(["▁", "a", "b", "▁a"])}
     p = np.vstack([np.random.default_rng(2).random((4, 3)), np.full((1, 3), 0.1), np.zeros((1, 3))])
-    s = G.Scorer(pieces, p, bound=2)
+    table = G.PieceTable(list(pieces))
+    s = G.Scorer(table, p, bound=2)
     texts = ["a b ab", None, "", "12 !", "ab zz", "x" * 100]
     for _ in range(2):
         logs, n = s(texts)
         assert n.tolist() == [3, 0, 0, 0, 2, 4]
         for t, row_ in zip(texts, logs):
-            want = sum((np.log(G.forward(G.lattice(["▁" + w], pieces), p)[0, -1])
+            want = sum((np.log(G.forward(G.lattice(["▁" + w], table), p)[0, -1])
                         for w in G.words_of(t)), np.zeros(3))
             assert np.allclose(row_, want)
 
