@@ -22,7 +22,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 # is just that mark would come back as NULL.
 _CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-                "nullValue": "\\N", "emptyValue": ""}
+                "nullValue": "\\N"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:

@@ -15,14 +15,6 @@ def _levenshtein(a, b):
     return prev[-1]
 
 
-def test_deletes(spark):
-    df = spark.createDataFrame([("cats",)], "w string")
-    got = set(df.select(L.deletes("w", 2).alias("d")).collect()[0].d)
-    exp = {"cats"} | {"cats"[:i] + "cats"[i + 1:] for i in range(4)}
-    exp |= {w[:i] + w[i + 1:] for w in list(exp) if len(w) == 3 for i in range(3)}
-    assert got == exp
-
-
 def test_lemma_table_brute_force(spark):
     words = ["cats", "cat", "boxes", "box", "women", "dogs", "churches", "church", "ladies", "lady",
              "is", "i", "glasses", "glass"]
@@ -46,7 +38,7 @@ def test_lemma_table_brute_force(spark):
 
 
 def test_spelling_brute_force(spark):
-    corpus = (["spelling"] * 9 + ["spelled"] + ["them"] * 6 + ["then"] * 6 + ["speling", "thme", "xq"])
+    corpus = (["spelling"] * 9 + ["spelled"] + ["them"] * 6 + ["then"] * 6 + ["speling", "thme", "xq", "cuty", "a", "ts", "éth", "thé"] + ["cats"] * 9 + ["at"] * 7)
     toks = spark.createDataFrame([(1, corpus)], "id long, t array<string>")
     d = L.distinct_tokens(toks, "t")
     dic = d.where(F.col("freq") >= 5).select(F.col("token").alias("word"), "freq")
@@ -55,7 +47,7 @@ def test_spelling_brute_force(spark):
     dictionary = {w: c for w, c in freq.items() if c >= 5}
     exp = {}
     for t in freq:
-        if t in dictionary or len(t) < 3:
+        if t in dictionary:
             continue
         by_dist = {}
         for w, c in dictionary.items():
@@ -68,4 +60,28 @@ def test_spelling_brute_force(spark):
             if c / sum(x for x, _ in cls) >= 0.85:
                 exp[t] = w
     assert got == exp
-    assert got.get("speling") == "spelling" and "thme" not in got
+    assert got.get("speling") == "spelling" and "thme" not in got and got.get("cuty") == "cats"
+
+
+def test_near_words_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    words = {"".join(r.choice("abcé") for _ in range(r.randint(1, 7))) for _ in range(120)}
+    tokens = {"".join(r.choice("abcé") for _ in range(r.randint(1, 7))) for _ in range(120)}
+    dic = spark.createDataFrame([(w, 1) for w in words], "word string, freq long")
+    tok = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = {(x.token, x.word): x.dist for x in L.near_words(tok, dic, 2).collect()}
+    assert got == {(t, w): d for t in tokens for w in words if (d := _levenshtein(t, w)) <= 2}
+
+
+def test_map_tokens_both_ways(spark):
+    rows = [(1, ["cats", "a", "cats", "b"]), (2, []), (3, None), (1, ["a"]), (None, ["cats", None])]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    table = spark.createDataFrame([("cats", "cat"), ("b", "b")], "token string, lemma string")
+    for drop in (False, True):
+        out = [sorted((str(r.id), str(r.t), r.o) for r in
+                      L.map_tokens(df, "id", "t", table, "o", drop, max_bytes=size).collect())
+               for size in (1 << 20, 0)]
+        assert out[0] == out[1]
+    assert ("2", "[]", []) in out[0] and ("1", "['cats', 'a', 'cats', 'b']", ["cat", "cat", "b"]) in out[0]

@@ -54,6 +54,14 @@ def test_contractions(spark):
     assert got == ["do not stop", "it is they will go", "no apostrophe"]
 
 
+def test_contractions_by_token(spark):
+    texts = ["don't don't", "y'all've don’t", "l'homme it's", "'tis 'don't' x", "can't-won't", None, "she'llx"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r.e for r in with_expanded_contractions(df, "s", "e").collect()]
+    assert got == ["do not do not", "you all've do not", "l'homme it is", "'tis 'do not' x",
+                   "cannot-will not", None, "she'llx"]
+
+
 def test_remove_words_keeps_order_and_duplicates(spark):
     df = spark.createDataFrame([(["a", "the", "b", "a", "the"],)], "t array<string>")
     assert df.select(T.remove_words("t", ["the"]).alias("x")).collect()[0].x == ["a", "b", "a"]
@@ -72,3 +80,18 @@ def test_user_functions_null_guard_and_batches(spark):
 
     out = {r.id: r.s for r in map_partitions(df.repartition(3), upper, "id long, s string").collect()}
     assert out == {1: "A  B\tC", 2: None, 3: ""}
+
+
+def test_user_function_never_sees_null_numbers(spark):
+    from corpuslens.functions.user import map_column
+
+    seen = spark.createDataFrame([(1,), (None,), (3,)], "v long").union(
+        spark.createDataFrame([(None,), (5,)], "v long"))
+
+    def add_one(v):
+        assert v == v and v is not None
+        return int(v) + 1
+
+    got = sorted((r.v, r.o) for r in map_column(seen, "v", add_one, "o", "bigint").collect() if r.v)
+    assert got == [(1, 2), (3, 4), (5, 6)]
+    assert map_column(seen, "v", add_one, "o", "bigint").where("v IS NULL AND o IS NULL").count() == 2
