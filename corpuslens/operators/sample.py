@@ -4,7 +4,9 @@ Every random choice is a hash of (row id, seed), so results do not depend on
 partitioning, task retries or executor loss:
 
 * order key: ``md5(id | seed)`` (hex), ties by id;
-* cap / down-sample: keep the rows ranked <= k in their group, ranks from the
+* cap: keep the first k rows of each group in that order (``topk.top_k``, salted, so a hot
+  group is cut down in many tasks);
+* down-sample: keep the rows ranked <= k in their group, ranks from the
   skew-safe ``topk.hash_rank`` (a hot group is split into 65,536 hash ranges);
 * sampling with replacement: draw slot ``i`` of class ``c`` picks the row at
   position ``h(c | i | seed) mod size`` of the class, an equi-join on
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .profile import cap_from_percentile, group_sizes
-from .topk import hash_rank
+from .topk import hash_rank, top_k
 
 DEFAULT_SEED = 42
 DRAW_CHUNK = 100_000
@@ -48,9 +50,10 @@ def cap_per_group(df: DataFrame, key: str, id_col: str, k=None, q: float = 0.95,
     if k is None:
         k = cap_from_percentile(group_sizes(base, key, "_size"), "_size", q)
     k_col = k if isinstance(k, Column) else F.lit(int(k))
-    ranked = hash_rank(base.withColumn("_h", order_key(id_col, seed)), [key], "_h", id_col,
-                       rank_col="_rank")
-    return ranked.where(F.col("_rank") <= k_col).drop("_h", "_rank")
+    # k rows of each salted sub-group of a key suffice: only they are ranked together.
+    order = [F.col("_h").asc(), F.col(id_col).asc()]
+    return top_k(base.withColumn("_h", order_key(id_col, seed)), [key], order, k_col, rank_col="_rank",
+                 salt_on=[id_col]).drop("_h", "_rank")
 
 
 def class_sizes(df: DataFrame, class_col: str) -> DataFrame:
