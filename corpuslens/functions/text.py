@@ -127,19 +127,6 @@ def term_counts(df, tokens_col: str, keys: list[str]):
         F.sum(F.when(occ, 1).otherwise(0)).cast("bigint").alias("tf"))
 
 
-def bag_of_words(tokens) -> Column:
-    """Doc-local term counts: array<struct<term string, tf bigint>>, sorted by term.
-
-    Sort once, mark run starts by comparing each element with its predecessor,
-    and take run lengths from consecutive starts. O(n log n) per row and no
-    shuffle, so per-document counts never need a (doc, term) exchange.
-    Operators should prefer ``with_bag``, which materialises the intermediate
-    arrays so none is recomputed per reference.
-    """
-    s = F.sort_array(_c(tokens), asc=True)
-    return _bag_from(s, _run_starts(s))
-
-
 def _run_starts(s: Column) -> Column:
     """Boolean per position of a sorted array: does a new run start here?"""
     n = F.size(s)

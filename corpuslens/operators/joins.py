@@ -1,8 +1,8 @@
 """Join strategies for a big table against a dimension of unknown size.
 
-``lookup_join`` broadcasts the small side only when its measured bytes fit; otherwise it salts
-the join key so a hot key (a trigram or word present in a third of all rows) is spread over as
-many tasks as the session shuffles to.
+A side is broadcast only when its measured bytes fit (``fits_broadcast``); otherwise ``salted_join``
+salts the key, so a hot one (a trigram or word present in a third of all rows) is spread over
+many tasks.
 """
 
 from __future__ import annotations
@@ -45,12 +45,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0),
                                                                   F.lit(salt_buckets - 1))))
     return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
-
-
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                max_bytes: int = BROADCAST_MAX_BYTES, salt_buckets: int | None = None,
-                salt_from: list[str] | None = None) -> DataFrame:
-    """Broadcast hash join when ``small`` is proven small, else a salted shuffle join."""
-    if fits_broadcast(small, max_bytes):
-        return big.join(F.broadcast(small), keys, how)
-    return salted_join(big, small, keys, how, salt_buckets, salt_from)

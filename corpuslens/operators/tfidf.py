@@ -22,16 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import term_counts, vector_terms
+from ..functions.text import term_counts, vector_terms  # noqa: F401  vector_terms: for callers
 from .topk import top_counts, top_k
 
 GLOBAL = "__all__"
 
 
-def tokenize(df: DataFrame, text_col: str, out_col: str = "tokens") -> DataFrame:
-    return df.withColumn(out_col, vector_terms(text_col))
-
-
 def term_stats(df: DataFrame, tokens_col: str, class_col: str | None = None) -> DataFrame:
     """(class, term, df, tf) over all documents of each class (one shuffle)."""
     scope = F.col(class_col) if class_col else F.lit(GLOBAL)
