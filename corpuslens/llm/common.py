@@ -38,14 +38,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def groups(batches: Iterator[pa.RecordBatch], text_cols: tuple[str, ...],
            limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows of about ``limit`` bytes of text."""
+    """Cut Arrow batches into runs of rows of about ``limit`` bytes of text (of lists: numbers of 4 bytes)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.zeros(batch.num_rows, np.int64)
         for c in text_cols:
-            size += pc.binary_length(batch.column(c)).fill_null(0).to_numpy(
-                zero_copy_only=False).astype(np.int64)
+            col = batch.column(c)
+            n = pc.multiply(pc.list_value_length(col), 4) if pa.types.is_list(col.type) \
+                else pc.binary_length(col)
+            size += n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size + 64) // limit
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -54,7 +56,7 @@ def groups(batches: Iterator[pa.RecordBatch], text_cols: tuple[str, ...],
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str,
-                text_cols: tuple[str, ...] = ()) -> DataFrame:
+                text_cols: tuple[str, ...] = (), limit: int = GROUP_BYTES) -> DataFrame:
     """``mapInArrow`` over groups of rows. ``make`` runs once a task and returns
     the function from a batch to a dict of column values."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,7 +65,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
     def run(batches):
         fn = None
-        for batch in groups(batches, text_cols):
+        for batch in groups(batches, text_cols, limit):
             fn = fn or make()
             cols = fn(batch)
             yield pa.RecordBatch.from_arrays(

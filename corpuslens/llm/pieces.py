@@ -173,7 +173,7 @@ def together(rows: np.ndarray, size: np.ndarray, keys: np.ndarray, vocab: Vocabu
 class Encoder:
     """text -> ids, with chunks remembered up to a bound."""
 
-    def __init__(self, vocab: Vocabulary, seed: int = 0, rate: float = 0.0, bound: int = 300_000):
+    def __init__(self, vocab: Vocabulary, seed: int = 0, rate: float = 0.0, bound: int = 200_000):
         self.vocab, self.seed, self.rate, self.bound = vocab, seed, rate, bound
         # Symbol of each code point: its piece, or minus the code point, minus 1.
         self.symbol = -1 - np.arange(0x110000, dtype=np.int64)
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0, v
 
         return run
 
-    return map_batches(rows, make, f"doc_id {kind}, variant int, ids array<int>", ("text",))
+    return map_batches(rows, make, f"doc_id {kind}, variant int, ids array<int>", ("text",), 1 << 21)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids",
@@ -335,4 +335,5 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids",
         return run
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema))
-    return map_batches(rows, make, f"{schema}, text string").toDF(*names, text_col)
+    # A few numbers are held for each byte of text, so the groups are small.
+    return map_batches(rows, make, f"{schema}, text string", (f"c{at}",), 1 << 20).toDF(*names, text_col)
