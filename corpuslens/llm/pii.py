@@ -27,7 +27,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ import time
 from corpuslens.llm import pii as I
 
 from ..conftest import SF_SMALL
-from .common import SCHEMA, hard, none, row
+from .common import hard, none
 
 NAIVE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
