@@ -139,13 +139,14 @@ def trees(rows: DataFrame, ranks_path: str, json_path: str, conv_col: str = "con
     distinct = convs.groupBy(F.element_at("path", -1).alias("leaf")).agg(F.first("path").alias("path"))
     paths = written(distinct.select("path").repartitionByRange(n, "path").sortWithinPartitions("path")
                     .select(F.monotonically_increasing_id().alias("nr"), "path"), "sorted")
-    steps = paths.select("nr", F.posexplode("path").alias("depth", "node"),
-                         F.element_at("path", 1).alias("tree"),
-                         F.col("path").alias("up"))
+    parents = F.concat(F.array(F.lit(None).cast("binary")), F.expr("slice(path, 1, size(path) - 1)"))
+    steps = paths.select("nr", F.element_at("path", 1).alias("tree"), F.posexplode(F.arrays_zip(
+        F.col("path").alias("node"), parents.alias("parent"))).alias("depth", "step")).select(
+        "nr", "tree", "depth", "step.node", "step.parent")
+    # The same for all paths that hold a node, so any one will do.
     owners = steps.groupBy("node").agg(
         F.min("nr").alias("nr"), F.first("depth").cast("long").alias("depth"),
-        F.first("tree").alias("tree"),
-        F.first(F.when(F.col("depth") > 0, F.expr("up[depth - 1]"))).alias("parent"))
+        F.first("tree").alias("tree"), F.first("parent").alias("parent"))
 
     turns = convs.select(F.explode(F.arrays_zip("path", "roles", "texts")).alias("t")).select(
         F.col("t.path").alias("node"), F.col("t.roles").alias("role"), F.col("t.texts").alias("text"))
