@@ -57,20 +57,20 @@ class Vocabulary:
         order = sorted(plain, key=lambda i: (-self.score[i], i))
         self.rank = np.full(n, len(order), np.int64)
         self.rank[order] = np.arange(len(order))
-        self.of_rank = np.array(order, np.int64)
+        self.of_rank = np.array(order, np.int32)
         pairs = [(self.number[p[:k]] * n + self.number[p[k:]], i)
                  for p, i in self.number.items() for k in range(1, len(p))
                  if p[:k] in self.number and p[k:] in self.number]
         pairs.sort()
         self.pair_key = np.array([k for k, _ in pairs], np.int64)
-        self.pair_rank = np.array([self.rank[i] for _, i in pairs], np.int64)
+        self.pair_rank = np.array([self.rank[i] for _, i in pairs], np.int32)
 
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that two symbols make, or the number of pieces. Symbols that are no
         piece are negative."""
-        key = np.where((left < 0) | (right < 0), -1, left * len(self.pieces) + right)
+        key = np.where((left < 0) | (right < 0), -1, left * np.int64(len(self.pieces)) + right)
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], len(self.pieces))
+        return np.where(self.pair_key[at] == key, self.pair_rank[at], np.int32(len(self.pieces)))
 
 
 def chunks(text: str) -> list[str]:
@@ -130,9 +130,9 @@ def together(rows: np.ndarray, size: np.ndarray, keys: np.ndarray, vocab: Vocabu
     that was merged away is gone, the others keep their order."""
     none = len(vocab.pieces)
     w, n = rows.shape
-    sym, size = rows.copy(), size.copy()
-    start = np.broadcast_to(np.arange(n), rows.shape).copy()
-    rank = np.full((w, n), none, np.int64)
+    sym, size = rows.astype(np.int32), size.copy()
+    start = np.broadcast_to(np.arange(n, dtype=np.int32), rows.shape).copy()
+    rank = np.full((w, n), none, np.int32)
 
     def ranked(r, c):
         """Rank of the merge at column c of row r; none where it is skipped or there's none."""
