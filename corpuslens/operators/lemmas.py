@@ -145,15 +145,16 @@ def near_words(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2) -> D
     wanted = []
     for d in range(-max_dist, max_dist + 1):
         for i, (a, size) in enumerate(_parts(token_len + d, n)):
-            for shift in range(-max_dist, max_dist + 1):
+            # A part that is kept at a shift costs at least |shift| edits before it and
+            # |shift + d| behind it.
+            for shift in range(-((max_dist + d) // 2), (max_dist - d) // 2 + 1):
                 at = a + shift
                 inside = (token_len + d >= 0) & (at >= 1) & (at + size - 1 <= token_len)
                 wanted.append(F.when(inside, F.struct(
                     (token_len + d).alias("len"), F.lit(i).alias("part"),
                     F.substring(F.col("token"), at, size).alias("piece"))))
-    wanted = F.filter(F.array_distinct(F.array(*wanted)), lambda k: k.isNotNull())
-    tk = tokens.select("token", F.explode_outer(wanted).alias("k")).where("k IS NOT NULL").select(
-        "token", "k.*")
+    tk = tokens.select("token", F.explode_outer(F.array_distinct(F.array(*wanted))).alias("k")).where(
+        "k IS NOT NULL").select("token", "k.*")
     pairs = tk.join(dk, ["len", "part", "piece"]).select(
         "token", "word", "freq", F.levenshtein("token", "word", max_dist).alias("dist"))
     return pairs.where(F.col("dist") >= 0).distinct()
