@@ -6,6 +6,11 @@ lane hashes the labelled shingles with its own function, takes the PICK smallest
 them in text order, so lanes agree with the similarity of the sets and of the order: an
 edit-sensitive minhash. Texts that agree on a lane are candidates.
 
+Lanes can't be trusted with few shingles, so short texts (up to SHORT shingles) have an exact
+way instead: the shingles of the texts that can be as like as ``threshold`` to a short one are
+counted, and each such text is a candidate by its rarest ones, one more than the edits allowed. Two
+texts that are alike share one of these (prefix filtering), so no link of a short text is missed.
+
 Similarity is 1 - edit distance / the longer length, over shingle sequences; pairs of at least
 ``threshold`` are links. Texts of the same words are one class (its key a hash of the words)
 before anything is compared. Candidates aren't expanded into all pairs. In each of ROUNDS rounds,
@@ -45,6 +50,8 @@ LANES = 40
 PICK = 5
 ROUNDS = 2
 SIGNS = 4
+#: Shingles of a text up to which its candidates are found exactly.
+SHORT = 40
 _WORD = re.compile(r"\w+")
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
@@ -249,8 +256,9 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.
     return yes
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, key, n, lanes, signs) per row; ``mark`` is a hash of the text as it stands."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
+    """(doc_id, mark, key, n, lanes, grams, signs) per row; ``mark`` is a hash of the text as it
+    stands. Texts up to SHORT shingles have no lanes, those up to ``few`` all labelled shingles."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -259,22 +267,42 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         words = WordHashes()
 
         def run(batch):
-            key, n, lanes, signs = [], [], [], []
+            key, n, lanes, grams, signs = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 w = words_of(text)
                 key.append(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"),
                                            digest_size=16).digest())
                 s = shingles(words.of(w))
                 n.append(len(s))
-                lanes.append(sketch(s).view(np.int64) if len(s) else [])
+                lanes.append(sketch(s).view(np.int64) if len(s) > SHORT else [])
+                grams.append(labelled(s).view(np.int64) if len(s) <= few else [])
                 signs.append(signature(s))
             return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "key": key,
-                    "n": n, "lanes": lanes, "signs": signs}
+                    "n": n, "lanes": lanes, "grams": grams, "signs": signs}
 
         return run
 
     return map_batches(rows, make, f"doc_id {kind}, mark long, key binary, n long, "
-                                   "lanes array<bigint>, signs array<bigint>", ("text",))
+                                   "lanes array<bigint>, grams array<bigint>, signs array<bigint>",
+                       ("text",))
+
+
+def _rarest(first: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, bucket): the rarest labelled shingles of the texts that have ``grams``, one more
+    than a link may leave unmatched. Those that no other text has are no buckets."""
+
+    def allowed(n):
+        return F.floor((1 - threshold) * n + 1e-9).cast("int")
+
+    # A text of which not even one more shingle may differ is like its own class only.
+    each = first.where(allowed(F.col("n") + 1) > 0).select("key", "n", F.explode("grams").alias("gram"))
+    each = written(each, "grams")
+    times = each.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    least = each.join(times, "gram").groupBy("key", "n").agg(
+        F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("grams"))
+    return least.select("key", "n", F.explode(F.slice("grams", F.lit(1), allowed(F.col("n")) + 1))
+                        .alias("gram")).where("gram.times > 1").select(
+        "key", "n", F.col("gram.gram").alias("bucket"))
 
 
 def _linked(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
@@ -335,11 +363,13 @@ def _open(member: DataFrame, labels: DataFrame | None) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): (doc_id, mark, key) of every row, and (node, label) of the linked classes."""
-    sketched = written(_sketches(docs, id_col, text_col), "sketches")
+    few = int(SHORT / threshold + 1e-6)  # the longest that can be like a short one
+    sketched = written(_sketches(docs, id_col, text_col, few), "sketches")
     first = written(sketched.groupBy("key").agg(
         F.min(F.struct("doc_id", "mark")).alias("row"), F.first("n").alias("n"),
-        F.first("lanes").alias("lanes"), F.first("signs").alias("signs"))
-        .select("key", "row.doc_id", "row.mark", "n", "lanes",
+        F.first("lanes").alias("lanes"), F.first("grams").alias("grams"),
+        F.first("signs").alias("signs"))
+        .select("key", "row.doc_id", "row.mark", "n", "lanes", "grams",
                 *[F.col("signs")[k].alias(f"sign{k}") for k in range(SIGNS)]), "classes")
     signs = [f"sign{k}" for k in range(SIGNS)]
 
@@ -353,7 +383,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (F.abs(n - m) <= allowed) & (alone[0] <= allowed) & (alone[1] <= allowed)
 
     # Buckets of more than one class.
-    member = first.select("key", "n", F.explode("lanes").alias("bucket"))
+    member = written(first.select("key", "n", F.explode("lanes").alias("bucket")).unionByName(
+        _rarest(first, threshold)), "members")
     many = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = member.join(many.select("bucket"), "bucket", "left_semi")
     member = written(member.join(first.select("key", *signs), "key"), "buckets")

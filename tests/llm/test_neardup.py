@@ -170,3 +170,42 @@ def test_hard_rows(spark):
     assert len([r for r in kept if r["doc_id"] == 3]) == 1
     assert len([r for r in kept if r["doc_id"] is None]) == 1
     assert N.groups_of(none(spark)).collect() == [] and N.first_of_groups(none(spark)).collect() == []
+
+
+def test_short_texts_equal_brute_force(spark):
+    """Texts of 8 to 25 words (and a little more) at a similarity of 0.8: no link is lost."""
+    r, out = random.Random(11), []
+    words = [f"w{i}" for i in range(3000)]
+    line = [r.choice(words) for _ in range(9)]  # a common line must not make links
+    for n in range(4, 60):
+        for k in range(4):
+            base = [r.choice(words) for _ in range(n)]
+            if k == 3:
+                base = line + base
+            allowed = max(1, (len(base) - 4) // 5)
+            out += [base, base + ["zz"] * k, ["zy"] + base[1:], base[:-1] + ["zx"],
+                    base[allowed:], base[:-allowed], ["za"] * allowed + base[allowed:]]
+    texts = sorted({" ".join(t) for t in out})
+    rows = N.groups_of(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()
+    got = {x["doc_id"]: x["group_id"] for x in rows}
+    seqs = [N.shingles(WordHashes().of(N.words_of(t))) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)
+             if abs(len(seqs[a]) - len(seqs[b])) <= 0.2 * max(len(seqs[a]), len(seqs[b])) + 1e-9]
+    yes = N.similar([(seqs[a], seqs[b]) for a, b in pairs], 0.8)
+    assert yes.sum() > 1000
+    for (a, b), y in zip(pairs, yes):
+        if y:
+            a, b = sorted((find(a), find(b)))
+            label[b] = a
+    assert got == {i: find(i) for i in range(len(texts))}
+    # 8 words and the same 8 plus one; two texts of 9 words that differ in the last.
+    short = ["a b c d e f g h", "a b c d e f g h i", "k l m n o p q r s", "k l m n o p q r t"]
+    rows = N.groups_of(spark.createDataFrame([row(i, t) for i, t in enumerate(short)], SCHEMA)).collect()
+    assert {x["doc_id"]: x["group_id"] for x in rows} == {0: 0, 1: 0, 2: 2, 3: 2}
