@@ -8,8 +8,10 @@ weights for the shapes at offsets -3..3 and for neighbouring pairs, and for
 transitions. It is trained on the driver from a small labelled table (``TRAINING``, filled
 in by a seeded rule) by gradient ascent, and decoded by Viterbi in numpy, many
 sequences at a time. Its sequences are the maximal runs of tokens within REACH
-tokens of one with a digit or an ``@``; tokens farther away are outside by definition, so
-whole texts are read but plain prose costs little. What the field finds is checked
+tokens of one with a digit, an ``@`` or the word "at" or "dot", each grown to the blanks on both sides, so
+that no address is cut; tokens farther away are outside by definition, so
+whole texts are read but plain prose costs little. An address that is found is grown to the whole
+local part before it and the whole domain behind it. What the field finds is checked
 (digit counts, Luhn, parts up to 255) and added where no base span stands.
 
 Base kinds, each leftmost and without overlaps: email, ip (parts up to 255), card (13-19
@@ -43,7 +45,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: An address that lacks its local part, and what a domain goes on with.
+_LEAD = re.compile(r"@|[(\[]at[)\]]")
+_TAIL = re.compile(r"[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*+")
+_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -95,6 +100,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _N_SHAPES = 200
 _EDGE = 199
+#: Shapes of the words "at" and "dot" (code points of digits, which no single character's shape is).
+_AT, _DOT = 48, 49
 _OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 _N_FEATURES = len(_OFFSETS) * _N_SHAPES + 2 * _N_SHAPES * _N_SHAPES
 
@@ -144,7 +151,15 @@ def shapes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         [196 + (n > 1), np.full(len(n), 198), 175 + np.minimum(n, 20),
          127 + case * 12 + np.minimum(n, 12), np.where(upper > 0, 64, 96) + np.minimum(n, 26)],
         np.minimum(cp[starts], 127))
-    return starts, ends, shape.astype(np.int64)
+    shape = shape.astype(np.int64)
+    low = np.where(cp < 128, cp | 32, 0)
+    for word, own in (("at", _AT), ("dot", _DOT)):
+        at = np.flatnonzero((first == 2) & (digits == 0) & (n == len(word)))
+        same = np.ones(len(at), bool)
+        for k, c in enumerate(word):
+            same &= low[starts[at] + k] == ord(c)
+        shape[at[same]] = own
+    return starts, ends, shape
 
 
 def features(shape: np.ndarray) -> np.ndarray:
@@ -179,6 +194,10 @@ TRAINING = (
     "{w} {w} {phone} {card} {w}",
     "{w} {phone} {w}. {ip} {w} {card}, {w}",
     "{W} {ip} {w} {ip}",
+    "{w} {w} {email} {w} {w}",
+    "{w}: {email}, {W} {w}",
+    "{w} {w} at {w} {w}, {w} at {w}.",
+    "{w} at {number} {w} (at {w}). {W} dot {w}",
     "{w} {w}, {secret} {w} {w}",
     "{W} {w} {secret}. {w}",
     "{w} {w} {w}, {w} {w}. {W} {w} {w}.",
@@ -224,6 +243,12 @@ def _fill(field: str, r: random.Random) -> str:
             return word().capitalize()
         case "email":
             dom = f"{name()}{r.choice(['', d(1)])}{r.choice(['.example', '.mail', ''])}"
+            if r.random() < 0.5:  # without a digit, of several parts
+                local = r.choice("._-").join(name() for _ in range(r.randint(1, 4)))
+                parts = [*(name() for _ in range(r.randint(1, 3))), r.choice(["com", "org", "net", "de"])]
+                at = r.choice([" @ ", " @ ", "@ ", " @", " (at) ", " (at) ", "(at)", " [at] "])
+                return local + at + (r.choice([" (dot) ", " [dot] "]) if at.strip()[0] in "[("
+                                     and r.random() < 0.3 else ".").join(parts)
             return r.choice([f"{name()}.{d(2)}@{dom}.com", f"{name()}@{dom}.org",
                              f"{name()}_{name()}@{dom}.net", f"{name()} @ {dom}.com",
                              f"{name()}{d(2)} (at) {dom}.org", f"{name()}{d(2)} @ {dom}.com"])
@@ -374,12 +399,16 @@ def viterbi(scores: list[np.ndarray], tr: np.ndarray, cells: int = 1 << 17) -> l
 
 
 def _near(shape: np.ndarray) -> np.ndarray:
-    """Whether a token is within REACH tokens of a digit token or an ``@``."""
+    """Whether a token is within REACH tokens of a digit token, an ``@``, "at" or "dot", or in one
+    run without blanks with such a token."""
     hit = ((shape > 175) & (shape < 196)) | (shape == ord("@")) | (
-        (shape > 64) & (shape < 91)) | ((shape > 96) & (shape < 123))
+        (shape > 64) & (shape < 91)) | ((shape > 96) & (shape < 123)) | (shape == _AT) | (shape == _DOT)
     c = np.concatenate([[0], np.cumsum(hit)])
     n, i = len(shape), np.arange(len(shape))
-    return c[np.minimum(i + REACH + 1, n)] > c[np.maximum(i - REACH, 0)]
+    near = c[np.minimum(i + REACH + 1, n)] > c[np.maximum(i - REACH, 0)]
+    solid = shape < 196
+    run = np.cumsum(~solid)
+    return near | (solid & (np.bincount(run[near & solid], minlength=n + 1)[run] > 0))
 
 
 def field_spans(texts: list[str], model) -> list[list[tuple[str, int, int]]]:
@@ -397,6 +426,7 @@ def field_spans(texts: list[str], model) -> list[list[tuple[str, int, int]]]:
         for a, b in edge.reshape(-1, 2):
             seqs.append(w[feats[a:b]].sum(1))
             where.append((i, starts[a:b], ends[a:b], shape[a:b]))
+    of, begin = -1, 0  # a text and the end of its last address
     for path, (i, starts, ends, shape) in zip(viterbi(seqs, tr), where):
         cut = np.flatnonzero(np.diff(np.concatenate([[0], path, [0]])))
         for a, b in zip(cut, cut[1:]):
@@ -409,15 +439,35 @@ def field_spans(texts: list[str], model) -> list[list[tuple[str, int, int]]]:
                 b -= 1
             if a < b:
                 s, e = int(starts[a]), int(ends[b - 1])
+                if kind == "email":
+                    if i != of:
+                        of, begin = i, 0
+                    if s < begin:
+                        continue
+                    s, e = _grown(texts[i], s, e, begin)
+                    begin = e
                 if _plausible(kind, texts[i][s:e]):
                     out[i].append((kind, s, e))
     return out
 
 
+def _grown(text: str, s: int, e: int, begin: int) -> tuple[int, int]:
+    """An address with the whole local part before it (at ``begin`` at the earliest) and all parts of
+    its domain."""
+    at = s
+    if _LEAD.match(text, s):
+        while at > begin and text[at - 1] in " \t":
+            at -= 1
+    first = at
+    while first > begin and text[first - 1] in _LOCAL:
+        first -= 1
+    return first if first < at else s, _TAIL.match(text, e).end()
+
+
 def _plausible(kind: str, s: str) -> bool:
     """Exact checks on what the field finds."""
     if kind == "email":
-        return bool(re.search(r"\.[A-Za-z]{2,}$", s) and re.search(r"@|\bat\b", s))
+        return bool(re.search(r"(?:\.|[(\[]dot[)\]] ?)[A-Za-z]{2,}$", s) and re.search(r"@|\bat\b", s))
     if kind == "phone":  # a bare number without + or grouping is no phone number
         return 9 <= len(_digits(s)) <= 15 and bool(
             re.search(r"^\+[0-9]+$|[0-9]{2,}[ )-]+[0-9]{3,}[ -]+[0-9]{3,}", s))

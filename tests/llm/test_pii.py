@@ -104,3 +104,21 @@ def test_hard_rows(spark):
 
 def test_mask_overlaps():
     assert I.masked("ab cd ef", [("x", 0, 2), ("y", 1, 5), ("z", 6, 8)]) == "[X] [Z]"
+
+
+def test_addresses_are_found_whole():
+    """Addresses without digits and of many parts: seen to both ends, also without an @."""
+    model = I.train(I.training_rows())
+    r = random.Random(21)
+    names = ["jane", "john", "smith", "maria", "peter", "office", "example", "mail", "post", "web", "info"]
+    texts = []
+    for _ in range(300):
+        local = ".".join(r.choice(names) for _ in range(r.randint(1, 5)))
+        domain = ".".join([r.choice(names) for _ in range(r.randint(1, 4))] + [r.choice(["com", "org"])])
+        texts.append(("write to ", local + r.choice([" @ ", " (at) "]) + domain, " today and order"))
+    texts += [("mail ", "john.smith @ mail.example.com", " today"), ("mail ", "jane (at) example.org", " today")]
+    found = I.field_spans([a + s + b for a, s, b in texts], model)
+    hit = [("email", len(a), len(a + s)) in f for (a, s, _), f in zip(texts, found)]
+    assert sum(hit) >= 0.95 * len(hit) and hit[-2:] == [True, True]
+    plain = ["we met at the house, at ten. The dot and the order", "look at that. Then (at home) order mail"]
+    assert I.field_spans(plain, model) == [[], []]
