@@ -38,10 +38,15 @@ SCHEMA = ("start long, length long, ids binary, doc_tokens long, sequence_id lon
           "sequence_length long")
 
 
-def encoder(ranks_path: str, json_path: str):
+def encoder(ranks_path: str, json_path: str, special: bool = False):
     """text -> ids of the byte-level BPE. The ``.tiktoken`` file holds the same vocabulary
     as the ``.json`` and is read by a faster library; a text on which that one
-    fails goes to ``tokenizers``."""
+    fails goes to ``tokenizers``. With ``special``, the special tokens of the ``.json`` that stand
+    in a text get their own ids, as ``tokenizers`` gives them unless told otherwise; without, they
+    are cut up as any other text."""
+    import json
+    import re
+
     import public_tokenizers
     import tiktoken
 
@@ -50,16 +55,26 @@ def encoder(ranks_path: str, json_path: str):
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
                              mergeable_ranks=ranks, special_tokens={})
     plain = []
+    own = {}
+    if special:
+        with open(json_path, encoding="utf-8") as f:
+            own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+    cut = re.compile(f"({'|'.join(map(re.escape, sorted(own, key=len, reverse=True)))})")
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            if not any(t in text for t in own):
+                return fast.encode_ordinary(text)
+            # Every other part is a special token.
+            parts = cut.split(text)
+            return [i for k, part in enumerate(parts)
+                    for i in ([own[part]] if k % 2 else fast.encode_ordinary(part))]
         except Exception:  # the library's own stack limits
             if not plain:
                 from tokenizers import Tokenizer
 
                 plain.append(Tokenizer.from_file(json_path))
-                plain[0].encode_special_tokens = True
+                plain[0].encode_special_tokens = not special
             return plain[0].encode(text, add_special_tokens=False).ids
 
     return encode
@@ -130,9 +145,11 @@ class Bins:
 
 
 def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024, end_id: int = 0,
-         least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         least: int = 1, id_col: str = "doc_id", text_col: str = "text",
+         special: bool = True) -> DataFrame:
     """A row per piece: ``doc_id`` and the columns of SCHEMA; ``ids`` holds the piece's
-    ids as little-endian unsigned 32-bit numbers. ``capacity`` is a power of two."""
+    ids as little-endian unsigned 32-bit numbers. ``capacity`` is a power of two. The ids are those of
+    ``tokenizers`` with ``add_special_tokens=False`` (``special``: see ``encoder``)."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -153,7 +170,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024,
                 [pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         for batch in groups(batches, ("text",)):
-            encode = encode or encoder(ranks_path, json_path)
+            encode = encode or encoder(ranks_path, json_path, special)
             found: list = []
             for doc, text in zip(batch.column("doc_id").to_pylist(),
                                  batch.column("text").to_pylist()):

@@ -86,3 +86,17 @@ def test_cuts_and_bins():
         assert sum(p[2] for p, *_ in found) == total
         padded = sum(1024 - n for n in {s: n for _, s, _, n in found}.values() if n & (n - 1))
         assert padded == 0 if least == 1 else padded < 0.05 * total
+
+def test_special_tokens_as_the_plain_call(spark):
+    """The contract's ids: tokenizers as it comes, with add_special_tokens=False."""
+    t = Tokenizer.from_file(JSON)
+    encode = K.encoder(RANKS, JSON, special=True)
+    r = random.Random(3)
+    parts = ["<|endoftext|>", "<|endoftext|>", "a", " b", " ", "\n", "é", "<|", "|>", "endoftext", "don't", "12"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(1000)]
+    for s in [*texts, "a<|endoftext|>b", "<|endoftext|>"]:
+        assert encode(s) == t.encode(s, add_special_tokens=False).ids
+    assert encode("a<|endoftext|>b") == [64, 50256, 65]
+    docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    check(K.pack(docs, RANKS, JSON).collect(), list(enumerate(texts[:50])),
+          lambda s: [*t.encode(s, add_special_tokens=False).ids, 0])
