@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, digest, langid, licences, neardup, packing, pieces, pii, quality
+from . import ann, bytebpe, chat, digest, langid, licences, neardup, packing, pieces, pii, quality
 from .common import table
 
 
@@ -105,8 +105,21 @@ def op10_pii(spark, sf_dir):
                         _joined("spans").alias("spans"))
 
 
+def op13_bytebpe(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks,
+                             public_tokenizers.PATTERN)
+    back = bytebpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",")
+                              .cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("raw", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_neardup, op4_licences, op5_ann,
                                   op6_pieces, op7_quality, op8_digest,
-                                  op9_packing, op10_pii)}
+                                  op9_packing, op10_pii, op13_bytebpe)}
 #: DuckDB SQL for queries of which SQL gives the same rows.
 ORACLE_SQL: dict[str, str] = {}
