@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, chat, digest, langid, licences, neardup, packing, pieces, pii, quality
+from . import ann, bytebpe, chat, digest, hardneg, langid, licences, neardup, packing, pieces, pii, quality
 from .common import table
 
 
@@ -105,6 +105,12 @@ def op10_pii(spark, sf_dir):
                         _joined("spans").alias("spans"))
 
 
+def op12_hardneg(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 def op13_bytebpe(spark, sf_dir):
     import public_tokenizers
 
@@ -120,6 +126,29 @@ def op13_bytebpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_neardup, op4_licences, op5_ann,
                                   op6_pieces, op7_quality, op8_digest,
-                                  op9_packing, op10_pii, op13_bytebpe)}
+                                  op9_packing, op10_pii, op12_hardneg, op13_bytebpe)}
+_HARDNEG_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same,
+         list_inner_product(a.e, x.e)::BIGINT AS score
+  FROM v a JOIN v x ON a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER
+         AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
 #: DuckDB SQL for queries of which SQL gives the same rows.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_hardneg": _HARDNEG_SQL}
