@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, chat, digest, hardneg, langid, licences, neardup, packing, pieces, pii, quality
+from . import ann, bytebpe, chat, colloc, digest, hardneg, langid, licences, neardup, packing, pieces, pii, quality
 from .common import table
 
 
@@ -105,6 +105,10 @@ def op10_pii(spark, sf_dir):
                         _joined("spans").alias("spans"))
 
 
+def op11_collocations(spark, sf_dir):
+    return colloc.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
 def op12_hardneg(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -126,7 +130,7 @@ def op13_bytebpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_chat, op3_neardup, op4_licences, op5_ann,
                                   op6_pieces, op7_quality, op8_digest,
-                                  op9_packing, op10_pii, op12_hardneg, op13_bytebpe)}
+                                  op9_packing, op10_pii, op11_collocations, op12_hardneg, op13_bytebpe)}
 _HARDNEG_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -150,5 +154,37 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 3
 """
 
+_COLLOCATIONS_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, phrase, k, count(*) AS f
+  FROM (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)])
+                 AS phrase
+        FROM w, range(1, 6) t(k) WHERE len(ws) >= k)
+  GROUP BY lang, phrase, k HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS ws, k AS size, f AS a FROM f WHERE k > 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, range(2, 5) t(m), range(1, 5) u(i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase)
+         WHERE longer IS NULL OR 100 * longer < 100 * a),
+cut AS (
+  SELECT kept.lang, kept.phrase, a, x.f AS l, y.f AS r, n,
+         ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept) kept
+  JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(ws[1:kept.k], ' ')
+  JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(ws[kept.k + 1:size], ' ')
+  JOIN totals ON totals.lang = kept.lang
+  QUALIFY row_number() OVER (PARTITION BY kept.lang, kept.phrase ORDER BY score, kept.k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a,
+       l, r, n, score
+FROM cut QUALIFY rank <= 2000
+"""
+
 #: DuckDB SQL for queries of which SQL gives the same rows.
-ORACLE_SQL: dict[str, str] = {"op12_hardneg": _HARDNEG_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": _COLLOCATIONS_SQL, "op12_hardneg": _HARDNEG_SQL}
