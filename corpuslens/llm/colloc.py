@@ -8,8 +8,9 @@ The corpus is dealt into ``shards`` shards, whole scan partitions each. A phrase
 must occur, in at least one shard, as often as that shard's share of the language's words asks for, so
 each shard is mined completely at ceil(support x its words / all words), language by language: words
 first, then phrases of k words of which both parts of k - 1 words are frequent in the shard. The counts
-of a shard are sums over its tasks, so shards may be of any size. What is frequent in any shard is a
-candidate, and one more pass counts all candidates in the whole corpus, by their words, exactly.
+of a shard are sums over its tasks, so shards may be of any size. What is frequent in any shard, and can
+reach ``support`` with what the other shards may hold unseen, is a candidate, and one more pass counts
+all candidates in the whole corpus, by their words, exactly.
 
 The frequent phrases of a level travel to the next pass as a table of bits, as many as 16 a phrase up
 to MOST_BITS: a phrase that only shares another's bit is counted needlessly and fails the support at the
@@ -27,6 +28,7 @@ is read once a level, and its partitions must be the same each time, as those of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,41 +42,45 @@ from .common import GROUP_BYTES, groups, mix, written
 SHARDS = 16
 LONGEST = 5
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-MOST_BITS = 1 << 28
-#: Bytes that stand in no UTF-8 text, for the ends of texts and of pieces.
-_TEXT, _PIECE = b"\xfe", b"\xff"
+MOST_BITS = 1 << 27
+#: A byte that stands in no UTF-8 text, for the ends of pieces and of texts.
+_PIECE = b"\xff"
 _TO = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else _PIECE[0] if b in SEPARATORS else b
             for b in range(256))
 _STEP = np.uint64(0x100000001B3)
 
 
+class Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, as many as were asked for."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, GROUP_BYTES * 5 // 4)
+            self.up, self.down = (np.cumprod(np.where(np.arange(n) > 0, np.uint64(x), np.uint64(1)), dtype=np.uint64)
+                                  for x in (self.BASE, pow(self.BASE, -1, 2 ** 64)))
+        return self.up, self.down
+
+
 class Words(dict):
-    """word -> number, and the numbers' 64-bit hashes. Forgets everything when ``fresh`` finds it full."""
+    """word -> number. Forgets everything when ``fresh`` finds it full."""
 
-    def __init__(self, bound: int = 1_000_000):
+    def __init__(self, bound: int = 300_000):
         super().__init__()
         self.bound = bound
-        self.fresh()
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self.hashes.append(xxhash.xxh64_intdigest(word))
         n = self[word] = len(self)
         return n
 
-    def fresh(self) -> None:
-        if not self or len(self) > self.bound:
+    def fresh(self) -> "Words":
+        if len(self) > self.bound:
             self.clear()
-            self.hashes: list[int] = []
-            self._known = np.zeros(0, np.uint64)
-            self[_TEXT], self[_PIECE]  # numbers 0 and 1
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self._known) < len(self.hashes):
-            self._known = np.array(self.hashes, np.uint64)
-        return ids, self._known[ids]
+        return self
 
 
 def _parts(raw: bytes) -> Iterator[bytes]:
@@ -90,69 +96,74 @@ def _parts(raw: bytes) -> Iterator[bytes]:
     yield raw[lo:]
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Normalised texts and their languages, some megabytes at a time."""
-    raws, langs, size = [], [], 0
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(language, normalised texts of it), some megabytes at a time."""
+    held, size = {}, 0
     for raw, lang in zip(batch.column("text").cast(pa.binary()).to_pylist(),
                          batch.column("lang").to_pylist()):
         for part in _parts((raw or b"").translate(_TO)):
-            raws.append(part)
-            langs.append(lang)
+            held.setdefault(lang, []).append(part)
             size += len(part)
             if size >= GROUP_BYTES:
-                yield raws, langs
-                raws, langs, size = [], [], 0
-    if raws:
-        yield raws, langs
+                yield from ((x, _PIECE.join(parts)) for x, parts in held.items())
+                held, size = {}, 0
+    yield from ((x, _PIECE.join(parts)) for x, parts in held.items())
 
 
 class Grams:
-    """The words of some texts and the hashes of their phrases; a hash knows the phrase's language."""
+    """The words of some text of one language and the hashes of their phrases, which know the language.
+    A word's hash is a polynomial of its bytes, read off running sums."""
 
-    def __init__(self, raws: list[bytes], langs: list[str], known: Words):
+    def __init__(self, text: bytes, lang: str, powers: Powers):
         import xxhash
 
-        known.fresh()
-        self.words = (b" " + _TEXT + b" ").join(r.replace(_PIECE, b" " + _PIECE + b" ")
-                                                for r in raws).split()
-        self.ids, self.own = known.of(self.words)
-        self.lang_names, code = np.unique(np.array(langs, object), return_inverse=True)
-        self.lang = code[np.cumsum(self.ids == 0)] if len(self.ids) else np.zeros(0, np.int64)
-        seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
-                          for x in self.lang_names], np.uint64)
-        self.word = self.ids > 1
-        self.piece = np.cumsum(~self.word)
-        self.hash = {1: mix(self.own ^ mix(seeds)[self.lang])}
-        self.ok = {1: self.word}
+        self.text, self.lang = text, lang
+        data = np.frombuffer(text, np.uint8)
+        up, down = powers.to(len(data) + 1)
+        space, end = data == 32, data == _PIECE[0]
+        edge = np.diff(np.concatenate([[False], ~(space | end), [False]]).view(np.int8))
+        self.begin, self.end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        # The piece of a word: how many ends of pieces stand before it.
+        self.piece = np.searchsorted(np.flatnonzero(end), self.begin)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * up[:len(data)], out=total[1:])
+        self.own = mix((total[self.end] - total[self.begin]) * down[self.begin])
+        self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        self.hash = {1: mix(self.own ^ np.uint64(self.seed))}
 
     def level(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, whether a phrase of k words stands there) of every place; the last k - 1 are cut off."""
+        n = max(len(self.own) - k + 1, 0)
         if k not in self.hash:
-            h, ok = self.level(k - 1)
-            n = max(len(self.ids) - k + 1, 0)
+            h, _ = self.level(k - 1)
             with np.errstate(over="ignore"):
                 self.hash[k] = mix(h[:n] * _STEP + self.own[k - 1:] + np.uint64(k))
-            self.ok[k] = ok[:n] & (self.piece[k - 1:] == self.piece[:n])
-        return self.hash[k], self.ok[k]
+        return self.hash[k], self.piece[k - 1:] == self.piece[:n]
 
     def phrase(self, i: int, k: int) -> str:
-        return b" ".join(self.words[i:i + k]).decode("utf-8", "replace")
-
-    def langs_at(self, at: np.ndarray) -> pa.Array:
-        return pa.array(self.lang_names[self.lang[at]], pa.string())
+        return b" ".join(self.text[self.begin[i]:self.end[i + k - 1]].split()).decode("utf-8", "replace")
 
 
-def counted(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, one place, times) of the distinct hashes at some places."""
-    order = np.argsort(h[at])
-    at = at[order]
+def told_apart(grams: Grams, k: int, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place, times) of the phrases of k words at some places. Places of one hash whose words differ
+    count each by themselves; ``ids`` numbers the words."""
+    h = grams.level(k)[0]
+    at = at[np.argsort(h[at], kind="stable")]
     s = h[at]
-    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[begin], at[begin], np.diff(np.append(begin, len(s)))
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    first = at[new]
+    group = np.cumsum(new) - 1
+    same = np.ones(len(at), bool)
+    for j in range(k):
+        same &= ids[at + j] == ids[first[group] + j]
+    odd = at[~same]
+    return (np.concatenate([first, odd]),
+            np.concatenate([np.bincount(group[same], minlength=len(first)), np.ones(len(odd), np.int64)]))
 
 
 def _passes(docs: DataFrame, work, schema: str, shards: int) -> DataFrame:
-    """``work(grams, shard)``, which yields dicts of columns, over all texts."""
+    """``work(grams, shard, words)``, which yields (rows, dict of columns or of single values), over all texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
@@ -160,27 +171,54 @@ def _passes(docs: DataFrame, work, schema: str, shards: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        shard, known = TaskContext.get().partitionId() % shards, Words()
+        shard, powers, words = TaskContext.get().partitionId() % shards, Powers(), Words()
         for batch in groups(batches, ("text",)):
-            for raws, langs in _chunks(batch):
-                for cols in work(Grams(raws, langs, known), shard):
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+            for lang, text in _chunks(batch):
+                for n, cols in work(Grams(text, lang, powers), shard, words):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, f.type) if isinstance(x := cols[f.name], (list, np.ndarray))
+                         else pa.repeat(pa.scalar(x, f.type), n) for f in out], schema=out)
 
     return docs.mapInArrow(run, schema)
 
 
+def _local(k: int, known):
+    """Phrases of k words whose parts of k - 1 words are frequent in the shard, with their counts."""
+    def work(grams, shard, _):
+        h, ok = grams.level(k)
+        if k > 1 and len(h):
+            parts = known.value.has(grams.level(k - 1)[0], shard)
+            ok = ok & parts[:-1] & parts[1:]
+        keys, times = np.unique(h[ok], return_counts=True)
+        yield len(keys), {"shard": shard, "seed": _signed(np.array([grams.seed], np.uint64)).tolist()[0],
+                          "key": _signed(keys), "times": times}
+
+    return work
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _words(grams: Grams, shard: int):
-    """The words themselves: level 1, and the sizes of shards."""
-    h, ok = grams.level(1)
-    # By number, not by hash: words are told apart exactly.
-    n = len(grams.lang_names)
-    _, at, times = counted(grams.ids * n + grams.lang, np.flatnonzero(ok))
-    yield {"shard": np.full(len(at), shard), "lang": grams.langs_at(at), "key": _signed(h[at]), "times": times,
-           "phrase": [grams.phrase(i, 1) for i in at.tolist()]}
+def _everywhere(known):
+    """Candidates with their words, and (size 0) the number of all words."""
+    def work(grams, _, words):
+        yield 1, {"lang": grams.lang, "phrase": "", "size": 0, "times": len(grams.own)}
+        ids = None
+        for k in range(1, LONGEST + 1):
+            h, ok = grams.level(k)
+            at = np.flatnonzero(ok)
+            at = at[known.value.has(h[at], None)]
+            if not len(at):
+                continue
+            if ids is None:
+                found = grams.text.replace(_PIECE, b" ").split()
+                ids = np.fromiter(map(words.fresh().__getitem__, found), np.int64, len(found))
+            first, times = told_apart(grams, k, at, ids)
+            yield len(first), {"lang": grams.lang, "size": k, "times": times,
+                               "phrase": [grams.phrase(i, k) for i in first.tolist()]}
+
+    return work
 
 
 class Bits:
@@ -214,7 +252,8 @@ def _bits(found: DataFrame, by_shard: bool) -> Bits:
                                               pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))],
                                              names=["word", "bit"])
 
-    set_ = found.select("shard", "key").mapInArrow(place, "word long, bit long").groupBy("word").agg(
+    set_ = found.select("shard", "key") if by_shard else found.select("key")
+    set_ = set_.mapInArrow(place, "word long, bit long").groupBy("word").agg(
         F.expr("bit_or(bit)").alias("bits")).toArrow()
     words = np.zeros(size // 64, np.uint64)
     words[set_["word"].to_numpy()] = set_["bits"].to_numpy().view(np.uint64)
@@ -233,61 +272,39 @@ def counts(docs: DataFrame, support: int = 100, text_col: str = "text", lang_col
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(text_col).cast("string").alias("text"),
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    words = written(_passes(docs, _words, "shard int, lang string, key long, times long, phrase string", shards)
-                    .groupBy("shard", "lang", "key", "phrase").agg(F.sum("times").alias("times")), "words")
-    share = words.groupBy("shard", "lang").agg(F.sum("times").alias("own"))
-    total = written(share.groupBy("lang").agg(F.sum("own").alias("n")), "totals")
-    need = written(share.join(total, "lang").select(
-        "shard", "lang", F.expr(f"cast((cast(own as decimal(20,0)) * {support} + n - 1) div n as long)")
-        .alias("need")), "supports")
-
-    def frequent(rows: DataFrame, k: int) -> DataFrame:
+
+    def level(k, known=None):
+        """Counts by shard; a language goes by the hash of its name."""
+        rows = _passes(docs, _local(k, known), "shard int, seed long, key long, times long", shards)
+        return rows.groupBy("shard", "seed", "key").agg(F.sum("times").alias("times"))
+
+    words = written(level(1), "words")
+    share = words.groupBy("shard", "seed").agg(F.sum("times").alias("own"))
+    total = share.groupBy("seed").agg(F.sum("own").alias("n"))
+    need = share.join(total, "seed").select("shard", "seed", F.expr(
+        f"cast((cast(own as decimal(20,0)) * {support} + n - 1) div n as long)").alias("need"))
+    # What all shards together can hold of a phrase that is frequent in none of them.
+    rest = need.groupBy("seed").agg(F.sum(F.col("need") - 1).alias("rest"))
+    need = written(need.join(rest, "seed"), "supports")
+
+    def frequent(counted: DataFrame, k: int) -> DataFrame:
         """The locally frequent ones, a row per shard."""
-        each = rows.groupBy("shard", "lang", "key").agg(F.sum("times").alias("times"))
-        return written(_lookup(each, need, ["shard", "lang"]).where("times >= need").select("shard", "key"),
-                       f"level{k}")
+        return written(_lookup(counted, need, ["shard", "seed"]).where("times >= need")
+                       .select("shard", "key", "times", "need", "rest"), f"level{k}")
 
-    level = frequent(words, 1)
-    union = None
+    levels = [frequent(words, 1)]
     for k in range(2, LONGEST + 1):
-        known = sc.broadcast(_bits(level, True))
-
-        def local(grams, shard, k=k, known=known):
-            parts, _ = grams.level(k - 1)
-            h, ok = grams.level(k)
-            good = known.value.has(parts, shard)
-            hashes, at, times = counted(h, np.flatnonzero(ok & good[:len(h)] & good[1:]) if len(h) else
-                                        np.zeros(0, np.int64))
-            yield {"shard": np.full(len(at), shard), "lang": grams.langs_at(at), "key": _signed(hashes),
-                   "times": times}
-
-        level = frequent(_passes(docs, local, "shard int, lang string, key long, times long", shards), k)
-        union = level if union is None else union.unionByName(level)
-
-    candidates = sc.broadcast(_bits(union, False))
-
-    def everywhere(grams, shard):
-        for k in range(2, LONGEST + 1):
-            h, ok = grams.level(k)
-            at = np.flatnonzero(ok)
-            at = at[candidates.value.has(h[at], None)]
-            _, first, times = counted(h, at)
-            # Places of one hash whose words differ are told apart.
-            begin = np.repeat(first, times)
-            at = at[np.argsort(h[at])]
-            same = np.ones(len(at), bool)
-            for j in range(k):
-                same &= grams.ids[at + j] == grams.ids[begin + j]
-            times = times - np.bincount(np.repeat(np.arange(len(first)), times)[~same], minlength=len(first))
-            odd = at[~same]
-            first, times = np.concatenate([first, odd]), np.concatenate([times, np.ones(len(odd), np.int64)])
-            yield {"lang": grams.langs_at(first), "size": np.full(len(first), k), "times": times,
-                   "phrase": [grams.phrase(i, k) for i in first.tolist()]}
-
-    more = _passes(docs, everywhere, "lang string, phrase string, size int, times long", shards)
-    single = words.select("lang", "phrase", F.lit(1).alias("size"), "times")
-    every = single.unionByName(more).groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times"))
-    return total, written(every.where(F.col("times") >= support), "phrases")
+        levels.append(frequent(level(k, sc.broadcast(_bits(levels[-1], True))), k))
+    union = reduce(DataFrame.unionByName, levels)
+    # In shards where it isn't frequent, a phrase stands need - 1 times at most.
+    could = union.groupBy("key").agg(
+        (F.sum("times") + F.max("rest") - F.sum(F.col("need") - 1)).alias("most")).where(F.col("most") >= support)
+    known = sc.broadcast(_bits(written(could.select("key"), "candidates"), False))
+    every = _passes(docs, _everywhere(known), "lang string, phrase string, size int, times long", shards)
+    every = written(every.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")).where(
+        (F.col("times") >= support) | (F.col("size") == 0)), "phrases")
+    return (every.where("size = 0").select("lang", F.col("times").alias("n")),
+            every.where("size > 0"))
 
 
 def collocations(docs: DataFrame, support: int = 100, top: int = 2000, text_col: str = "text",

@@ -96,15 +96,23 @@ def test_long_texts_are_cut_at_ends_of_pieces(monkeypatch):
 
 
 def test_places_of_one_hash_are_told_apart():
-    known = C.Words()
-    g = C.Grams([b"a b c a b", b"b c", b""], ["en", "de", "en"], known)
-    assert g.lang_names[g.lang[g.word]].tolist() == ["en"] * 5 + ["de"] * 2
+    g = C.Grams(b"a b  c a b\xff \xffb c\xff" + b"\xff", "en", C.Powers())
+    ids = np.array([0, 1, 2, 0, 1, 1, 2])
     h, ok = g.level(2)
-    assert [g.phrase(i, 2) for i in np.flatnonzero(ok)] == ["a b", "b c", "c a", "a b", "b c"]
-    hashes, at, times = C.counted(h, np.flatnonzero(ok))
-    assert sorted((g.phrase(i, 2), int(t)) for i, t in zip(at, times)) == [
-        ("a b", 2), ("b c", 1), ("b c", 1), ("c a", 1)]
-    assert C.Words(bound=1).of([b"x", b"y", b"x"])[0].tolist() == [2, 3, 2]
+    places = np.flatnonzero(ok)
+    assert [g.phrase(i, 2) for i in places] == ["a b", "b c", "c a", "a b", "b c"]
+
+    def found():
+        return sorted((g.phrase(i, 2), int(n)) for i, n in zip(*C.told_apart(g, 2, places, ids)) if n)
+
+    assert found() == [("a b", 2), ("b c", 2), ("c a", 1)]
+    g.hash[2] = np.zeros_like(h)
+    assert sum(n for _, n in found()) == 5 and dict(found())["a b"] == 2
+    other = C.Grams(b"a b", "de", C.Powers())
+    assert other.level(2)[0][0] != h[0] and other.own.tolist() == g.own[:2].tolist()
+    assert C.Words(bound=1).fresh()[b"x"] == 0
+    for text in (b"", b"\xff", b"  ", b"x"):
+        assert [len(C.Grams(text, "en", C.Powers()).level(k)[0]) for k in (1, 2, 5)] == [text == b"x", 0, 0]
 
 
 def test_empty_and_clashing(spark):
