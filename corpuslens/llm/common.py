@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.joins import fits_broadcast, salted_join
 from ..session import ensure_checkpoint_dir
 
 #: Texts are handled in groups of about this many bytes (one longer text is a group of its own).
@@ -36,6 +38,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: int = 100_000) -> DataFrame:
+    """Equi-join (inner or left) with a table that is unique in ``key``. Rows of keys that ``big`` holds
+    more than ``hot`` times meet their partners by a broadcast, if these measure small, or salted; the others by
+    a plain join. Where no key is hot, that is all. ``big`` is read twice or more: best a written table."""
+    often = big.groupBy(key).agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") > hot).select(key)
+    if not often.limit(1).count():
+        return big.join(small, key, how)
+    often = written(often, "hot")
+    keys = F.broadcast(often) if fits_broadcast(often) else often
+    partners = written(small.join(keys, key, "left_semi"), "partners")
+    mine = big.join(keys, key, "left_semi")
+    met = mine.join(F.broadcast(partners), key, how) if fits_broadcast(partners) \
+        else salted_join(mine, partners, [key], how)
+    return met.unionByName(big.join(keys, key, "left_anti").join(small, key, how))
+
+
 def groups(batches: Iterator[pa.RecordBatch], text_cols: tuple[str, ...],
            limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``limit`` bytes of text (of lists: numbers of 4 bytes)."""

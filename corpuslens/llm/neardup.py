@@ -7,19 +7,22 @@ them in text order, so lanes agree with the similarity of the sets and of the or
 edit-sensitive minhash. Texts that agree on a lane are candidates.
 
 Lanes can't be trusted with few shingles, so short texts (up to SHORT shingles) have an exact
-way instead: the shingles of the texts that can be as like as ``threshold`` to a short one are
+way besides: the shingles of the texts that can be as like as ``threshold`` to a short one are
 counted, and each such text is a candidate by its rarest ones, one more than the edits allowed. Two
 texts that are alike share one of these (prefix filtering), so no link of a short text is missed.
 
 Similarity is 1 - edit distance / the longer length, over shingle sequences; pairs of at least
 ``threshold`` are links. Texts of the same words are one class (its key a hash of the words)
-before anything is compared. Candidates aren't expanded into all pairs. In each of ROUNDS rounds,
-a bucket (a lane's value) whose members are in more than one component so far picks a leader
+before anything is compared. Candidates aren't expanded into all pairs. In each round, a bucket (a
+lane's value, or a rare shingle) whose members are in more than one component so far picks a leader
 from its largest component, another one each round, and its members outside that component
-are compared with the leader: a comparison a member. The buckets that then still have more than one
-component are finished exactly, those of one largest component together: every member outside it
-is compared with all members outside its own, in blocks within tasks. So no candidate pair that could join two groups stays untested, while
-a bucket of near copies, however large, costs a few comparisons a member.
+are compared with the leader: a comparison a member. Rounds go on until one finds no link (or
+ROUNDS are over). The buckets that then still have more than one component are finished exactly,
+those of one largest component together: every member outside it is compared with all members outside its
+own, in blocks within tasks, and a block returns a spanning forest of the components that it joins, not
+its pairs. So no candidate pair that could join two groups stays untested, while a bucket of
+near copies, however large, costs a few comparisons a member and gives a link a member at most.
+New links join components, not their members (``components.merged``).
 
 A comparison counts shared shingles (fewer than threshold x the longer: no link), then aligns along
 shared shingles that stand once in either text (if the gaps cost no more than allowed: a link), and
@@ -42,20 +45,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mix, written
-from .components import components
+from .common import WordHashes, hot_join, map_batches, mix, written
+from .components import merged
 
 SHINGLE = 5
 LANES = 40
 PICK = 5
-ROUNDS = 2
+#: Leader rounds at most, before what is open is finished exactly.
+ROUNDS = 6
 SIGNS = 4
 #: Shingles of a text up to which its candidates are found exactly.
 SHORT = 40
 _WORD = re.compile(r"\w+")
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
-#: Shingles of a block of texts that are compared with another block.
+#: Shingles (and 100 a text) of a block of texts that are compared with another block.
 CELLS = 300_000
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 14
@@ -258,7 +262,8 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
     """(doc_id, mark, key, n, lanes, grams, signs) per row; ``mark`` is a hash of the text as it
-    stands. Texts up to SHORT shingles have no lanes, those up to ``few`` all labelled shingles."""
+    stands. Texts up to PICK shingles have no lanes (they would hash all of the text), those up to ``few``
+    all labelled shingles."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -274,7 +279,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFram
                                            digest_size=16).digest())
                 s = shingles(words.of(w))
                 n.append(len(s))
-                lanes.append(sketch(s).view(np.int64) if len(s) > SHORT else [])
+                lanes.append(sketch(s).view(np.int64) if len(s) > PICK else [])
                 grams.append(labelled(s).view(np.int64) if len(s) <= few else [])
                 signs.append(signature(s))
             return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "key": key,
@@ -298,7 +303,7 @@ def _rarest(first: DataFrame, threshold: float) -> DataFrame:
     each = first.where(allowed(F.col("n") + 1) > 0).select("key", "n", F.explode("grams").alias("gram"))
     each = written(each, "grams")
     times = each.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
-    least = each.join(times, "gram").groupBy("key", "n").agg(
+    least = hot_join(each, times, "gram").groupBy("key", "n").agg(
         F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("grams"))
     return least.select("key", "n", F.explode(F.slice("grams", F.lit(1), allowed(F.col("n")) + 1))
                         .alias("gram")).where("gram.times > 1").select(
@@ -307,9 +312,9 @@ def _rarest(first: DataFrame, threshold: float) -> DataFrame:
 
 def _linked(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
     """Those of the (a, b) pairs of keys whose sequences (key, seq) are alike."""
-    for side in ("b", "a"):
-        pairs = pairs.join(sequences.select(F.col("key").alias(side), F.col("seq").alias(f"seq_{side}")),
-                           side)
+    for side in ("b", "a"):  # a leader stands in as many pairs as its bucket has members
+        pairs = hot_join(pairs, sequences.select(F.col("key").alias(side), F.col("seq").alias(f"seq_{side}")),
+                         side)
 
     def make():
         def run(batch):
@@ -348,16 +353,20 @@ def _sequences(docs: DataFrame, first: DataFrame, keys: DataFrame, id_col: str,
                        ("text",)).dropDuplicates(["key"])
 
 
-def _open(member: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, key, n, label, main) of the buckets in more than one component; ``main`` is the
-    bucket's largest (ties: greatest label)."""
+def _open(member: DataFrame, labels: DataFrame | None, turn: int, carried: list[str]) -> DataFrame:
+    """(key, n, label, main, lead, ...) of the buckets in more than one component; ``main`` is the bucket's
+    largest (ties: greatest label), ``lead`` one of its members, another one each turn."""
     placed = member.withColumn("label", F.col("key")) if labels is None else member.join(
         labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "label", F.coalesce("label", "key"))
-    parts = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"),
+    placed = written(placed, "placed")
+    parts = placed.groupBy("bucket", "label").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("draw"), "key", "n", *carried)).alias("lead"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("size", "label", "lead")).alias("most"),
                                        F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return placed.join(main.select("bucket", F.col("most.label").alias("main")), "bucket")
+    return written(hot_join(placed, main.select("bucket", F.col("most.label").alias("main"),
+                                                F.col("most.lead").alias("lead")), "bucket"), "open")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -390,33 +399,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = written(member.join(first.select("key", *signs), "key"), "buckets")
     sequences = written(_sequences(docs, first, member.select("key").distinct(), id_col, text_col),
                         "sequences")
-    tested = links = labels = None
+    tested = labels = None
     for turn in range(ROUNDS):
-        open_ = written(_open(member, labels), "open")
-        leader = open_.where("label = main").groupBy("bucket").agg(F.min(F.struct(
-            F.xxhash64(F.lit(turn), "key").alias("draw"), "key", "n", *signs)).alias("lead"))
-        pairs = (open_.where("label <> main").join(leader, "bucket").where(near("", "lead."))
+        open_ = _open(member, labels, turn, signs)
+        pairs = (open_.where("label <> main").where(near("", "lead."))
                  .select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
                  .distinct())
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = written(_linked(pairs, sequences, threshold), "links")
+        if labels is not None and not found.limit(1).count():
+            break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = merged(labels, found)
 
-    more = _finished(_open(member, labels), sequences, threshold)
-    return sketched.select("doc_id", "mark", "key"), components(links.unionByName(more))
+    more = _finished(_open(member, labels, ROUNDS, signs), sequences, threshold)
+    return sketched.select("doc_id", "mark", "key"), merged(labels, more)
 
 
 def _finished(open_: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
-    """Links between components that share a bucket, exactly. The buckets of one largest component
+    """Links that join components that share a bucket, exactly. The buckets of one largest component
     are a family; its members outside that component are compared, block by block, with all its
-    members. Blocks hold about CELLS shingles, so a family of any size is spread out."""
+    members. Blocks hold about CELLS shingles, so a family of any size is spread out, and each
+    returns a spanning forest."""
     kin = open_.select("main", "key", "label", "n").distinct()
     size = kin.groupBy("main").agg(
-        F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))) / CELLS).cast("int").alias("rows"),
-        F.ceil(F.sum("n") / CELLS).cast("int").alias("columns"))
-    kin = written(kin.join(size, "main"), "kin")
+        F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n") + 100)) / CELLS).cast("int").alias("rows"),
+        F.ceil(F.sum(F.col("n") + 100) / CELLS).cast("int").alias("columns"))
+    kin = written(hot_join(written(kin, "family"), size, "main"), "kin")
     whole = kin.join(sequences, "key")
 
     def dealt(rows, own: str, of: str, other: str, times: str, side: str):
@@ -436,12 +445,7 @@ def _finished(open_: DataFrame, sequences: DataFrame, threshold: float) -> DataF
                 (t.column(f"{side}_key").to_pylist(), t.column(f"{side}_label").to_pylist(),
                  [np.frombuffer(x, "<u8") for x in t.column(f"{side}_seq").to_pylist()])
                 for t, side in ((left, "a"), (right, "b")))
-            main = left.column("a_main")[0].as_py()
-            # A pair of two outside the largest component is compared from its lesser side only.
-            ask = np.array([[x != y and (y == main or x < y) for y in lb] for x in la])
-            pairs = [(i, j) for i, j in zip(*np.nonzero(ask & _possible(a, b, threshold)))]
-            yes = similar([(a[i], b[j]) for i, j in pairs], threshold)
-            found = [(ka[i], kb[j]) for (i, j), y in zip(pairs, yes) if y]
+            found = [(ka[i], kb[j]) for i, j in forest(la, a, lb, b, threshold)]
         return pa.table({"a": pa.array([min(x) for x in found], pa.binary()),
                          "b": pa.array([max(x) for x in found], pa.binary())})
 
@@ -449,6 +453,32 @@ def _finished(open_: DataFrame, sequences: DataFrame, threshold: float) -> DataF
     return written(found, "links")
 
 
+def forest(la: list, a: list[np.ndarray], lb: list, b: list[np.ndarray], threshold: float,
+           step: int = 512) -> list[tuple[int, int]]:
+    """Links (place in a, place in b) that join the components with labels ``la`` and ``lb`` as all alike
+    pairs would, one link a join. Pairs of which both are in one component by now aren't compared."""
+    number = {x: k for k, x in enumerate(dict.fromkeys([*la, *lb]))}
+    root = np.arange(len(number))  # of each label; kept flat
+    na, nb = (np.array([number[x] for x in part]) for part in (la, lb))
+    i, j = np.nonzero((na[:, None] != nb[None, :]) & _possible(a, b, threshold))
+    # The pairs of one row aren't neighbours, so that early links spare many others.
+    order = np.argsort(mix(np.arange(len(i), dtype=np.uint64)))
+    i, j = i[order], j[order]
+    out = []
+    while len(i):
+        now, i = i[:step], i[step:]
+        then, j = j[:step], j[step:]
+        yes = similar([(a[x], b[y]) for x, y in zip(now, then)], threshold)
+        for x, y in zip(now[yes], then[yes]):
+            p, q = root[na[x]], root[nb[y]]
+            if p != q:
+                root[root == q] = p
+                out.append((int(x), int(y)))
+        apart = root[na[i]] != root[nb[j]]
+        i, j = i[apart], j[apart]
+    return out
+
+
 def _possible(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
     """(a, b) whether two sequences share as many labelled shingles as a link needs: counts by
     products of 0/1 matrices over the shingles that occur on both sides."""
@@ -483,9 +513,10 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, labels = classes(docs, id_col, text_col, threshold)
     placed = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "doc_id", "mark", F.coalesce("label", "key").alias("label"))
+    placed = written(placed, "groups")
     heads = placed.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("head"))
-    return placed.join(heads, "label").select(
+    return hot_join(placed, heads, "label").select(
         "doc_id", "mark", F.col("head.doc_id").alias("group_id"),
         (F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
          & F.col("mark").eqNullSafe(F.col("head.mark"))).alias("first"))

@@ -1,11 +1,12 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
 
 from corpuslens.llm import neardup as N
-from corpuslens.llm.common import WordHashes
+from corpuslens.llm.common import WordHashes, hot_join
 from corpuslens.llm.components import components
 
 from .common import SCHEMA, hard, none, prose, row
@@ -209,3 +210,85 @@ def test_short_texts_equal_brute_force(spark):
     short = ["a b c d e f g h", "a b c d e f g h i", "k l m n o p q r s", "k l m n o p q r t"]
     rows = N.groups_of(spark.createDataFrame([row(i, t) for i, t in enumerate(short)], SCHEMA)).collect()
     assert {x["doc_id"]: x["group_id"] for x in rows} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_links_of_near_copies_are_linear(spark, monkeypatch):
+    """One group of short near copies: the finishing blocks give a forest, not every pair."""
+    words = [f"w{i}" for i in range(300)]
+    base, made = prose(36, 4, words).replace(".", ""), N._finished
+    sizes, found = (100, 200, 400), []
+
+    def finished(*args):
+        found.append(made(*args))
+        return found[-1]
+
+    monkeypatch.setattr(N, "_finished", finished)
+    for n in sizes:
+        texts = [near(base, 0.04, 10 * n + i) for i in range(n)]
+        rows = N.groups_of(spark.createDataFrame([row(i, x) for i, x in enumerate(texts)], SCHEMA)).collect()
+        largest = max(Counter(r["group_id"] for r in rows).values())
+        assert largest > 0.5 * n
+    assert all(f.count() < n for f, n in zip(found, sizes))
+
+
+def test_forest_joins_what_all_pairs_join():
+    r = random.Random(8)
+    texts = [np.array([r.randint(0, 3) if r.random() < 0.1 else k + 10 * g for k in range(20)], np.uint64)
+             for g in range(5) for _ in range(14)]
+    a, b = texts, texts[::-1]
+    la = [min(i, 3) if i < 14 else i for i in range(70)]
+    lb = la[::-1]
+    yes = N.similar([(x, y) for x in a for y in b], 0.8)
+    pairs = [(la[k // 70], lb[k % 70]) for k in np.flatnonzero(yes)]
+    links = N.forest(la, a, lb, b, 0.8, step=7)
+
+    def parts(edges):
+        label = {x: x for x in la}
+        for x, y in edges:
+            x, y = label[x], label[y]
+            label = {k: x if v == y else v for k, v in label.items()}
+        return sorted(sorted(k for k in label if label[k] == v) for v in set(label.values()))
+
+    got = [(la[i], lb[j]) for i, j in links]
+    assert parts(got) == parts(pairs) and len(got) == len(set(la)) - len(parts(pairs))
+
+
+def test_hot_keys_change_nothing(spark, corpus, monkeypatch):
+    from corpuslens.llm import components as K
+
+    hot = partial(hot_join, hot=3)
+    big = spark.createDataFrame([(k % 3 if k < 30 else k, k) for k in range(40)] + [(None, 1)], "k long, v long")
+    small = spark.createDataFrame([(k, -k) for k in range(0, 36, 2)], "k long, w long")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).collect()))
+        assert sorted(map(str, hot(big, small, "k", how).collect())) == want
+    edges = spark.createDataFrame([(1, x) for x in range(2, 30)] + [(40, x) for x in range(41, 60)], "a long, b long")
+    more = spark.createDataFrame([(5, 45), (70, 71), (71, 7), (80, 81)], "a long, b long")
+    want = sorted(map(tuple, components(edges.unionByName(more)).collect()))
+    monkeypatch.setattr(K, "hot_join", hot)
+    monkeypatch.setattr(N, "hot_join", hot)
+    assert sorted(map(tuple, K.merged(K.merged(None, edges), more).collect())) == want
+    rows = [row(i, t) for i, t in corpus[:80]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"], r["group_id"]) for r in N.groups_of(docs).collect())
+    monkeypatch.setattr(K, "hot_join", hot_join)
+    monkeypatch.setattr(N, "hot_join", hot_join)
+    assert got == sorted((r["doc_id"], r["group_id"]) for r in N.groups_of(docs).collect())
+
+
+def test_lanes_find_texts_at_the_limit():
+    """Recall of the lanes alone, for texts of 46 to 200 words at a similarity just above 0.8."""
+    r, hit, n = random.Random(12), 0, 0
+    hashes = WordHashes()
+    while n < 300:
+        size = r.randint(46, 200)
+        a = [f"v{r.randint(0, 10 ** 6)}" for _ in range(size)]
+        b = list(a)
+        for at in r.sample(range(size), max(1, size // 25)):
+            b[at] = "edited"
+        x, y = (N.shingles(hashes.of(t)) for t in (a, b))
+        d = N.distances([(x, y)], [len(x)])[0] / len(x)
+        if 0.15 < d <= 0.2:
+            n += 1
+            hit += bool((N.sketch(x) == N.sketch(y)).any())
+    assert hit / n > 0.99
