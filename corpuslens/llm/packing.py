@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import BLOCK, split
 from .common import groups
 
 SCHEMA = ("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -61,15 +62,25 @@ def encoder(ranks_path: str, json_path: str, special: bool = False):
             own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
     cut = re.compile(f"({'|'.join(map(re.escape, sorted(own, key=len, reverse=True)))})")
 
+    # The same ids for a text that is a single match (a long run of white space).
+    single = tiktoken.Encoding("match", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def ordinary(text: str) -> list[int]:
+        if len(text) <= BLOCK:
+            return fast.encode_ordinary(text)
+        return [i for part, one in split(text) for i in (single if one else fast).encode_ordinary(part)]
+
     def encode(text: str) -> list[int]:
         try:
             if not any(t in text for t in own):
-                return fast.encode_ordinary(text)
+                return ordinary(text)
             # Every other part is a special token.
             parts = cut.split(text)
             return [i for k, part in enumerate(parts)
-                    for i in ([own[part]] if k % 2 else fast.encode_ordinary(part))]
-        except Exception:  # the library's own stack limits
+                    for i in ([own[part]] if k % 2 else ordinary(part))]
+        except (KeyboardInterrupt, SystemExit, GeneratorExit):
+            raise
+        except BaseException:  # the library's own limits; its panics are no Exception
             if not plain:
                 from tokenizers import Tokenizer
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -100,3 +101,15 @@ def test_special_tokens_as_the_plain_call(spark):
     docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
     check(K.pack(docs, RANKS, JSON).collect(), list(enumerate(texts[:50])),
           lambda s: [*t.encode(s, add_special_tokens=False).ids, 0])
+
+
+def test_very_long_runs():
+    from tokenizers import Tokenizer
+
+    encode = K.encoder(RANKS, JSON, special=True)
+    plain = Tokenizer.from_file(JSON)
+    for t in (" " * 2_000_000, "a" + "\n" * 1_000_000 + "b", "x" + " " * 1_500_000 + "<|endoftext|>" + " y" * 50_000):
+        begin = time.time()
+        got = encode(t)
+        assert time.time() - begin < 20
+        assert got == plain.encode(t, add_special_tokens=False).ids
