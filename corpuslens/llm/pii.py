@@ -80,7 +80,8 @@ def _emails(text: str):
 def _good(kind: str, s: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(
+            len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
     d = _digits(s)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d)

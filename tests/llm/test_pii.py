@@ -122,3 +122,8 @@ def test_addresses_are_found_whole():
     assert sum(hit) >= 0.95 * len(hit) and hit[-2:] == [True, True]
     plain = ["we met at the house, at ten. The dot and the order", "look at that. Then (at home) order mail"]
     assert I.field_spans(plain, model) == [[], []]
+
+
+def test_long_octets():
+    text = "0" * 5000 + ".0.0.1 and " + "9" * 5000 + ".1.1.1"
+    assert [s for s in I.base_spans(text) if s[0] == "ip"] == [("ip", 0, 5006)]
