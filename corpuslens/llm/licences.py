@@ -125,6 +125,15 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
     return stack[0][:2]
 
 
+def without_ending(line: str) -> str:
+    """A line without the end of a comment, and the white space around that."""
+    line = line.rstrip()
+    for end in ("*/", "-->", "*)"):
+        if line.endswith(end):
+            return line[:-len(end)].rstrip()
+    return line
+
+
 def _scanner():
     """The function from a batch of texts to the columns of SCHEMA."""
     import ahocorasick
@@ -134,6 +143,7 @@ def _scanner():
     for p in phrases:
         auto.add_word(f" {p} ", p)
     auto.make_automaton()
+    n_words = {p: len(p.split()) for p in phrases}
     keep = {ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
     to = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b in keep else 32 for b in range(256))
 
@@ -143,6 +153,7 @@ def _scanner():
             words = (raw or b"").translate(to).split()
             line = b" " + b" ".join(words) + b" "
             base, starts, names, n_other, tagged = set(), [], set(), 0, False
+            before = counted = 0
             for end, p in auto.iter(line.decode("latin-1")):
                 if p == TAG:
                     tagged = True
@@ -150,12 +161,15 @@ def _scanner():
                 names.add(phrases[p])
                 if p in BASE:
                     base.add(phrases[p])
-                    starts.append(line.count(b" ", 0, end - len(p)) - 1)
+                    # Words up to the end, of which the phrase's are the last.
+                    before += line.count(b" ", counted, end + 1)
+                    counted = end + 1
+                    starts.append(before - n_words[p] - 1)
                 else:
                     n_other += 1
             found, choices = [], []
             for m in _TAG_LINE.finditer(raw.decode("utf-8", "replace")) if tagged else ():
-                postfix = parse(re.sub(r"\s*(\*/|-->|\*\))?\s*$", "", m[1]))
+                postfix = parse(without_ending(m[1]))
                 got = postfix and evaluate(postfix)
                 if got:
                     found.append(" ".join(postfix))

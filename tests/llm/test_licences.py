@@ -1,4 +1,5 @@
 import re
+import time
 
 from corpuslens.llm import licences as L
 
@@ -65,3 +66,19 @@ def test_expressions(spark):
     r = L.scan(spark.createDataFrame([row(1, text)], SCHEMA)).first()
     assert (r["n_tags"], r["labels"], r["permissive"]) == (2, "0bsd,gpl-2.0-only,mit", True)
     assert r["expressions"] == ["mit gpl-2.0-only or", "0bsd"]
+
+
+def test_linear_time():
+    import pyarrow as pa
+
+    texts = ["SPDX-License-Identifier: MIT" + " " * 1_000_000 + "*/ x", "mit license " * 1_000_000,
+             "SPDX-License-Identifier: " + " " * 500_000 + "Apache-2.0" + " " * 500_000 + "*/\n",
+             "gnu general public license mit license x apache license"]
+    begin = time.time()
+    got = L._scanner()(pa.RecordBatch.from_pydict({"text": texts}))
+    assert time.time() - begin < 30
+    assert got["n_base"] == [0, 1_000_000, 0, 3]
+    assert got["first_word"][1:] == [0, None, 0] and got["last_word"][1:] == [1_999_998, None, 7]
+    assert got["expressions"][2] == ["apache-2.0"]
+    for line in ("MIT */", "MIT  */ \t", "MIT", "MIT --> ", " a *) *) ", "*/", "", " -- >"):
+        assert L.without_ending(line) == re.sub(r"\s*(\*/|-->|\*\))?\s*$", "", line)
