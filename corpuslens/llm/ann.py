@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import drawn, map_batches
 
 ROWS = 16_384
 QUERIES = 65_536
@@ -182,19 +182,28 @@ def nearest(q_ids, q, ids, x, k: int):
     keep = by[np.arange(len(by)) - first <= k]
     ids, x = ids[keep], x[keep]
     sq = (x * x).sum(1)
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1))
+    first = first if len(first) < len(ids) else None  # none is repeated
     out = []
     for lo in range(0, len(q), max(1, CELLS // max(len(x), 1))):
         part = q[lo:lo + max(1, CELLS // max(len(x), 1))]
         d = sq[None, :] - 2 * part @ x.T + (part * part).sum(1)[:, None]
         own = ids[None, :] == q_ids[lo:lo + len(part), None]
         d[own] = np.inf
-        bar = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        # A repeated id takes one place, with its nearest vector.
+        each = d if first is None else np.minimum.reduceat(d[:, by_id], first, axis=1)
+        bar = np.partition(each, min(k, each.shape[1]) - 1, axis=1)[:, min(k, each.shape[1]) - 1]
         # Rounding of the quick formula must not decide.
         room = 1e-9 * (1 + (part * part).sum(1) + sq.max(initial=0))
         r, c = np.nonzero((d <= (bar + room)[:, None]) & ~own)
         exact = np.sqrt(((part[r] - x[c]) ** 2).sum(1))
         order = np.lexsort((ids[c], exact, r))
         r, c, exact = r[order], c[order], exact[order]
+        if first is not None:
+            _, at = np.unique(np.stack([r, ids[c]]), axis=1, return_index=True)
+            at.sort()
+            r, c, exact = r[at], c[at], exact[at]
         top = np.arange(len(r)) - np.searchsorted(r, r) < k
         out.append((r[top] + lo, ids[c[top]], exact[top]))
     return [np.concatenate(z) for z in zip(*out)] if out else [np.empty(0, np.int64)] * 3
@@ -210,7 +219,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int = 32, bo
     base, asked = (usable(t, id_col, vec_col, size) for t in (rows, queries))
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
 
-    some = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, bound / max(n, 1)) * (1 << 20))
+    some = drawn(bound / max(n, 1), "vec_id")
     sample = [r["v"] for r in base.where(some).select("v").collect()]  # about ``bound`` rows
     model = fit(np.array(sample).reshape(len(sample), -1), parts, k, aim) if sample else (None, 1)
     shipped = spark.sparkContext.broadcast(cloudpickle.dumps(model))
@@ -227,7 +236,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int = 32, bo
         return run
 
     base = map_batches(base, make_part, "vec_id long, v array<double>, part int")
-    held = {r["part"]: r["n"] for r in base.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = base.groupBy("part", "vec_id").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(
+        F.count(F.lit(1)).alias("ids"), F.sum("n").alias("n")).collect()
+    held, rows_of = ({r["part"]: r[c] for r in sizes} for c in ("ids", "n"))
 
     def make_route():
         import pickle
@@ -259,7 +270,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int = 32, bo
                                          for x in (p, -(-m // most))])[F.col("part")], F.lit(1)) \
             if have else F.lit(1)
 
-    row_blocks, query_blocks = blocks(held, ROWS), blocks(wanted, QUERIES)
+    row_blocks, query_blocks = blocks(rows_of, ROWS), blocks(wanted, QUERIES)
     hashed = F.xxhash64("vec_id", "v")
     left = base.withColumn("rb", F.pmod(hashed, row_blocks).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), query_blocks - 1)))

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import fits_broadcast, salted_join
@@ -38,6 +38,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(share: float | Column, *cols: str) -> Column:
+    """Whether a row is in a sample of about ``share`` of all, by 63 bits of a hash of ``cols``: no share that
+    a table can ask for rounds to nothing. ``share`` may be a column."""
+    share = F.least(F.lit(1.0), share) if isinstance(share, Column) else F.lit(min(1.0, float(share)))
+    return F.when(share >= 1.0, F.lit(True)).otherwise(
+        F.shiftrightunsigned(F.xxhash64(*cols), 1) < F.floor(share * float(1 << 63)))
+
+
 def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: int = 100_000) -> DataFrame:
     """Equi-join (inner or left) with a table that is unique in ``key``. Rows of keys that ``big`` holds
     more than ``hot`` times meet their partners by a broadcast, if these measure small, or salted; the others by

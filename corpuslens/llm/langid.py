@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import drawn, map_batches, written
 
 UNKNOWN = "und"
 MAX_WORD = 32
@@ -175,8 +175,8 @@ def train(docs: DataFrame, pieces: list[str], lang_col: str = "lang", id_col: st
     if not langs:
         return [], np.zeros((len(pieces) + 2, 0))
     rate = F.create_map(*chain.from_iterable(
-        (F.lit(g), F.lit(int(min(1.0, bound / sizes[g]) * (1 << 20)))) for g in langs))
-    part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < rate[F.col("lang")]
+        (F.lit(g), F.lit(bound / sizes[g])) for g in langs))
+    part = drawn(rate[F.col("lang")], F.col("id").cast("string"))
 
     def make():
         from collections import Counter

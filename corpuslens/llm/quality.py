@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, groups, map_batches, mix, written
+from .common import WordHashes, drawn, groups, map_batches, mix, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: A text weighs as if it had this many n-grams, whatever its length, so that length alone
@@ -167,8 +167,7 @@ def target_ids(labels: DataFrame, bound: int = 20_000, id_col: str = "doc_id",
     """Ids labelled 1, all of them or, beyond ``bound``, about that many by a hash of the id."""
     good = labels.where(F.col(label_col) == 1).select(id_col).where(F.col(id_col).isNotNull())
     n = good.count()
-    part = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(int(min(1.0, bound / max(n, 1)) * (1 << 20)))
-    return good.where(part).distinct()
+    return good.where(drawn(bound / max(n, 1), id_col)).distinct()
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -87,3 +87,18 @@ def test_balanced_parts():
     assert size.max() <= np.ceil(1500 / 8 * 1.05) + 1
     cut = (part[near] != part[:, None]).mean()
     assert cut < 0.6 * (r.permutation(part)[near] != part[:, None]).mean()
+
+
+def test_repeated_ids_take_one_place():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    ids = np.array([7] * 20 + list(range(100, 140)))
+    q = rng.normal(size=(3, 5)) * 0.1 + x[:1]
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    at, found, score = A.nearest(np.array([1, 2, 100]), q, ids, x, 10)
+    for k, own in enumerate((1, 2, 100)):
+        best = {}
+        for i, s in zip(ids.tolist(), d[k]):
+            if i != own:
+                best[i] = min(s, best.get(i, 9e9))
+        assert found[at == k].tolist() == sorted(best, key=lambda i: (best[i], i))[:10]
