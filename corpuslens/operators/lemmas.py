@@ -7,12 +7,15 @@ table, and map it back onto the token arrays:
   a known word; among the valid candidates (the form itself included when it
   is known) the shortest wins, ties by rule order. Known words default to the
   corpus's own tokens.
-* spelling: dictionary words within Levenshtein distance ``max_dist`` of an unknown token, found by
-  segments: a word cut into ``max_dist + 1`` parts keeps at least one of them, within
-  ``max_dist`` places, in everything that near to it. Words and tokens meet on (length, part number,
-  part) keys, a fixed number a token; Levenshtein filters what meets. Every word counts, the
-  shortest included. The nearest distance class wins, and its most frequent word is kept when
-  its share of that class's frequency reaches ``min_share``. Only unknown tokens take part.
+* spelling: dictionary words within Levenshtein distance ``max_dist`` of an unknown token. Words up to
+  SHORT letters are found by deletions: two words that near give the same letters when at most as many
+  are deleted from each, so they meet on the hashes of all that deletions leave. Longer words are
+  found by segments: one cut into ``max_dist + 1`` parts keeps at least one of them, within ``max_dist``
+  places, in everything that near to it, and such parts are long enough to be rare. Levenshtein
+  filters what meets. Every word counts, the shortest included. The nearest distance class wins, and its most frequent word is kept when
+  its share of that class's frequency reaches ``min_share``; so distances are searched one after
+  another, each only for the unknown tokens that have found nothing nearer (short tokens,
+  which are near to very many words, nearly all find one at distance 1).
 
 Mapping back: a table that measures small is looked up where the tokens stand, in Arrow batches,
 and nothing is shuffled. A larger one is joined to the distinct tokens of each document, salted,
@@ -21,10 +24,13 @@ and comes back to it as a map of the document's own tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import fits_broadcast, salted_join
 
 #: A table of forms up to this size is sent to the workers.
@@ -133,31 +139,54 @@ def _parts(length, parts: int) -> list[tuple]:
     return out
 
 
+#: Letters of the longest words that are found by deletions; longer ones are found by segments.
+SHORT = 12
+
+
+def _deletions(col: str, n: int):
+    """Hashes of what is left of a word after up to ``n`` deletions, distinct."""
+    left = [F.array(F.col(col))]
+    for _ in range(n):
+        left.append(F.array_distinct(F.flatten(F.transform(left[-1], lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+            lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))))))
+    return F.array_distinct(F.transform(F.flatten(F.array(*left)), lambda w: F.xxhash64(w)))
+
+
 def near_words(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2) -> DataFrame:
     """(token, word, freq, dist): all dictionary words within ``max_dist`` of each token."""
+    short = tokens.where(F.length("token") <= SHORT + max_dist).select(
+        "token", F.explode(_deletions("token", max_dist)).alias("key")).join(
+        dictionary.where(F.length("word") <= SHORT).select(
+            "word", "freq", F.explode(_deletions("word", max_dist)).alias("key")), "key")
+    longer = _by_segments(tokens.where(F.length("token") > SHORT - max_dist),
+                          dictionary.where(F.length("word") > SHORT), max_dist)
+    pairs = short.select("token", "word", "freq").unionByName(longer).distinct()
+    return pairs.withColumn("dist", F.levenshtein("token", "word", max_dist)).where(F.col("dist") >= 0)
+
+
+def _by_segments(tokens: DataFrame, dictionary: DataFrame, max_dist: int) -> DataFrame:
+    """(token, word, freq) that may be near: one part of the word stands in the token."""
     n = max_dist + 1
     word_len = F.length("word")
     keys = F.array(*[F.struct(word_len.alias("len"), F.lit(i).alias("part"),
                               F.substring(F.col("word"), a, size).alias("piece"))
                      for i, (a, size) in enumerate(_parts(word_len, n))])
     dk = dictionary.select("word", "freq", F.inline(keys))
-    token_len = F.length("token")
-    wanted = []
-    for d in range(-max_dist, max_dist + 1):
-        for i, (a, size) in enumerate(_parts(token_len + d, n)):
-            # A part that is kept at a shift costs at least |shift| edits before it and
-            # |shift + d| behind it.
-            for shift in range(-((max_dist + d) // 2), (max_dist - d) // 2 + 1):
-                at = a + shift
-                inside = (token_len + d >= 0) & (at >= 1) & (at + size - 1 <= token_len)
-                wanted.append(F.when(inside, F.struct(
-                    (token_len + d).alias("len"), F.lit(i).alias("part"),
-                    F.substring(F.col("token"), at, size).alias("piece"))))
-    tk = tokens.select("token", F.explode_outer(F.array_distinct(F.array(*wanted))).alias("k")).where(
-        "k IS NOT NULL").select("token", "k.*")
-    pairs = tk.join(dk, ["len", "part", "piece"]).select(
-        "token", "word", "freq", F.levenshtein("token", "word", max_dist).alias("dist"))
-    return pairs.where(F.col("dist") >= 0).distinct()
+    # A part that is kept at a shift costs at least |shift| edits before it and |shift + d| behind it.
+    places = [(d, i, shift) for d in range(-max_dist, max_dist + 1) for i in range(n)
+              for shift in range(-((max_dist + d) // 2), (max_dist - d) // 2 + 1)]
+    place = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("part"), F.lit(x).alias("shift"))
+                                for d, i, x in places]))
+    tk = tokens.select("token", place.alias("p")).select(
+        "token", "p.part", "p.shift", (F.length("token") + F.col("p.d")).alias("len")).where("len >= 0")
+    small, more = F.floor(F.col("len") / n), F.col("len") % n
+    size = small + (F.col("part") >= n - more).cast("int")  # the last ``more`` parts are one longer
+    at = small * F.col("part") + F.greatest(F.col("part") - (n - more), F.lit(0)) + 1 + F.col("shift")
+    tk = tk.select("token", "len", "part", at.cast("int").alias("at"), size.cast("int").alias("size")).where(
+        "at >= 1 AND at + size - 1 <= length(token)").select(
+        "token", "len", "part", F.expr("substring(token, at, size)").alias("piece")).distinct()
+    return tk.join(dk, ["len", "part", "piece"]).select("token", "word", "freq")
 
 
 def correction_table(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2,
@@ -170,8 +199,13 @@ def correction_table(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2
     dict_words = dictionary.select("word", "freq")
     unknown = tokens.select("token").join(dict_words.select(F.col("word").alias("token")),
                                           "token", "left_anti")
-    by_class = near_words(unknown, dict_words, max_dist).groupBy("token", "dist").agg(
-        F.sum("freq").alias("total"), F.max(F.struct("freq", "word")).alias("best"))
-    near = by_class.groupBy("token").agg(F.min(F.struct("dist", "total", "best")).alias("c"))
-    return near.where(F.col("c.best.freq") / F.col("c.total") >= min_share).select(
-        "token", F.col("c.best.word").alias("lemma"))
+    found = []
+    for dist in range(1, max_dist + 1):
+        unknown = materialize(unknown)
+        near = near_words(unknown, dict_words, dist).where(F.col("dist") == dist)
+        found.append(materialize(near.groupBy("token").agg(F.sum("freq").alias("total"),
+                                                           F.max(F.struct("freq", "word")).alias("best"))))
+        unknown = unknown.join(found[-1], "token", "left_anti")
+    near = reduce(DataFrame.unionByName, found)
+    return near.where(F.col("best.freq") / F.col("total") >= min_share).select(
+        "token", F.col("best.word").alias("lemma"))

@@ -70,9 +70,21 @@ pos AS (SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS
 d AS (SELECT token, count(*) AS freq FROM pos GROUP BY token),
 dic AS (SELECT token AS word, freq FROM d WHERE freq >= {MIN_DICT_FREQ}),
 unk AS (SELECT token FROM d WHERE freq < {MIN_DICT_FREQ}),
-near AS (SELECT token, word, freq, levenshtein({_narrow('token')}, {_narrow('word')}) AS dist FROM unk JOIN dic
-         ON abs(length(token) - length(word)) <= {MAX_DIST}
-         AND levenshtein({_narrow('token')}, {_narrow('word')}) <= {MAX_DIST}),
+-- Words within {MAX_DIST} edits give the same letters when up to {MAX_DIST} are deleted from each: an
+-- exact filter for words up to 14 letters; the few longer ones meet by length.
+cut AS (
+  SELECT w, unnest(list_distinct(list_concat([w], list_concat(one, flatten([
+           [substr(x, 1, i - 1) || substr(x, i + 1) for i in range(1, length(x) + 1)] for x in one]))))) AS left_over
+  FROM (SELECT w, [substr(w, 1, i - 1) || substr(w, i + 1) for i in range(1, length(w) + 1)] AS one
+        FROM (SELECT token AS w FROM d WHERE length(token) <= 14))),
+may AS (
+  SELECT DISTINCT token, word, freq FROM unk JOIN cut a ON a.w = token JOIN cut b USING (left_over)
+  JOIN dic ON word = b.w
+  UNION
+  SELECT token, word, freq FROM unk JOIN dic ON abs(length(token) - length(word)) <= {MAX_DIST}
+   AND (length(token) > 14 OR length(word) > 14)),
+near AS (SELECT token, word, freq, levenshtein({_narrow('token')}, {_narrow('word')}) AS dist FROM may
+         WHERE levenshtein({_narrow('token')}, {_narrow('word')}) <= {MAX_DIST}),
 cls AS (SELECT token, dist, sum(freq) AS total, max(freq) AS most FROM near GROUP BY token, dist),
 c AS (SELECT * FROM cls WHERE (token, dist) IN (SELECT token, min(dist) FROM cls GROUP BY token)),
 best AS (SELECT c.token, max(near.word) AS lemma FROM c JOIN near ON near.token = c.token

@@ -85,3 +85,24 @@ def test_map_tokens_both_ways(spark):
                for size in (1 << 20, 0)]
         assert out[0] == out[1]
     assert ("2", "[]", []) in out[0] and ("1", "['cats', 'a', 'cats', 'b']", ["cat", "cat", "b"]) in out[0]
+
+
+def test_long_words_meet_by_segments(spark):
+    """Lengths around the one up to which words are found by deletions, and empty ones."""
+    import random
+
+    r = random.Random(5)
+    words = {"".join(r.choice("ab") for _ in range(r.randint(9, 16))) for _ in range(150)} | {"x" * 300, "a"}
+    tokens = set()
+    for w in words:
+        for _ in range(2):
+            t = list(w)
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(t) + 1)
+                t[k:k + r.randint(0, 1)] = [r.choice("abc")] * r.randint(0, 1)
+            tokens.add("".join(t))
+    dic = spark.createDataFrame([(w, 1) for w in words], "word string, freq long")
+    tok = spark.createDataFrame([(t,) for t in tokens | {""}], "token string")
+    for most in (1, 2):
+        got = {(x.token, x.word): x.dist for x in L.near_words(tok, dic, most).collect()}
+        assert got == {(t, w): d for t in tokens | {""} for w in words if (d := _levenshtein(t, w)) <= most}
