@@ -1,7 +1,7 @@
 """Scans and sinks.
 
-Parquet is the format between stages; CSV is supported at the edges with the
-options that make a round trip exact (quoted newlines, doubled quotes).
+Parquet is the format between stages; CSV is supported at the edges (``csv``), exact for quoted line
+breaks, doubled quotes, empty texts and NULL, and read by many tasks a file.
 """
 
 from __future__ import annotations
@@ -10,21 +10,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..schema import POSTS
+from . import csv
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# Spaces stay, and NULL is written as a mark of its own, so that it differs from ''. A value that
-# is just that mark would come back as NULL.
-_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
-                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-                "nullValue": "\\N"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One of the test tables, ``<sf_dir>/<name>.parquet``.
 
@@ -55,14 +48,9 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet",
 
     ``renames`` maps source column names to ours, e.g. a misspelt author column.
     """
-    back = {new: old for old, new in (renames or {}).items()}
     if fmt == "csv":
-        reader = spark.read.options(**_CSV_OPTIONS)
-        if schema is not None:
-            # The file's own schema: ours, under the names that the file uses.
-            reader = reader.schema(StructType([
-                StructField(back.get(f.name, f.name), f.dataType, f.nullable) for f in schema]))
-        df = reader.csv(path)
+        # With a schema, columns go by their places: the file's names may differ from ours.
+        df = csv.read(spark, path, schema)
     else:
         df = spark.read.format(fmt).load(path)
     for old, new in (renames or {}).items():
@@ -73,13 +61,13 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet",
 def write_posts(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write a table; CSV gets header and quote escaping, never an index column."""
+    if fmt == "csv":
+        csv.write(df, mode, path, partition_by)
+        return
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if fmt == "csv":
-        writer.options(**_CSV_OPTIONS).csv(path)
-    else:
-        writer.format(fmt).save(path)
+    writer.format(fmt).save(path)
 
 
 def documents_as_posts(docs: DataFrame, class_col: str = "lang",
