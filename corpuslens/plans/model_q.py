@@ -538,3 +538,51 @@ def boosted_multiclass_history(spark, sf_dir):
     rows = sorted((r["iteration"], r["log_loss"]) for r in losses.collect())  # a row per round
     kept = treeshap.stop_round([v for _, v in rows])
     return losses.withColumn("kept", F.col("iteration") == kept)
+
+
+# ----------------------------------------------- boosted trees on the softmax loss (M2)
+
+#: Rounds without a better held-out loss that end a fit; those that only need its trees wait less long.
+PATIENCE = 50
+SHORT_PATIENCE = 10
+
+
+def fitted_softmax(spark, sf_dir, patience=SHORT_PATIENCE):
+    """(rows, feature names, classes, trees by round, losses): the held-out split stops the fit."""
+    from ..operators import softboost
+
+    d, fs = prepared(spark, sf_dir)
+    d = d.where(F.col("label").isNotNull()).withColumn("_held_out", F.col("split") == "test")
+    n = int(d.agg(F.max("label")).first()[0]) + 1
+    trees, losses = softboost.fit(d, len(fs.names), n, held_out="_held_out", rounds=BOOST_ROUNDS, depth=BOOST_DEPTH,
+                                  eta=BOOST_STEP, patience=patience)
+    return d, fs.names, n, trees, losses
+
+
+@query("softmax_accuracy")
+def softmax_accuracy(spark, sf_dir):
+    """M2, M4, M5: boosted trees on the softmax loss, argmax of the probabilities; held-out accuracy."""
+    from ..operators import softboost
+
+    d, names, n, trees, _ = fitted_softmax(spark, sf_dir)
+    pred = softboost.predict(d.where(F.col("split") == "test"), trees, len(names), n, ["doc_id", "label"])
+    return evaluate.accuracy(pred, "label", "prediction")
+
+
+@query("softmax_history")
+def softmax_history(spark, sf_dir):
+    """The held-out loss that the fit itself watches, a row a round, and the round it kept."""
+    _, _, _, trees, losses = fitted_softmax(spark, sf_dir, PATIENCE)
+    rows = [(k + 1, v, k + 1 == len(trees)) for k, v in enumerate(losses)]  # a row per round
+    return spark.createDataFrame(rows, "iteration int, log_loss double, kept boolean")
+
+
+@query("softmax_value_change")
+def softmax_value_change(spark, sf_dir):
+    """The ten features that change the softmax model's predictions most, as parts of 100."""
+    from ..operators import softboost
+
+    _, names, _, trees, _ = fitted_softmax(spark, sf_dir)
+    rows = [("all", k, v) for k, v in softboost.value_change(trees, names).items()]
+    return explain.top_features(spark.createDataFrame(rows, "class string, feature_name string, importance double"),
+                                TOP_N, score_col="importance")
