@@ -1,17 +1,19 @@
 """Harmonic packing: documents into training sequences without padding.
 
-A document's token ids, with an end id, are cut into whole sequences and then
-into pieces whose lengths are reciprocal parts of the capacity C: C/2, C/4, ... 1
-(the binary digits of the rest). Pieces of the class C/k fill bins with a fixed
-count, k to a bin, so every full bin holds exactly C tokens. Each task fills its
-own bins as the rows stream by: nothing is shuffled, and a task holds at most
-the open bin of each class (fewer than 2C pieces). What is open at the task's end is
-laid, longest first, into sequences whose length is C or a power of two; these need
-no padding either.
-
-Cutting to the last digit costs up to log2(C) cuts a document and saves all
-padding; ``least`` stops the cutting at pieces of that many tokens (the last piece
-is then shorter and its bins are padded, which ``padding`` counts per sequence).
+A document's token ids, with an end id, give whole sequences of the capacity C and a remainder of r < C
+tokens. Remainders are partitioned by length into reciprocal classes: class k = C // r holds those of
+more than C / (k + 1) and at most C / k tokens, and fills bins with a fixed count, k whole remainders to a
+bin. Each task fills its own bins as the rows stream by: nothing is shuffled, and a task holds at most
+the open bins of the classes that occur (fewer than 6C tokens in all).
+
+What a full bin leaves free, less than C / 2, is filled by a cut of a filler: a remainder that was set
+aside, whenever fewer than C tokens of such are in stock, and is used up bit by bit. So a remainder is
+either one whole piece or a filler in a few pieces, and a bin costs one cut, or two. A bin waits while the
+stock is too small for it.
+
+What is open at the task's end is laid end to end, longest first, and cut at every C; the last part is
+cut into powers of two, which need no padding either (down to ``least`` tokens; the last sequence is then
+padded).
 
 The sequence id is (partition << 40) + bin, a function of the input's splits, so a
 task run again gives the same rows.
@@ -24,7 +26,7 @@ columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,29 +93,27 @@ def encoder(ranks_path: str, json_path: str, special: bool = False):
     return encode
 
 
-def cuts(n: int, capacity: int, least: int = 1) -> list[int]:
-    """Lengths of the pieces of ``n`` tokens, in order: whole sequences, then the
-    classes capacity/2, capacity/4, ... that the rest contains."""
-    out = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity // 2
-    while rest:
-        if size < least:
-            out.append(rest)
-            break
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
+def tail(n: int, least: int = 1) -> list[int]:
+    """Descending powers of two that sum to n, of at least ``least``, and what is left after them."""
+    out = []
+    while n:
+        size = 1 << (n.bit_length() - 1)
+        size = size if size >= least else n
+        out.append(size)
+        n -= size
     return out
 
 
 class Bins:
     """The open bins of one task; ``add`` and ``close`` yield (piece, sequence id,
-    offset, sequence length)."""
+    offset, sequence length). A piece is (document id, start, length, ids, document tokens)."""
 
-    def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next_id = capacity, first_id
+    def __init__(self, capacity: int, first_id: int, least: int = 1):
+        self.capacity, self.next_id, self.least = capacity, first_id, least
         self.open: dict[int, list] = defaultdict(list)
+        self.fillers: deque[tuple] = deque()
+        self.stock = 0
+        self.waiting: list[list] = []
 
     def _emit(self, pieces: list) -> Iterator[tuple]:
         total, at = sum(p[2] for p in pieces), 0
@@ -122,36 +122,63 @@ class Bins:
             at += p[2]
         self.next_id += 1
 
-    def add(self, piece: tuple) -> Iterator[tuple]:
-        """A piece is (document id, start, length, ids, document tokens)."""
-        size = 1 << (piece[2] - 1).bit_length()  # its class: the smallest power of two that holds it
-        held = self.open[size]
-        held.append(piece)
-        if len(held) == self.capacity // size:
-            yield from self._emit(held)
-            held.clear()
+    @staticmethod
+    def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+        doc, start, length, ids, total = piece
+        return ((doc, start, n, ids[:4 * n], total), (doc, start + n, length - n, ids[4 * n:], total))
+
+    def _filled(self) -> Iterator[tuple]:
+        """Bins that wait, as far as the stock fills them."""
+        while self.waiting:
+            free = self.capacity - sum(p[2] for p in self.waiting[0])
+            if free > self.stock:
+                return
+            pieces = self.waiting.pop(0)
+            self.stock -= free
+            while free:
+                piece = self.fillers.popleft()
+                if piece[2] > free:
+                    piece, rest = self._cut(piece, free)
+                    self.fillers.appendleft(rest)
+                pieces.append(piece)
+                free -= piece[2]
+            yield from self._emit(pieces)
+
+    def add(self, document: tuple) -> Iterator[tuple]:
+        """A whole document."""
+        while document[2] > self.capacity:
+            piece, document = self._cut(document, self.capacity)
+            yield from self._emit([piece])
+        if document[2] == self.capacity:
+            yield from self._emit([document])
+        elif self.stock < self.capacity:
+            self.fillers.append(document)
+            self.stock += document[2]
+            yield from self._filled()
+        else:
+            k = self.capacity // document[2]
+            held = self.open[k]
+            held.append(document)
+            if len(held) == k:
+                self.waiting.append(self.open.pop(k))
+                yield from self._filled()
 
     def close(self) -> Iterator[tuple]:
-        """The rest, longest first: sums of descending powers of two meet every larger
-        power, so no sequence is left with another length (shorter pieces, which only
-        ``least`` makes, may leave one)."""
-        rest = sorted((p for held in self.open.values() for p in held), key=lambda p: -p[2])
+        """Everything that is left."""
+        rest = [*self.fillers, *(p for held in (*self.open.values(), *self.waiting) for p in held)]
+        rest.sort(key=lambda p: -p[2])
         left = sum(p[2] for p in rest)
-        pieces, got, goal = [], 0, 0
-        for p in rest:
-            if not pieces:
-                goal = min(self.capacity, 1 << (left.bit_length() - 1))
-            if got + p[2] > goal and pieces:
-                yield from self._emit(pieces)
-                left -= got
-                pieces, got, goal = [], 0, min(self.capacity, 1 << (left.bit_length() - 1))
-            pieces.append(p)
-            got += p[2]
-            if got >= goal:
-                yield from self._emit(pieces)
-                left -= got
-                pieces, got = [], 0
-        if pieces:
+        goals = [self.capacity] * (left // self.capacity) + tail(left % self.capacity, self.least)
+        rest = deque(rest)
+        for goal in goals:
+            pieces = []
+            while goal:
+                piece = rest.popleft()
+                if piece[2] > goal:
+                    piece, more = self._cut(piece, goal)
+                    rest.appendleft(more)
+                pieces.append(piece)
+                goal -= piece[2]
             yield from self._emit(pieces)
 
 
@@ -173,7 +200,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024,
     def run(batches):
         from pyspark import TaskContext
 
-        encode, bins = None, Bins(capacity, TaskContext.get().partitionId() << 40)
+        encode, bins = None, Bins(capacity, TaskContext.get().partitionId() << 40, least)
 
         def batch_of(found: list) -> pa.RecordBatch:
             cols = zip(*((p[0], p[1], p[2], p[3], p[4], s, at, n) for p, s, at, n in found))
@@ -186,10 +213,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024,
             for doc, text in zip(batch.column("doc_id").to_pylist(),
                                  batch.column("text").to_pylist()):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
-                raw, at = ids.tobytes(), 0
-                for n in cuts(len(ids), capacity, least):
-                    found += bins.add((doc, at, n, raw[4 * at:4 * (at + n)], len(ids)))
-                    at += n
+                found += bins.add((doc, 0, len(ids), ids.tobytes(), len(ids)))
             if found:
                 yield batch_of(found)
         if found := list(bins.close()):

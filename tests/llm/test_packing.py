@@ -69,24 +69,58 @@ def test_hard_rows(spark, ids_of):
         K.pack(hard(spark), RANKS, JSON, capacity=1000)
 
 
-def test_cuts_and_bins():
+def laid(lengths, least=1):
+    """Pieces of documents of these lengths, and each sequence's pieces."""
+    bins, found = K.Bins(1024, 0, least), []
+    for d, n in enumerate(lengths):
+        found += bins.add((d, 0, n, np.full(n, d, "<u4").tobytes(), n))
+    found += bins.close()
+    assert all(np.frombuffer(p[3], "<u4").tolist() == [p[0]] * p[2] for p, *_ in found)
+    seqs = defaultdict(list)
+    for p, s, at, total in found:
+        assert at == sum(q[2] for q in seqs[s])
+        seqs[s].append(p)
+    by_doc = defaultdict(list)
+    for p, *_ in found:
+        by_doc[p[0]].append((p[1], p[2]))
+    for d, n in enumerate(lengths):
+        at = 0
+        for start, length in sorted(by_doc[d]):
+            assert start == at
+            at += length
+        assert at == n
+    return found, seqs
+
+
+def test_classes_and_cuts():
     r = random.Random(1)
-    for n in [1, 2, 1023, 1024, 1025, 5000, *(r.randint(1, 9000) for _ in range(200))]:
-        assert sum(K.cuts(n, 1024)) == n and sum(K.cuts(n, 1024, 64)) == n
-        assert all(c & (c - 1) == 0 for c in K.cuts(n, 1024))
-        assert all(c >= 64 for c in K.cuts(n, 1024, 64)[:-1])
-    for least in (1, 64):
-        bins, found, total = K.Bins(1024, 0), [], 0
-        for d in range(500):
-            n, at = r.randint(1, 3000), 0
-            total += n
-            for c in K.cuts(n, 1024, least):
-                found += bins.add((d, at, c, b"", n))
-                at += c
-        found += bins.close()
-        assert sum(p[2] for p, *_ in found) == total
-        padded = sum(1024 - n for n in {s: n for _, s, _, n in found}.values() if n & (n - 1))
-        assert padded == 0 if least == 1 else padded < 0.05 * total
+    mixed = [min(int(r.lognormvariate(5.5, 1.2)) + 1, 9000) for _ in range(3000)]
+    for lengths in (mixed, [700] * 500, [1] * 5000, [1024] * 9, [513] * 301, [r.randint(1, 1023) for _ in range(2000)]):
+        found, seqs = laid(lengths)
+        sizes = [sum(p[2] for p in ps) for ps in seqs.values()]
+        assert all(n == 1024 or n & (n - 1) == 0 for n in sizes) and sum(n < 1024 for n in sizes) <= 10
+        # Whole remainders of one class stand in a bin by the class's count, then its filler.
+        whole = defaultdict(int)
+        for s, ps in seqs.items():
+            k = 1024 // ps[0][2]
+            if len(ps) >= k and all(p[1] % 1024 == 0 and p[1] + p[2] == p[4] and 1024 // p[2] == k for p in ps[:k]):
+                whole[s] = k
+        several = sum(len(ps) > 1 for ps in seqs.values())
+        assert lengths is not mixed or len(whole) > 0.8 * several > 500
+    found, _ = laid(mixed)
+    assert len(found) < 2.5 * len(mixed)
+    assert sum(p[2] <= 8 for p, *_ in found) < 0.05 * len(found)
+    found, seqs = laid(mixed, least=64)
+    assert sum(sum(p[2] for p in ps) & (sum(p[2] for p in ps) - 1) > 0 for ps in seqs.values()) <= 1
+    assert K.tail(1023) == [512, 256, 128, 64, 32, 16, 8, 4, 2, 1] and K.tail(200, 64) == [128, 64, 8] and K.tail(0) == []
+
+
+def test_pieces_per_document(spark):
+    rows = K.pack(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), RANKS, JSON).collect()
+    docs = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    least = sum(-(-n // 1024) for n in docs.values())
+    assert len(rows) < 1.5 * least
+
 
 def test_special_tokens_as_the_plain_call(spark):
     """The contract's ids: tokenizers as it comes, with add_special_tokens=False."""
