@@ -187,7 +187,7 @@ def _local(k: int, known):
     def work(grams, shard, _):
         h, ok = grams.level(k)
         if k > 1 and len(h):
-            parts = known.value.has(grams.level(k - 1)[0], shard)
+            parts = Bits(known.value).has(grams.level(k - 1)[0], shard)
             ok = ok & parts[:-1] & parts[1:]
         keys, times = np.unique(h[ok], return_counts=True)
         yield len(keys), {"shard": shard, "seed": _signed(np.array([grams.seed], np.uint64)).tolist()[0],
@@ -208,7 +208,7 @@ def _everywhere(known):
         for k in range(1, LONGEST + 1):
             h, ok = grams.level(k)
             at = np.flatnonzero(ok)
-            at = at[known.value.has(h[at], None)]
+            at = at[Bits(known.value).has(h[at], None)]
             if not len(at):
                 continue
             if ids is None:
@@ -294,12 +294,12 @@ def counts(docs: DataFrame, support: int = 100, text_col: str = "text", lang_col
 
     levels = [frequent(words, 1)]
     for k in range(2, LONGEST + 1):
-        levels.append(frequent(level(k, sc.broadcast(_bits(levels[-1], True))), k))
+        levels.append(frequent(level(k, sc.broadcast(_bits(levels[-1], True).words)), k))
     union = reduce(DataFrame.unionByName, levels)
     # In shards where it isn't frequent, a phrase stands need - 1 times at most.
     could = union.groupBy("key").agg(
         (F.sum("times") + F.max("rest") - F.sum(F.col("need") - 1)).alias("most")).where(F.col("most") >= support)
-    known = sc.broadcast(_bits(written(could.select("key"), "candidates"), False))
+    known = sc.broadcast(_bits(written(could.select("key"), "candidates"), False).words)
     every = _passes(docs, _everywhere(known), "lang string, phrase string, size int, times long", shards)
     every = written(every.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")).where(
         (F.col("times") >= support) | (F.col("size") == 0)), "phrases")
