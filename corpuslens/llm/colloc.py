@@ -27,6 +27,7 @@ is read once a level, and its partitions must be the same each time, as those of
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,10 +38,12 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import fits_broadcast, salted_join
 from ..operators.topk import top_k
-from .common import GROUP_BYTES, groups, mix, written
+from .common import groups, mix, written
 
 SHARDS = 16
 LONGEST = 5
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 20
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 MOST_BITS = 1 << 27
 #: A byte that stands in no UTF-8 text, for the ends of pieces and of texts.
@@ -60,7 +63,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, GROUP_BYTES * 5 // 4)
+            n = max(n, CHUNK * 5 // 4)
             self.up, self.down = (np.cumprod(np.where(np.arange(n) > 0, np.uint64(x), np.uint64(1)), dtype=np.uint64)
                                   for x in (self.BASE, pow(self.BASE, -1, 2 ** 64)))
         return self.up, self.down
@@ -86,9 +89,9 @@ class Words(dict):
 def _parts(raw: bytes) -> Iterator[bytes]:
     """A text, cut at ends of pieces if it is very long."""
     lo = 0
-    while len(raw) - lo > GROUP_BYTES:
-        cut = raw.rfind(_PIECE, lo, lo + GROUP_BYTES)
-        cut = cut if cut > lo else raw.find(_PIECE, lo + GROUP_BYTES)
+    while len(raw) - lo > CHUNK:
+        cut = raw.rfind(_PIECE, lo, lo + CHUNK)
+        cut = cut if cut > lo else raw.find(_PIECE, lo + CHUNK)
         if cut < 0:
             break
         yield raw[lo:cut]
@@ -104,7 +107,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         for part in _parts((raw or b"").translate(_TO)):
             held.setdefault(lang, []).append(part)
             size += len(part)
-            if size >= GROUP_BYTES:
+            if size >= CHUNK:
                 yield from ((x, _PIECE.join(parts)) for x, parts in held.items())
                 held, size = {}, 0
     yield from ((x, _PIECE.join(parts)) for x, parts in held.items())
@@ -148,7 +151,7 @@ def told_apart(grams: Grams, k: int, at: np.ndarray, ids: np.ndarray) -> tuple[n
     """(one place, times) of the phrases of k words at some places. Places of one hash whose words differ
     count each by themselves; ``ids`` numbers the words."""
     h = grams.level(k)[0]
-    at = at[np.argsort(h[at], kind="stable")]
+    at = at[np.argsort(h[at])]
     s = h[at]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
@@ -162,8 +165,9 @@ def told_apart(grams: Grams, k: int, at: np.ndarray, ids: np.ndarray) -> tuple[n
             np.concatenate([np.bincount(group[same], minlength=len(first)), np.ones(len(odd), np.int64)]))
 
 
-def _passes(docs: DataFrame, work, schema: str, shards: int) -> DataFrame:
-    """``work(grams, shard, words)``, which yields (rows, dict of columns or of single values), over all texts."""
+def _passes(docs: DataFrame, make, schema: str, shards: int) -> DataFrame:
+    """What ``make()`` gives for a task: a function of (grams, shard), called for all texts, and one that is called at
+    the end; both yield (rows, dict of columns or of single values)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
@@ -171,29 +175,57 @@ def _passes(docs: DataFrame, work, schema: str, shards: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        shard, powers, words = TaskContext.get().partitionId() % shards, Powers(), Words()
+        shard, powers = TaskContext.get().partitionId() % shards, Powers()
+        add, end = make()
+
+        def rows(found):
+            for n, cols in found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, f.type) if isinstance(x := cols[f.name], (list, np.ndarray))
+                     else pa.repeat(pa.scalar(x, f.type), n) for f in out], schema=out)
+
         for batch in groups(batches, ("text",)):
             for lang, text in _chunks(batch):
-                for n, cols in work(Grams(text, lang, powers), shard, words):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, f.type) if isinstance(x := cols[f.name], (list, np.ndarray))
-                         else pa.repeat(pa.scalar(x, f.type), n) for f in out], schema=out)
+                yield from rows(add(Grams(text, lang, powers), shard))
+        yield from rows(end())
 
     return docs.mapInArrow(run, schema)
 
 
+#: Counts that a task holds before it hands them on.
+HELD = 1_000_000
+
+
 def _local(k: int, known):
     """Phrases of k words whose parts of k - 1 words are frequent in the shard, with their counts."""
-    def work(grams, shard, _):
-        h, ok = grams.level(k)
-        if k > 1 and len(h):
-            parts = Bits(known.value).has(grams.level(k - 1)[0], shard)
-            ok = ok & parts[:-1] & parts[1:]
-        keys, times = np.unique(h[ok], return_counts=True)
-        yield len(keys), {"shard": shard, "seed": _signed(np.array([grams.seed], np.uint64)).tolist()[0],
-                          "key": _signed(keys), "times": times}
+    def make():
+        held, shards = {}, []
+
+        def end():
+            for seed, parts in held.items():
+                keys = np.concatenate([p[0] for p in parts])
+                order = np.argsort(keys)
+                keys, times = keys[order], np.concatenate([p[1] for p in parts])[order]
+                if len(keys):
+                    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    yield len(new), {"shard": shards[0], "seed": seed, "key": _signed(keys[new]),
+                                     "times": np.add.reduceat(times, new)}
+            held.clear()
+
+        def add(grams, shard):
+            h, ok = grams.level(k)
+            if k > 1 and len(h):
+                parts = Bits(known.value).has(grams.level(k - 1)[0], shard)
+                ok = ok & parts[:-1] & parts[1:]
+            shards[:] = [shard]
+            held.setdefault(_signed(np.array([grams.seed], np.uint64)).tolist()[0], []).append(
+                np.unique(h[ok], return_counts=True))
+            if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
+                yield from end()
+
+        return add, end
 
-    return work
+    return make
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -202,23 +234,37 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def _everywhere(known):
     """Candidates with their words, and (size 0) the number of all words."""
-    def work(grams, _, words):
-        yield 1, {"lang": grams.lang, "phrase": "", "size": 0, "times": len(grams.own)}
-        ids = None
-        for k in range(1, LONGEST + 1):
-            h, ok = grams.level(k)
-            at = np.flatnonzero(ok)
-            at = at[Bits(known.value).has(h[at], None)]
-            if not len(at):
-                continue
-            if ids is None:
-                found = grams.text.replace(_PIECE, b" ").split()
-                ids = np.fromiter(map(words.fresh().__getitem__, found), np.int64, len(found))
-            first, times = told_apart(grams, k, at, ids)
-            yield len(first), {"lang": grams.lang, "size": k, "times": times,
-                               "phrase": [grams.phrase(i, k) for i in first.tolist()]}
-
-    return work
+    def make():
+        held, words = {}, Words()
+
+        def end():
+            for lang, found in held.items():
+                yield len(found), {"lang": lang, "phrase": [p for _, p in found], "size": [k for k, _ in found],
+                                   "times": list(found.values())}
+            held.clear()
+
+        def add(grams, _):
+            found = held.setdefault(grams.lang, Counter())
+            found[0, ""] += len(grams.own)
+            ids = None
+            for k in range(1, LONGEST + 1):
+                h, ok = grams.level(k)
+                at = np.flatnonzero(ok)
+                at = at[Bits(known.value).has(h[at], None)]
+                if not len(at):
+                    continue
+                if ids is None:
+                    every = grams.text.replace(_PIECE, b" ").split()
+                    ids = np.fromiter(map(words.fresh().__getitem__, every), np.int64, len(every))
+                first, times = told_apart(grams, k, at, ids)
+                for i, n in zip(first.tolist(), times.tolist()):
+                    found[k, grams.phrase(i, k)] += n
+            if sum(map(len, held.values())) > HELD // 10:
+                yield from end()
+
+        return add, end
+
+    return make
 
 
 class Bits:

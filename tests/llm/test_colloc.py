@@ -88,7 +88,7 @@ def test_bits(spark):
 
 
 def test_long_texts_are_cut_at_ends_of_pieces(monkeypatch):
-    monkeypatch.setattr(C, "GROUP_BYTES", 40)
+    monkeypatch.setattr(C, "CHUNK", 40)
     text = ("ab cd " * 20 + ". " + "e f. " * 30 + "g" * 100).encode().translate(C._TO)
     parts = list(C._parts(text))
     assert b"".join(parts) == text and len(parts) > 3
