@@ -9,8 +9,9 @@ must occur, in at least one shard, as often as that shard's share of the languag
 each shard is mined completely at ceil(support x its words / all words), language by language: words
 first, then phrases of k words of which both parts of k - 1 words are frequent in the shard. The counts
 of a shard are sums over its tasks, so shards may be of any size. What is frequent in any shard, and can
-reach ``support`` with what the other shards may hold unseen, is a candidate, and one more pass counts
-all candidates in the whole corpus, by their words, exactly.
+reach ``support`` with what the other shards may hold unseen, is a candidate. One more pass counts all
+candidates in the whole corpus by their hashes, which can only count too much, and the last one those that
+reach the support, by their words, exactly.
 
 The frequent phrases of a level travel to the next pass as a table of bits, as many as 16 a phrase up
 to MOST_BITS: a phrase that only shares another's bit is counted needlessly and fails the support at the
@@ -232,6 +233,33 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _by_hash(known):
+    """Candidates by their hashes."""
+    def make():
+        held = []
+
+        def end():
+            keys, times = (np.concatenate([p[i] for p in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+            order = np.argsort(keys)
+            keys, times = keys[order], times[order]
+            if len(keys):
+                new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                yield len(new), {"key": _signed(keys[new]), "times": np.add.reduceat(times, new)}
+            held.clear()
+
+        def add(grams, _):
+            for k in range(1, LONGEST + 1):
+                h, ok = grams.level(k)
+                h = h[ok]
+                held.append(np.unique(h[Bits(known.value).has(h, None)], return_counts=True))
+            if sum(len(p[0]) for p in held) > HELD:
+                yield from end()
+
+        return add, end
+
+    return make
+
+
 def _everywhere(known):
     """Candidates with their words, and (size 0) the number of all words."""
     def make():
@@ -346,6 +374,9 @@ def counts(docs: DataFrame, support: int = 100, text_col: str = "text", lang_col
     could = union.groupBy("key").agg(
         (F.sum("times") + F.max("rest") - F.sum(F.col("need") - 1)).alias("most")).where(F.col("most") >= support)
     known = sc.broadcast(_bits(written(could.select("key"), "candidates"), False).words)
+    hashed = _passes(docs, _by_hash(known), "key long, times long", shards)
+    hashed = hashed.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= support)
+    known = sc.broadcast(_bits(written(hashed.select("key"), "frequent"), False).words)
     every = _passes(docs, _everywhere(known), "lang string, phrase string, size int, times long", shards)
     every = written(every.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")).where(
         (F.col("times") >= support) | (F.col("size") == 0)), "phrases")
