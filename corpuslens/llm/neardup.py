@@ -359,7 +359,7 @@ def _open(member: DataFrame, labels: DataFrame | None, turn: int, carried: list[
     placed = member.withColumn("label", F.col("key")) if labels is None else member.join(
         labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "label", F.coalesce("label", "key"))
-    placed = written(placed, "placed")
+    placed = placed if labels is None else written(placed, "placed")
     parts = placed.groupBy("bucket", "label").agg(
         F.count(F.lit(1)).alias("size"),
         F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("draw"), "key", "n", *carried)).alias("lead"))
@@ -401,7 +401,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         "sequences")
     tested = labels = None
     for turn in range(ROUNDS):
+        # Components only grow: a bucket of one component stays so.
         open_ = _open(member, labels, turn, signs)
+        member = open_.select("bucket", "key", "n", *signs)
         pairs = (open_.where("label <> main").where(near("", "lead."))
                  .select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
                  .distinct())
