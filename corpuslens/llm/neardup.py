@@ -52,7 +52,7 @@ SHINGLE = 5
 LANES = 40
 PICK = 5
 #: Leader rounds at most, before what is open is finished exactly.
-ROUNDS = 6
+ROUNDS = 3
 SIGNS = 4
 #: Shingles of a text up to which its candidates are found exactly.
 SHORT = 40
