@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from . import bias_q, clean_q, io_q, lang_q, lexicon_q, model_q, profile_q, tfidf_q  # noqa: F401
+    from . import bias_q, clean_q, grouped_q, io_q, lang_q, lexicon_q, model_q, profile_q, tfidf_q  # noqa: F401

@@ -11,11 +11,12 @@ from .conftest import SF_SMALL
 
 TABLES = ["documents", "labels", "pages", "orders", "events"]
 # Queries without SQL whose results other tests check value by value (tests/llm, test_models,
-# test_permutation, test_markup); here the rest: what each must give at least.
+# test_permutation, test_markup, test_softboost); here the rest: what each must give at least.
 ELSEWHERE = set(E.queries()) & ({n for n in E.queries() if n.startswith("op")} | {
     "pipeline", "strip_markup_full", "forest_permutation", "boosted_permutation", "boosted_importance",
     "boosted_accuracy", "boosted_bow_accuracy", "tree_attribution_top", "row_importance",
-    "boosted_attribution_top", "boosted_biased_words", "boosted_interactions"})
+    "boosted_attribution_top", "boosted_biased_words", "boosted_interactions", "softmax_accuracy", "softmax_history",
+    "softmax_value_change"})
 
 
 def _norm(v):
