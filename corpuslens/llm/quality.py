@@ -39,6 +39,8 @@ PRIOR = 20
 #: Without a given k, texts of at least this log weight are counted.
 LEAST = -10.0
 _REPEAT = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens and n-grams take many times the bytes of their texts, so few of these are worked on together.
+TEXT_BYTES = 1 << 20
 
 
 def _ngrams(texts: list, words: WordHashes, buckets: int):
@@ -72,7 +74,7 @@ def counts(docs: DataFrame, target_col: str, text_col: str = "text",
 
     def run(batches):
         words, total = WordHashes(), np.zeros((2, buckets), np.int64)
-        for batch in groups(batches, ("text",)):
+        for batch in groups(batches, ("text",), TEXT_BYTES):
             grams, begin = _ngrams(batch.column("text").to_pylist(), words, buckets)
             target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool),
                                np.diff(begin))
@@ -134,7 +136,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
         return run
 
     out = map_batches(rows, make, ", ".join([*fields, "n long, logw double, key double"]),
-                      (f"c{at}",))
+                      (f"c{at}",), TEXT_BYTES)
     return out.toDF(*keep, "n_grams", "log_weight", "gumbel_key")
 
 
