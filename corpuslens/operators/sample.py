@@ -40,6 +40,12 @@ def hash_int(*parts: Column, seed: int = DEFAULT_SEED) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
 
+def hash_wide(*parts: Column, seed: int = DEFAULT_SEED) -> Column:
+    """Non-negative 60-bit integer from md5 of the parts joined by '|': reaches every row of any table."""
+    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+
+
 def cap_per_group(df: DataFrame, key: str, id_col: str, k=None, q: float = 0.95,
                   seed: int = DEFAULT_SEED) -> DataFrame:
     """Keep at most k rows per non-null ``key``; smaller groups stay whole.
@@ -70,7 +76,7 @@ def _draws(sizes: DataFrame, class_col: str, n_col: str, seed: int) -> DataFrame
     lo = F.col("_chunk") * DRAW_CHUNK
     hi = F.least(lo + DRAW_CHUNK, F.col(n_col)) - 1
     slots = chunks.withColumn("draw", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
-    pos = F.pmod(hash_int(F.col(class_col), F.col("draw"), seed=seed), F.col("_size"))
+    pos = F.pmod(hash_wide(F.col(class_col), F.col("draw"), seed=seed), F.col("_size"))
     return slots.select(class_col, "draw", pos.alias("_pos"))
 
 

@@ -64,7 +64,7 @@ SELECT lang AS label, count(*) FILTER (predicted = 'de') AS de, count(*) FILTER
 FROM pred GROUP BY lang""")
 def confusion_matrix_wide(spark, sf_dir):
     """Rows: true class; a column per predicted class (A16, wide)."""
-    return evaluate.confusion_wide(detected(spark, sf_dir), ["de", "en", "es", "fr"], "lang", "predicted")
+    return evaluate.confusion_wide(detected(spark, sf_dir), None, "lang", "predicted")
 
 
 @query("accuracy", sql=f"""

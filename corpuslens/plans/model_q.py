@@ -246,7 +246,7 @@ pr AS (SELECT doc_id, cls AS pred FROM (
 rk AS (SELECT doc_id, row_number() OVER (
          ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '{SEED}')), doc_id) - 1 AS rho FROM rws),
 fr AS (SELECT term, rep,
-              1 + CAST(('0x' || substr(md5(concat_ws('|', term, CAST(rep AS VARCHAR), '{SEED}')), 1, 8))
+              1 + CAST(('0x' || substr(md5(concat_ws('|', term, CAST(rep AS VARCHAR), '{SEED}')), 1, 15))
                        AS BIGINT) % ((SELECT n FROM nr) - 1) AS shift
        FROM (SELECT term FROM v) CROSS JOIN (SELECT unnest(range(0, {PERM_REPEATS})) AS rep)),
 er AS (SELECT e.term, fr.rep, fr.shift, rk.rho, e.x FROM ent e JOIN rk USING (doc_id) JOIN fr USING (term)),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, profile, sample
+from ..operators import features, profile, quantiles, sample
+from ..session import materialize
 from ..sources.io import read_table
 from .registry import query
 
@@ -16,8 +17,8 @@ def _md5(id_expr: str) -> str:
     return f"md5(concat_ws('|', CAST({id_expr} AS VARCHAR), '{SEED}'))"
 
 
-def _hint(expr: str) -> str:
-    return f"CAST(('0x' || substr({expr}, 1, 8)) AS BIGINT)"
+def _hint(expr: str, digits: int = 8) -> str:
+    return f"CAST(('0x' || substr({expr}, 1, {digits})) AS BIGINT)"
 
 
 @query("class_fractions", sql="""
@@ -84,6 +85,29 @@ def column_profile(spark, sf_dir):
     return profile.info(joined)
 
 
+_QS = (0.05, 0.5, 0.95)
+#: Rows of a sketch: few, so that most of the larger tables' rows are left out.
+SKETCH = 256
+DELTA = 0.01
+
+
+@query("quantiles_merged", sql=f"""
+WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY {_md5('doc_id')}, doc_id) AS rn
+           FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL),
+s AS (SELECT lang, count(*) AS n,
+             quantile_cont(CAST(n_chars AS DOUBLE), {list(_QS)}) FILTER (rn <= {SKETCH}) AS vs FROM r GROUP BY lang),
+u AS (SELECT lang, n, unnest(CAST({list(_QS)} AS DOUBLE[])) AS q, unnest(vs) AS v FROM s)
+SELECT lang, n, q, round(v, 6) AS value,
+       round(CASE WHEN n > {SKETCH} THEN sqrt(ln(2 / {DELTA}) / (2.0 * {SKETCH})) ELSE 0.0 END, 9) AS rank_error
+FROM u""")
+def quantiles_merged(spark, sf_dir):
+    """Quantiles of lengths per class from sketches stored per class and source, then merged."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    stored = materialize(quantiles.sketch(docs, ["lang", "source"], "n_chars", "doc_id", SKETCH, SEED))
+    out = quantiles.quantiles(quantiles.merge(stored, ["lang"], SKETCH), ["lang"], list(_QS), DELTA)
+    return out.withColumn("value", F.round("value", 6)).withColumn("rank_error", F.round("rank_error", 9))
+
+
 @query("cap_per_group", sql=f"""
 WITH s AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1),
 k AS (SELECT CAST(floor(quantile_cont(n, {Q})) AS BIGINT) AS k FROM s),
@@ -116,7 +140,7 @@ r AS (SELECT doc_id, lang,
 
 
 def _draw_sql(need: str) -> str:
-    pos = _hint("md5(concat_ws('|', d.lang, CAST(d.draw AS VARCHAR), '" + str(SEED) + "'))")
+    pos = _hint("md5(concat_ws('|', d.lang, CAST(d.draw AS VARCHAR), '" + str(SEED) + "'))", 15)
     return f"""
 need AS (SELECT lang, size, {need} AS need FROM sz),
 d AS (SELECT lang, size, unnest(range(0, need)) AS draw FROM need WHERE need > 0),

@@ -79,3 +79,11 @@ def test_hash_split_disjoint_covering(spark):
     assert len(s) == 5000 and {r.split for r in s} == {"train", "test"}
     frac = sum(r.split == "train" for r in s) / 5000
     assert 0.77 < frac < 0.83
+
+
+def test_wide_hashes_reach_beyond_32_bits(spark):
+    h = [r.h for r in spark.range(2000).select(sample.hash_wide(F.col("id")).alias("h")).collect()]
+    assert min(h) >= 0 and max(h) < 1 << 60 and max(h) > 1 << 59 and len(set(h)) == 2000
+    sizes = spark.createDataFrame([("a", 10 ** 11, 3000)], "g string, _size long, need long")
+    pos = [r._pos for r in sample._draws(sizes, "g", "need", 1).collect()]
+    assert len(pos) == 3000 and max(pos) > 9 * 10 ** 10 and min(pos) < 10 ** 10
