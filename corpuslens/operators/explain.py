@@ -9,9 +9,7 @@
   the non-zero entries only: rows where x = 0 contribute |w * mean| each (A12);
 * ``presence_weights`` / ``presence_mean_abs``: the same for a closed-form
   linear model over term presence (class log-odds), computable in SQL;
-* ``top_features``: top-k per class (T3/T4), skew-safe;
-* ``tree_shap``: path-dependent TreeSHAP for tree ensembles in ``mapInPandas``
-  (E5b), one pandas batch of rows at a time against the broadcast node table.
+* ``top_features``: top-k per class (T3/T4), skew-safe.
 """
 
 from __future__ import annotations

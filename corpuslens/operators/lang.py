@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, explode_bag, explode_terms, with_bag
 from ..session import materialize
-from .joins import fits_broadcast, salted_join
+from .joins import BROADCAST_MAX_BYTES, salted_join
 
 
 def trigram_rows(df: DataFrame, text_col: str, keep: list[str], n: int = 3) -> DataFrame:
@@ -56,7 +56,7 @@ def fit_profiles(df: DataFrame, id_col: str, text_col: str, lang_col: str, n: in
 
 def detect(df: DataFrame, id_col: str, text_col: str, profile: DataFrame, priors: DataFrame,
            n: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """(id, [keep...], predicted, score) for every row of ``df``."""
+    """(id, [keep...], predicted, score) for every row of ``df``. Ids must be unique."""
     keep = keep or []
     # K(d): trigrams in the document, known from the row itself.
     low = F.lower(F.col(text_col))
@@ -64,11 +64,13 @@ def detect(df: DataFrame, id_col: str, text_col: str, profile: DataFrame, priors
                                             F.lit(0)).cast("double"))
     # One row per trigram with a count for each language, in the order of their names (a label
     # set), so an occurrence meets one row whatever the number of languages.
-    langs = [r["lang"] for r in priors.select("lang").orderBy("lang").collect()]
+    found = priors.select("lang", "v").orderBy("lang").collect()
+    langs, vocab_size = [r["lang"] for r in found], max([r["v"] for r in found], default=0)
     counts = profile.groupBy("term").pivot("lang", langs).agg(F.first("c"))
     logs = counts.select("term", *[F.log(F.coalesce(F.col(f"`{g}`"), F.lit(0)) + F.lit(1.0)).alias(f"_l{i}")
                                    for i, g in enumerate(langs)])
-    if fits_broadcast(logs):
+    # The fit has counted the trigrams, of at most 4 bytes a character: no need to measure the table.
+    if vocab_size * (16 * (1 + len(langs)) + 4 * n) <= BROADCAST_MAX_BYTES:
         # Hot trigrams occur in most documents: looked up where they stand, nothing is shuffled.
         grams = trigram_rows(with_k, text_col, [id_col, "_k"], n=n).withColumn("tf", F.lit(1))
         matched = grams.join(F.broadcast(logs), "term")

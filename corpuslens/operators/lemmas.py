@@ -90,8 +90,9 @@ def map_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFrame, ou
     """
     if fits_broadcast(table.select("token", "lemma"), max_bytes):
         return _map_in_place(df, tokens_col, table, out, drop_missing)
-    # Documents keep their rows: an id may repeat.
-    rows = df.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), tokens_col))
+    # Documents keep their rows: an id may repeat. 64 bits would meet by chance among 10^10 documents.
+    of = (F.col(id_col).cast("string"), F.col(tokens_col))
+    rows = df.withColumn("_row", F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b")))
     words = rows.select("_row", tokens_col).dropDuplicates(["_row"]).select(
         "_row", F.explode_outer(F.array_distinct(tokens_col)).alias("token")).where("token IS NOT NULL")
     found = salted_join(words, table.select("token", "lemma"), ["token"], salt_from=["_row", "token"])

@@ -40,7 +40,7 @@ def test_language_by_bags_equals_by_occurrences(spark, monkeypatch):
     profile, priors = lang.fit_profiles(docs, "doc_id", "text", "lang")
     a = {r.doc_id: (r.predicted, round(r.score, 6)) for r in
          lang.detect(docs, "doc_id", "text", profile, priors).collect()}
-    monkeypatch.setattr(lang, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(lang, "BROADCAST_MAX_BYTES", 0)
     b = {r.doc_id: (r.predicted, round(r.score, 6)) for r in
          lang.detect(docs, "doc_id", "text", profile, priors).collect()}
     assert a == b
