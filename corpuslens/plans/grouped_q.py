@@ -63,7 +63,7 @@ WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (
 SELECT o_custkey, o_orderkey, place FROM r WHERE place <= {KEEP}""")
 def grouped_cap(spark, sf_dir):
     """A cap per author (R1) as a user's grouped map."""
-    rows = read_table(spark, sf_dir, "orders").select(
+    rows = read_table(spark, sf_dir, "orders", spread=True).select(
         "o_custkey", F.col("o_orderkey").alias("id"), sample.order_key("o_orderkey", SEED).alias("h"))
     return grouped.combine_groups(rows, ["o_custkey"], *_first(KEEP), "o_orderkey long, place long")
 
@@ -75,13 +75,13 @@ WITH r AS (SELECT lang, doc_id, row_number() OVER (
 SELECT lang, doc_id, place FROM r WHERE place <= {KEEP}""")
 def grouped_cap_classes(spark, sf_dir):
     """The same for classes, of which one holds most rows: no task sees more than batches and states."""
-    rows = read_table(spark, sf_dir, "documents").select(
+    rows = read_table(spark, sf_dir, "documents", spread=True).select(
         "lang", F.col("doc_id").alias("id"), sample.order_key("doc_id", SEED).alias("h"))
     return grouped.combine_groups(rows, ["lang"], *_first(KEEP), "doc_id long, place long")
 
 
 def _described(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").alias("v"))
+    rows = read_table(spark, sf_dir, "documents", spread=True).select("lang", "source", F.col("n_chars").alias("v"))
     return grouped.combine_groups(rows, ["lang", "source"], *_moments(), _DESCRIBED)
 
 
