@@ -106,3 +106,18 @@ def test_long_words_meet_by_segments(spark):
     for most in (1, 2):
         got = {(x.token, x.word): x.dist for x in L.near_words(tok, dic, most).collect()}
         assert got == {(t, w): d for t in tokens | {""} for w in words if (d := _levenshtein(t, w)) <= most}
+
+
+def test_table_in_place_stays_in_arrow(spark, monkeypatch):
+    """The table reaches the workers as columns: no row of it becomes a Python object."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.createDataFrame([(1, ["cats", None, "x"]), (2, None), (3, [])], "id long, t array<string>")
+    table = spark.createDataFrame([("cats", "cat"), (None, "no")], "token string, lemma string")
+    out = {drop: L._map_in_place(df, "t", table.limit(0) if drop is None else table, "o", bool(drop))
+           for drop in (False, True, None)}
+    want = {False: [["cat", "x"], [], []], True: [["cat"], [], []], None: [["cats", "x"], [], []]}
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: (_ for _ in ()).throw(AssertionError("collected")))
+        L._map_in_place(df, "t", table, "o", False)
+    assert {k: [r.o for r in v.orderBy("id").collect()] for k, v in out.items()} == want
