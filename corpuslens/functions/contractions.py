@@ -59,6 +59,6 @@ def with_expanded_contractions(df: DataFrame, col: str, out: str,
     expanded = F.array_join(F.transform(F.regexp_extract_all(src, F.lit(_PIECES), 0), expand), "")
     has = None
     for a in APOSTROPHES:
-        h = F.instr(src, a) > 0
+        h = F.contains(src, F.lit(a))
         has = h if has is None else (has | h)
     return df.withColumn(out, F.when(has, expanded).otherwise(src))

@@ -9,6 +9,7 @@ which is how Python treats ``str`` patterns) and ``duckdb_rules`` for RE2.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,18 +59,35 @@ _JAVA_FAST = {
     13: (r"\[([^\]]++)\]\([^\)]+\)|(\[[^\]]*+\]\([^)]*+\z)|(\[[^\]]*+(?:\]|\z))", "$1$2$3"),
     14: (r"\[([^\]]++)\]\[[^\]]+\]|(\[[^\]]*+\]\[[^\]]*+\z)|(\[[^\]]*+(?:\]|\z))", "$1$2$3"),
     17: (r"^\s*+[-*]\s++|^(\s++)", "$1"),
-    18: (r"(?<!\d)\d++\.\s+", ""),
+    # A digit is read first, so other places are left at once; only a run's first digit goes on.
+    18: (r"\d(?<!\d\d)\d*+\.\s+", ""),
     19: (r"<[^_]+>|(<[^_]*+)", "$1"),
+    27: (r"\d(?<!\w\d)(?:\d{2}|\d{4,}+)?(?!\w)", ""),
 }
+# Rules written for ASCII text only: the general form runs where an earlier one is left out.
+_AFTER = {27: 21}
 # Substrings without which a rule cannot match: the rule is skipped for rows
-# that lack them (a cheap ``instr`` instead of a backtracking scan). Each entry
+# that lack them (a search of bytes instead of a regex scan). Each entry
 # lists alternatives; an alternative is a tuple of substrings that must all occur.
+# Neighbours with the same entry are skipped together.
+_EMPHASIS = (("*",), ("_",))
+_SIGNS = (("~~",), (">!",), ("^",), ("`",))
+_NAMES = (("r/",), ("u/",))
+_ENTITY = (("&",),)
 _REQUIRES = {
+    **{i: _EMPHASIS for i in range(6)},
+    **{i: _SIGNS for i in range(6, 11)},
+    11: _NAMES,
+    12: _NAMES,
     13: (("](",),),
     14: (("][",),),
     15: (("]: ",),),
+    16: (("#",),),
     17: (("-",), ("*",)),
     19: (("<", ">"),),
+    20: (("> ",),),
+    21: "beyond ASCII",
+    **{i: _ENTITY for i in range(22, 26)},
 }
 
 # RE2 form of the last rule (no look-around): equal on ASCII text, which is all
@@ -87,17 +105,20 @@ def java_rules(fast: bool = True, skip: tuple[int, ...] = ()) -> list[tuple[int,
     for i, (pat, rep, _) in enumerate(MARKUP_RULES):
         if i in skip:
             continue
-        p, r = _JAVA_FAST[i] if fast and i in _JAVA_FAST else (pat, _java_replacement(rep))
+        quick = fast and i in _JAVA_FAST and _AFTER.get(i) not in skip
+        p, r = _JAVA_FAST[i] if quick else (pat, _java_replacement(rep))
         out.append((i, "(?mdU)" + p, r))
     return out
 
 
 def _guard(c: Column, needs) -> Column:
+    if needs == "beyond ASCII":
+        return F.octet_length(c) != F.length(c)
     cond = None
     for alternative in needs:
         all_of = None
         for sub in alternative:
-            has = F.instr(c, sub) > 0
+            has = F.contains(c, F.lit(sub))
             all_of = has if all_of is None else (all_of & has)
         cond = all_of if cond is None else (cond | all_of)
     return cond
@@ -120,25 +141,27 @@ def with_stripped_markup(df, col: str, out: str, fast: bool = True,
                          skip: tuple[int, ...] = ()):
     """Add ``out`` = markup-free ``col``; guarded rules run only where they can match.
 
-    Each guarded rule reads its input three times (guard, rule, fallback), so
+    Guarded rules read their input three times (guard, rules, fallback), so
     that input is a materialised column of its own projection instead of a
     nested expression (which would grow the expression tree exponentially).
+    A text that lacks what a group of rules needs lacks it before each of them:
+    what they leave is made of captured groups, in place.
     """
     cur = "_mk0"
     df = df.withColumn(cur, F.col(col))
     step = 0
     pending = F.col(cur)
-    for i, pat, rep in java_rules(fast, skip):
-        needs = _REQUIRES.get(i) if fast else None
+    for needs, rules in groupby(java_rules(fast, skip), lambda r: _REQUIRES.get(r[0]) if fast else None):
         if needs:
             step += 1
             nxt = f"_mk{step}"
             df = df.withColumn(nxt, pending).drop(cur)
             cur = nxt
-            c = F.col(cur)
-            pending = F.when(_guard(c, needs), F.regexp_replace(c, pat, rep)).otherwise(c)
-        else:
-            pending = F.regexp_replace(pending, pat, rep)
+            pending = F.col(cur)
+        done = pending
+        for _, pat, rep in rules:
+            done = F.regexp_replace(done, pat, rep)
+        pending = F.when(_guard(pending, needs), done).otherwise(pending) if needs else done
     return df.withColumn(out, pending).drop(cur)
 
 

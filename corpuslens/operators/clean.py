@@ -34,9 +34,7 @@ def full_clean(df: DataFrame, text_col: str, out: str = "clean_post",
     d = d.withColumn("_c1", F.lower("_c1"))
     d = with_expanded_contractions(d, "_c1", "_c2", contractions).drop("_c1")
     no_stop = T.join_tokens(T.remove_words(T.split_words("_c2"), stop))
-    d = d.withColumn("_c3", T.strip_symbols(no_stop)).drop("_c2")
-    toks = T.split_words("_c3")
-    return d.withColumn(out, T.join_tokens(toks)).drop("_c3")
+    return d.withColumn(out, T.squeeze_spaces(T.strip_symbols(no_stop))).drop("_c2")
 
 
 def basic_tokens(text_col, stop: tuple[str, ...] | None = None):
@@ -67,4 +65,5 @@ def clean_table(df: DataFrame, text_col: str, how: str = "basic", **kw) -> DataF
     """Cleaned text plus word/character counts (the clean table of the data model)."""
     fn = {"basic": basic_clean, "full": full_clean, "tokens": tokens_only}[how]
     out = fn(df, text_col, "clean_post", **kw)
-    return counts(out, "clean_post")
+    # Every cleaner joins its words by single spaces.
+    return counts(out, "clean_post", joined=True)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_count, word_count
+from ..functions.text import char_count, joined_count, word_count
 
 NUMERIC_FEATURES = ("nr_of_words", "nr_of_characters")
 
 
 def counts(df: DataFrame, text_col: str, words: str = "nr_of_words",
-           chars: str = "nr_of_characters") -> DataFrame:
-    """Word count (whitespace split) and character count of a text column."""
-    return df.withColumn(words, word_count(text_col)).withColumn(chars, char_count(text_col))
+           chars: str = "nr_of_characters", joined: bool = False) -> DataFrame:
+    """Word count (whitespace split) and character count of a text column; ``joined``: its words are
+    known to be joined by single spaces."""
+    n = joined_count(text_col) if joined else word_count(text_col)
+    return df.withColumn(words, n).withColumn(chars, char_count(text_col))
 
 
 def class_codes(df: DataFrame, class_col: str) -> DataFrame:

@@ -119,3 +119,34 @@ def test_duckdb_chain_equals_spark_on_documents(spark):
     got = {r.doc_id: r.c for r in M.with_stripped_markup(texts, "text", "c", skip=(M.SQUEEZE_RULE,))
            .select("doc_id", "c").collect()}
     assert all(got[i] == c for i, c in rows)
+
+
+def test_groups_of_rules_are_skipped_without_their_signs(spark):
+    """A text that lacks a rule's signs meets no regex of it, and the results stay Python's."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab 1234.*_~>!^`ru/[]():#-<&gtl;é٣\n") for _ in range(40)) for _ in range(300)]
+    texts += ["plain text 12 345", "", "1. a 22. b", "x12 12x 123 1234 12345 1_2 a.1. b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    out = M.with_stripped_markup(df, "t", "o", skip=(M.SQUEEZE_RULE,))
+    for r in out.collect():
+        assert r.o == M.python_reference(texts[r.id], skip=(M.SQUEEZE_RULE,)), texts[r.id]
+    free = [i for i in range(len(M.MARKUP_RULES)) if not M._REQUIRES.get(i)]
+    assert free == [18, M.SQUEEZE_RULE, 27]
+    # The quick form of the last rule is for ASCII: the general one stands in when nothing makes it so.
+    assert dict((i, p) for i, p, _ in M.java_rules(skip=(21,)))[27] == "(?mdU)" + M.MARKUP_RULES[27][0]
+
+
+def test_full_cleaner_splits_its_words_once(spark):
+    from corpuslens.operators import clean
+
+    texts = ["a  - b\tc", "", None, " The  dog's *big* house. 12 345\n\x1cx", "..", "é z　y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    out = clean.clean_table(df, "text", "full")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    for r in out.collect():
+        if texts[r.id] is None:
+            assert r.clean_post is None and r.nr_of_words == r.nr_of_characters == 0
+        else:
+            assert r.clean_post == " ".join(r.clean_post.split())
+            assert (r.nr_of_words, r.nr_of_characters) == (len(r.clean_post.split()), len(r.clean_post))
