@@ -121,3 +121,29 @@ def test_table_in_place_stays_in_arrow(spark, monkeypatch):
         m.setattr(DataFrame, "collect", lambda self: (_ for _ in ()).throw(AssertionError("collected")))
         L._map_in_place(df, "t", table, "o", False)
     assert {k: [r.o for r in v.orderBy("id").collect()] for k, v in out.items()} == want
+
+
+def test_lemma_table_in_one_pass(spark):
+    """Tokens that no rule applies to are left out before any join; exceptions still reach them."""
+    words = ["cats", "cat", "men", "man", "women", "mice", "bus", "s", "dog", None]
+    d = spark.createDataFrame([(w,) for w in words], "token string")
+    exc = spark.createDataFrame(list(L.IRREGULAR), "form string, lemma string")
+    known = d.select(F.col("token").alias("word"))
+    table = L.lemma_table(d, known, exc)
+    assert sorted(map(tuple, table.collect())) == [("cats", "cat"), ("men", "man"), ("mice", "mouse"),
+                                                   ("women", "woman")]
+    assert "Union" not in table._jdf.queryExecution().optimizedPlan().toString()
+    # Not among the known words: its own form doesn't count.
+    few = spark.createDataFrame([("woman",)], "word string")
+    assert sorted(map(tuple, L.lemma_table(d, few).collect())) == [("women", "woman")]
+
+
+def test_large_table_maps_rows_that_are_equal(spark):
+    rows = [(1, ["a", "b"]), (1, ["a", "b"]), (2, ["b", None]), (None, ["a"]), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    table = spark.createDataFrame([("a", "x")], "token string, lemma string")
+    out = L.map_tokens(df, "id", "t", table, "o", max_bytes=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(" not in plan  # whole documents aren't shuffled to find equal ones
+    assert sorted(((r.id or 0), r.o) for r in out.collect()) == [
+        (0, ["x"]), (1, ["x", "b"]), (1, ["x", "b"]), (2, ["b"]), (3, [])]
