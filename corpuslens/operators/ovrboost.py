@@ -1,0 +1,411 @@
+"""One-vs-rest boosted trees on the log loss, all classes at a time, on rows that stay sparse (M2, M3).
+
+The method is that of Spark's ``GBTClassifier``, class by class: the first tree fits the labels (-1 and 1), each further
+one the residuals 4 y / (1 + exp(2 y F)) and counts ``step`` times; splits have the greatest fall in variance among up to
+``bins`` - 1 thresholds a feature, midpoints between values of the training rows (of about SAMPLE of them, if there are more);
+a class ends when the loss of its held-out rows, 2 log(1 + exp(-2 y F)), falls by less than ``tol`` of itself.
+
+Spark's own fit keeps a dense row of bins for each class and adds up sums for every feature of a row. Here rows are
+binned once for all classes and only their non-zero values are kept, in blocks ordered by feature; totals of nodes stand for the
+values left out. A level of all classes' trees is one job: tasks add up counts and residuals by class, node and bin, and the
+best split of a node is found where its sums meet. The driver sees a row a node. Residuals are whole numbers of a
+power of two, so a fit doesn't depend on how its rows are split; ties go to the smaller feature, then the smaller threshold.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+from .softboost import CHECKPOINT, HELD, entries
+from .treeshap import Tree
+
+#: Rows that the thresholds come from, about.
+SAMPLE = 10_000
+#: Rows of a block at most: sums of a block's residuals stay below 2^53, so they are exact in doubles.
+BLOCK = 1 << 15
+BITS = 34
+#: Rows to learn from that are worth a task, about.
+LEAST_ROWS = 4096
+#: Gains of rounding alone don't split.
+LEAST_GAIN = 1e-15
+
+
+@dataclass
+class BoostedModel:
+    """The boosted trees of one class: ``nodes`` by tree are (id, feature, threshold, left, right, count, prediction,
+    gain), children -1 at leaves."""
+
+    n_features: int
+    treeWeights: list[float] = field(default_factory=list)
+    nodes: list[list[tuple]] = field(default_factory=list)
+
+    @property
+    def getNumTrees(self) -> int:
+        return len(self.nodes)
+
+    @property
+    def featureImportances(self) -> np.ndarray:
+        """Each feature's gain times rows over all splits, summing to 1."""
+        out = np.zeros(self.n_features)
+        for t in self.nodes:
+            for _, f, _, left, _, n, _, gain in t:
+                if left >= 0:
+                    out[f] += gain * n
+        return out / (out.sum() or 1.0)
+
+    def table(self, spark) -> DataFrame:
+        """(tree_id, node_id, feature_idx, gain, left, right, count, prediction)."""
+        rows = [(k, i, f, gain, left, right, n, value)
+                for k, t in enumerate(self.nodes) for i, f, _, left, right, n, value, gain in t]
+        return spark.createDataFrame(rows, "tree_id int, node_id int, feature_idx int, gain double, left int, right int, "
+                                           "count long, prediction double")
+
+    def trees(self, column: int, n_classes: int) -> list[Tree]:
+        """The trees in flat form; leaves hold weighted predictions in ``column``."""
+        out = []
+        for w, t in zip(self.treeWeights, self.nodes):
+            _, f, threshold, left, right, n, value, _ = (np.array(c) for c in zip(*t))
+            values = np.zeros((len(t), n_classes))
+            values[:, column] = w * value
+            out.append(Tree(left, right, f, threshold, n.astype(float), values))
+        return out
+
+
+def find_thresholds(values: np.ndarray, n: int, bins: int) -> list[float]:
+    """Up to ``bins`` - 1 thresholds of a feature from its non-zero values in ``n`` rows: midpoints between
+    neighbouring values, all of them or those whose running count is nearest to even shares."""
+    value, count = np.unique(values, return_counts=True)
+    if n > len(values):
+        at = np.searchsorted(value, 0.0)
+        value, count = np.insert(value, at, 0.0), np.insert(count, at, n - len(values))
+    middle = ((value[:-1] + value[1:]) / 2).tolist()
+    if len(middle) < bins:
+        return middle
+    out, stride, seen = [], n / bins, np.cumsum(count).tolist()
+    target = stride
+    for i, m in enumerate(middle):
+        if abs(seen[i] - target) < abs(seen[i + 1] - target):
+            out.append(m)
+            target += stride
+    return out
+
+
+def fit_thresholds(train: DataFrame, n: int, n_features: int, bins: int, seed: int) -> list[np.ndarray]:
+    """Each feature's thresholds, ascending."""
+    if n > SAMPLE:
+        train = train.sample(False, SAMPLE / n, seed)
+        n = train.count()
+    bins = min(bins, max(n, 1))
+
+    def of_feature(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"f": pdf["f"].iloc[:1], "cuts": [find_thresholds(pdf["v"].to_numpy(), n, bins)]})
+
+    flat = train.select(F.explode(F.arrays_zip(F.col("_at").alias("f"), F.col("_v").alias("v"))).alias("e")).select(
+        F.col("e.f").alias("f"), F.col("e.v").alias("v")).where("v <> 0")
+    out = [np.zeros(0)] * n_features
+    for r in flat.groupBy("f").applyInPandas(of_feature, "f int, cuts array<double>").collect():  # a row a feature
+        out[r["f"]] = np.array(r["cuts"])
+    return out
+
+
+def new_block(held_out: bool, y: np.ndarray, n_classes: int, row, feature, value, cuts, begin) -> dict:
+    """Rows that are all held out or all learnt from, as plain arrays: entries are ordered by feature, those of feature
+    f from start[f]; ``margin`` is (classes, rows)."""
+    order = np.argsort(feature, kind="stable")
+    feature, value = feature[order], value[order]
+    start = np.searchsorted(feature, np.arange(len(cuts) + 1)).astype(np.int32)
+    cell = np.empty(len(feature), np.int32)
+    for f in np.flatnonzero(np.diff(start)):
+        part = slice(start[f], start[f + 1])
+        cell[part] = begin[f] + np.searchsorted(cuts[f], value[part])
+    return {"held_out": held_out, "y": y, "row": row[order].astype(np.int32), "start": start, "cell": cell,
+            "margin": np.zeros((n_classes, len(y)))}
+
+
+def nodes_of(block: dict, feature: np.ndarray, cuts: np.ndarray, levels: int, begin, zero) -> np.ndarray:
+    """The node of each row after at most ``levels`` steps down a growing tree."""
+    at, rows = np.zeros(len(block["y"]), np.int32), np.arange(len(block["y"]))
+    for level in range(levels):
+        inner = [i for i in range((1 << level) - 1, (2 << level) - 1) if feature[i] >= 0]
+        if not inner:
+            break
+        place = np.full(2 << level, -1)
+        right = np.empty((len(inner), len(at)), bool)
+        for j, i in enumerate(inner):
+            f = feature[i]
+            place[i] = j
+            right[j] = zero[f] > cuts[i]
+            part = slice(block["start"][f], block["start"][f + 1])
+            right[j, block["row"][part]] = block["cell"][part] - begin[f] > cuts[i]
+        # A row whose node is a leaf, here or above, stays.
+        j = place[at]
+        at = np.where(j < 0, at, 2 * at + 1 + right[j, rows]).astype(np.int32)
+    return at
+
+
+def block_sums(block: dict, target: np.ndarray, node: np.ndarray, nodes: int, cells: int) -> np.ndarray:
+    """(2, nodes, cells + 1): rows and sums of ``target`` by node and cell, and last the node's own; rows with a
+    negative node count nowhere."""
+    node = np.where(node < 0, nodes, node)
+    row = block["row"]
+    key = block["cell"] * np.int64(nodes + 1) + node[row]
+    size = cells * (nodes + 1)
+    out = np.empty((2, cells + 1, nodes), np.int64)
+    for i, (by_cell, by_node) in enumerate((
+            (np.bincount(key, minlength=size), np.bincount(node, minlength=nodes + 1)),
+            (np.bincount(key, target[row], size), np.bincount(node, target, nodes + 1)))):
+        out[i, :-1] = by_cell.reshape(cells, -1)[:, :-1]
+        out[i, -1] = by_node[:-1]
+    return out.transpose(0, 2, 1)
+
+
+class Growing:
+    """A tree as a heap: the children of node i are 2i + 1 and 2i + 2; ``feature`` -1 is a leaf."""
+
+    def __init__(self, depth: int):
+        size = (2 << depth) - 1
+        self.feature, self.cut = np.full(size, -1), np.zeros(size, np.int64)
+        self.n, self.value, self.gain = np.zeros(size, np.int64), np.zeros(size), np.full(size, -1.0)
+
+    def rows(self, cuts: list[np.ndarray]) -> list[tuple]:
+        """The nodes of ``BoostedModel``, numbered in pre-order."""
+        out = []
+
+        def add(i: int) -> int:
+            k, f = len(out), int(self.feature[i])
+            out.append(None)
+            left, right = (add(2 * i + 1), add(2 * i + 2)) if f >= 0 else (-1, -1)
+            threshold = float(cuts[f][self.cut[i]]) if f >= 0 else 0.0
+            out[k] = (k, f, threshold, left, right, int(self.n[i]), float(self.value[i]), float(self.gain[i]))
+            return k
+
+        add(0)
+        return out
+
+
+def best_split(sums: np.ndarray, begin: np.ndarray, zero: np.ndarray, unit: int):
+    """(feature, cut, gain, rows, sum, left rows, left sum) of a node from its (2, cells + 1) sums; feature -1: none."""
+    (n, s), sums = sums[:, -1], sums[:, :-1]
+    none = -1, 0, -1.0, int(n), int(s), 0, 0
+    if not sums.shape[1]:
+        return none
+    size = np.diff(begin)
+    missing = sums[:, -1:] * 0 + np.array([[n], [s]]) - np.add.reduceat(sums, begin[:-1], axis=1)
+    sums[:, begin[:-1] + zero] += missing  # what sparse rows leave out
+    # Each feature's cells add up to the node's totals. Whole numbers: what runs over in between comes back.
+    nl, sl = np.cumsum(sums, 1) - np.repeat(np.array([[n], [s]]) * np.arange(len(size)), size, axis=1)
+    on = (nl > 0) & (nl < n)
+    on[begin[1:] - 1] = False
+    at = np.flatnonzero(on)
+    if not len(at):
+        return none
+    a, b = nl[at].astype(float), (n - nl[at]).astype(float)
+    gain = a / n * (b / n) * (sl[at] / unit / a - (s - sl[at]) / unit / b) ** 2
+    i = int(np.argmax(gain))  # the first: least feature, least cut
+    if gain[i] <= LEAST_GAIN:
+        return none
+    f = int(np.searchsorted(begin, at[i], "right")) - 1
+    return f, int(at[i] - begin[f]), float(gain[i]), int(n), int(s), int(nl[at[i]]), int(sl[at[i]])
+
+
+def binned(rows: DataFrame, cuts: list[np.ndarray], begin: np.ndarray, n_classes: int):
+    """The rows as an RDD of blocks."""
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        def blocks(held):
+            t = pa.Table.from_batches(held).combine_chunks()
+            y, out = t["_y"].to_numpy(), t["_held_out"].to_numpy()
+            at, value = (t[c].combine_chunks() for c in ("_at", "_v"))
+            row = np.repeat(np.arange(len(y)), np.diff(at.offsets.to_numpy()))
+            feature, value = at.flatten().to_numpy(), value.flatten().to_numpy()
+            if not np.isfinite(value).all():
+                raise ValueError("features must be finite numbers")
+            for flag in (False, True):
+                if (out == flag).any():
+                    on = (out[row] == flag) & (value != 0)
+                    place = np.cumsum(out == flag) - 1
+                    yield new_block(flag, y[out == flag], n_classes, place[row[on]], feature[on], value[on], cuts, begin)
+
+        def packed(held):
+            return pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(b) for b in blocks(held)], pa.binary())})
+
+        held, n = [], 0
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                if n + part.num_rows > BLOCK:
+                    yield packed(held)
+                    held, n = [], 0
+                if part.num_rows:
+                    held.append(part)
+                    n += part.num_rows
+        if held:
+            yield packed(held)
+
+    def load(r):
+        import pickle
+
+        return pickle.loads(r["block"])
+
+    return rows.mapInArrow(run, "block binary").rdd.map(load)
+
+
+def residuals(block: dict, k: int, first: bool) -> np.ndarray:
+    """What class k's next tree is fitted to."""
+    sign = np.where(block["y"] == k, 1.0, -1.0)
+    if first:
+        return sign
+    return 4.0 * sign / (1.0 + np.exp(np.minimum(2.0 * sign * block["margin"][k], 700.0)))
+
+
+def loss(margin: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log loss of each row, whose label is 1 where ``own`` and else -1."""
+    return 2.0 * np.logaddexp(0.0, -2.0 * np.where(own, margin, -margin))
+
+
+def _level(state, growing: dict[int, Growing], level: int, turn: int, begin, zero, unit: int, parts: int) -> dict:
+    """{(class, node): best split} of a level's nodes."""
+    first, nodes, cells = (1 << level) - 1, 1 << level, int(begin[-1])
+    trees = {k: (t.feature, t.cut) for k, t in growing.items()}
+    together = len(growing) * 2 * nodes * (cells + 1) <= HELD
+
+    def sent(k, sums):
+        for i in np.flatnonzero(sums[0, :, -1]):
+            at = np.flatnonzero(sums[0, i])
+            yield k * nodes + int(i), (at.astype(np.int32), sums[:, i, at])
+
+    def sums(blocks):
+        held = {}  # sums of a task's blocks, if they are small enough
+        for block in blocks:
+            if not block["held_out"]:
+                for k, tree in trees.items():
+                    target = np.rint(residuals(block, k, turn == 0) * unit)
+                    node = nodes_of(block, *tree, level, begin, zero) - first
+                    found = block_sums(block, target, node, nodes, cells)
+                    if not together:
+                        yield from sent(k, found)
+                    elif k in held:
+                        held[k] += found
+                    else:
+                        held[k] = found
+        for k, found in held.items():
+            yield from sent(k, found)
+
+    def best(items):
+        total = {}
+        for key, (at, part) in items:
+            if key not in total:
+                total[key] = np.zeros((2, cells + 1), np.int64)
+            total[key][:, at] += part
+        for key, found in total.items():
+            yield key, best_split(found, begin, zero, unit)
+
+    part = state.mapPartitions(sums)
+    if parts > 1:
+        part = part.partitionBy(min(parts, len(trees) * nodes), int)
+    found = part.mapPartitions(best).collect()  # a row a node
+    return {divmod(key, nodes): split for key, split in found}
+
+
+def _grow(state, active: list[int], turn: int, depth: int, begin, zero, unit: int, parts: int) -> dict[int, Growing]:
+    """A round's trees."""
+    grown = {k: Growing(depth) for k in active}
+    open_ = list(active)
+    for level in range(depth):
+        found = _level(state, {k: grown[k] for k in open_}, level, turn, begin, zero, unit, parts)
+        for (k, node), (f, cut, gain, n, s, nl, sl) in found.items():
+            t, i = grown[k], (1 << level) - 1 + node
+            t.n[i], t.value[i] = n, s / unit / n
+            if f >= 0:
+                t.feature[i], t.cut[i], t.gain[i] = f, cut, gain
+                for j, a, b in ((2 * i + 1, nl, sl), (2 * i + 2, n - nl, s - sl)):
+                    t.n[j], t.value[j] = a, b / unit / a
+        open_ = sorted({k for (k, _), split in found.items() if split[0] >= 0})
+        if not open_:
+            break
+    return grown
+
+
+def fit(rows: DataFrame, classes: list[int], label: str = "label", features: str = "features", max_iter: int = 500,
+        depth: int = 6, step: float = 0.3, held_out: str | None = None, seed: int = 42, tol: float = 0.01,
+        bins: int = 32) -> dict[int, BoostedModel]:
+    """{class: its model}. ``held_out``: a boolean column of rows that only end the fit; without one, or without such
+    rows, nothing ends it early (with a column but no rows, only the first tree is kept, as no other is better)."""
+    if not classes:
+        return {}
+    at, values = entries(features)
+    code = F.lit(-1)
+    for k, c in enumerate(classes):
+        code = F.when(F.col(label) == F.lit(c), F.lit(k)).otherwise(code)
+    flag = F.coalesce(F.col(held_out), F.lit(False)) if held_out else F.lit(False)
+    rows = rows.select(code.alias("_y"), flag.alias("_held_out"), at.alias("_at"), values.alias("_v"),
+                       F.unwrap_udt(features)["size"].alias("_size"))
+    seen = rows.agg(F.count_if(F.expr("NOT _held_out")).alias("n"), F.count_if("_held_out").alias("out"),
+                    F.max(F.coalesce("_size", F.size("_v"))).alias("size")).first()
+    if not seen["n"]:
+        raise ValueError("no rows to learn from")
+    rows, n_features = rows.drop("_size"), seen["size"]
+    cuts = fit_thresholds(rows.where("NOT _held_out"), seen["n"], n_features, bins, seed)
+    zero = np.array([np.searchsorted(c, 0.0) for c in cuts], np.int64)
+    begin = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])]).astype(np.int64)
+    unit = 1 << min(BITS, 60 - seen["n"].bit_length())
+    sc = rows.sparkSession.sparkContext
+    parts = min(sc.defaultParallelism, 1 + seen["n"] // LEAST_ROWS)
+    if rows.rdd.getNumPartitions() > parts:
+        rows = rows.coalesce(parts)  # every task sends the sums of a node
+    ensure_checkpoint_dir(rows.sparkSession)
+    state = binned(rows, cuts, begin, len(classes)).persist(StorageLevel.MEMORY_AND_DISK)
+    models = {c: BoostedModel(n_features) for c in classes}
+    best, kept = [math.inf] * len(classes), [0] * len(classes)
+    active = list(range(len(classes)))
+    for turn in range(1 if held_out and not seen["out"] else max_iter):
+        grown = _grow(state, active, turn, depth, begin, zero, unit, parts)
+        weight = step if turn else 1.0
+
+        trees = {k: (t.feature, t.cut, weight * t.value) for k, t in grown.items()}
+
+        def moved(block, trees=trees):
+            for k, (feature, cut, value) in trees.items():
+                block["margin"][k] += value[nodes_of(block, feature, cut, depth, begin, zero)]
+            return block
+
+        def losses(block):
+            return [loss(m, block["y"] == k).sum() for k, m in enumerate(block["margin"])]
+
+        after = state.map(moved).persist(StorageLevel.MEMORY_AND_DISK)
+        if (turn + 1) % CHECKPOINT == 0:
+            after.checkpoint()
+        # A row a block of held-out rows; every block is moved and kept on the way.
+        lost = after.map(lambda b: losses(b) if b["held_out"] else None).filter(lambda v: v is not None).collect()
+        state.unpersist()
+        state = after
+        for k, tree in grown.items():
+            m = models[classes[k]]
+            m.treeWeights.append(weight)
+            m.nodes.append(tree.rows(cuts))
+            if not lost:
+                kept[k] = turn + 1
+                continue
+            now = math.fsum(v[k] for v in lost) / seen["out"]
+            if turn and best[k] - now < tol * max(now, 0.01):
+                active = [a for a in active if a != k]
+            elif now < best[k]:
+                best[k], kept[k] = now, turn + 1
+        if not active:
+            break
+    state.unpersist()
+    for k, c in enumerate(classes):
+        models[c].treeWeights, models[c].nodes = models[c].treeWeights[:kept[k]], models[c].nodes[:kept[k]]
+    return models

@@ -1,0 +1,120 @@
+"""One-vs-rest boosting on sparse rows: the same trees as Spark's GBTClassifier, whatever the split of the rows."""
+
+import pickle
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from corpuslens.operators import explain, ovrboost, train, treeshap
+
+
+def rows(n=600, width=8, seed=5):
+    """Continuous features, a third of them absent, so that no two splits part the rows alike."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width)) * (rng.random((n, width)) > 0.33)
+    y = (x[:, 0] + 0.7 * x[:, 1] + 0.1 * rng.normal(size=n) > 0.3).astype(int) + (x[:, 2] + 0.5 * x[:, 3] > 0.8)
+    out = []
+    for i in range(n):
+        at = np.flatnonzero(x[i])
+        v = Vectors.sparse(width, at.tolist(), x[i, at].tolist()) if i % 2 else Vectors.dense(x[i].tolist())
+        out.append((i, float(y[i]), i % 4 == 0, v))
+    return out
+
+
+def table(spark, data=None, parts=3):
+    return spark.createDataFrame(data or rows(), ["id", "label", "held", "features"]).repartition(parts, "id")
+
+
+def fitted(df, **kw):
+    return train.boosted_ovr(df, [0, 1, 2], validation_col="held", depth=2, max_iter=40, **kw)
+
+
+def test_same_trees_as_spark(spark):
+    df = table(spark)
+    models = fitted(df)
+    for c in (0, 1):  # class 2 has splits that part the same rows
+        m = models[c]
+        own = GBTClassifier(labelCol="b", maxIter=40, maxDepth=2, stepSize=0.3, seed=42, validationTol=0.01,
+                            validationIndicatorCol="held").fit(
+            df.withColumn("b", (F.col("label") == c).cast("double")))
+        assert m.getNumTrees == own.getNumTrees > 1 and m.treeWeights == list(own.treeWeights)
+        assert np.allclose(m.featureImportances, own.featureImportances.toArray(), atol=1e-6)
+        columns = "tree_id", "node_id", "feature_idx", "gain", "left", "right", "count", "prediction"
+        a, b = (explain.node_table(spark, x).select(*columns).orderBy("tree_id", "node_id").collect() for x in (m, own))
+        assert len(a) == len(b)
+        for r, s in zip(a, b):
+            assert (r.tree_id, r.node_id, r.left, r.right, r["count"]) == (s.tree_id, s.node_id, s.left, s.right, s["count"])
+            assert r.left < 0 or r.feature_idx == s.feature_idx
+            assert np.isclose(r.gain, s.gain, atol=1e-7) and np.isclose(r.prediction, s.prediction, atol=1e-7)
+        test = df.where("held").withColumn("b", (F.col("label") == c).cast("double"))
+        mine = [v for k, _, v in train.history(models, test) if k == c]
+        assert np.allclose(mine, own.evaluateEachIteration(test), atol=1e-7)
+
+
+def test_does_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(ovrboost, "LEAST_ROWS", 50)
+    a, b = (fitted(table(spark, parts=p)) for p in (1, 5))
+    assert all(a[c].nodes == b[c].nodes for c in a)
+
+
+def test_prediction_is_the_highest_margin(spark):
+    df = table(spark)
+    models = fitted(df)
+    trees = treeshap.one_vs_rest_trees(spark, models, 3)
+    found = train.ovr_predict(models, df.where("held"))
+    assert found.columns == ["id", "label", "held", "features", "prediction"]
+    for r in found.collect():
+        m = treeshap.margins(trees, r.features.toArray()[None])[:, 0].sum(0)
+        assert r.prediction == m.argmax()
+
+
+def test_rows_stay_sparse(spark):
+    """Kept rows take space by their values, not by features x classes."""
+    width = 20_000
+    df = table(spark, [(i, float(i % 2), False, Vectors.sparse(width, [i, i + 7], [1.0, 2.0])) for i in range(400)], 1)
+    at, values = ovrboost.entries("features")
+    plain = df.select(F.col("label").cast("int").alias("_y"), F.col("held").alias("_held_out"), at.alias("_at"),
+                      values.alias("_v"))
+    cuts = ovrboost.fit_thresholds(plain, 400, width, 32, 1)
+    begin = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])
+    kept = ovrboost.binned(plain, cuts, begin, 10).collect()
+    assert sum(len(b["row"]) for b in kept) == 800
+    # A place a feature and block, and 8 bytes a class and row.
+    assert len(pickle.dumps(kept)) < 4 * width + 400 * 10 * 8 + 20_000
+
+
+def test_history_is_one_pass(spark):
+    df = table(spark)
+    models = fitted(df)
+    sc = spark.sparkContext
+    sc.setJobGroup("history", "")
+    try:
+        found = train.history(models, df.where("held"))
+        jobs = sc.statusTracker().getJobIdsForGroup("history")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == sum(m.getNumTrees for m in models.values()) > 10
+    assert len(jobs) < 8
+
+
+def test_thresholds():
+    v = np.array([0.5, 0.5, 2.0, -1.0])
+    assert ovrboost.find_thresholds(v, 6, 32) == [-0.5, 0.25, 1.25]
+    assert ovrboost.find_thresholds(v, 4, 32) == [-0.25, 1.25]
+    assert ovrboost.find_thresholds(np.ones(3), 3, 32) == []
+    even = ovrboost.find_thresholds(np.arange(1.0, 1001), 1000, 4)
+    assert even == [250.5, 500.5, 750.5]
+
+
+def test_odd_tables(spark):
+    one = [(i, 1.0, False, Vectors.dense([float(i), 0.0])) for i in range(5)]
+    m = train.boosted_ovr(table(spark, one), [0, 1], max_iter=3)  # nothing to part, nothing held out
+    assert [len(t) for t in m[1].nodes] == [1, 1, 1] and m[1].nodes[0][0][6] == 1.0 and m[0].nodes[0][0][6] == -1.0
+    assert train.boosted_ovr(table(spark, one), [1], validation_col="held", max_iter=3)[1].getNumTrees == 1
+    with pytest.raises(ValueError):
+        train.boosted_ovr(table(spark, [(i, 1.0, True, r[3]) for i, r in enumerate(one)]), [1], validation_col="held")
+    with pytest.raises(Exception, match="finite"):
+        train.boosted_ovr(table(spark, [*one, (9, 0.0, False, Vectors.dense([float("nan"), 1.0]))]), [0, 1], max_iter=2)
