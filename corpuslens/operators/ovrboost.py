@@ -31,6 +31,8 @@ SAMPLE = 10_000
 #: Rows of a block at most: sums of a block's residuals stay below 2^53, so they are exact in doubles.
 BLOCK = 1 << 15
 BITS = 34
+#: Entries that are added up at a time.
+CHUNK = 1 << 15
 #: Rows to learn from that are worth a task, about.
 LEAST_ROWS = 4096
 #: Gains of rounding alone don't split.
@@ -152,19 +154,23 @@ def nodes_of(block: dict, feature: np.ndarray, cuts: np.ndarray, levels: int, be
     return at
 
 
-def block_sums(block: dict, target: np.ndarray, node: np.ndarray, nodes: int, cells: int) -> np.ndarray:
+def block_sums(block: dict, target: np.ndarray, node: np.ndarray, nodes: int, begin: np.ndarray) -> np.ndarray:
     """(2, nodes, cells + 1): rows and sums of ``target`` by node and cell, and last the node's own; rows with a
-    negative node count nowhere."""
-    node = np.where(node < 0, nodes, node)
-    row = block["row"]
-    key = block["cell"] * np.int64(nodes + 1) + node[row]
-    size = cells * (nodes + 1)
-    out = np.empty((2, cells + 1, nodes), np.int64)
-    for i, (by_cell, by_node) in enumerate((
-            (np.bincount(key, minlength=size), np.bincount(node, minlength=nodes + 1)),
-            (np.bincount(key, target[row], size), np.bincount(node, target, nodes + 1)))):
-        out[i, :-1] = by_cell.reshape(cells, -1)[:, :-1]
-        out[i, -1] = by_node[:-1]
+    negative node count nowhere. Some features at a time, whose numbers fit a core's cache."""
+    node = np.where(node < 0, nodes, node).astype(np.int64)
+    row, start = block["row"], block["start"]
+    out = np.empty((2, int(begin[-1]) + 1, nodes), np.int64)
+    edges = np.unique([0, *np.searchsorted(start, np.arange(CHUNK, start[-1], CHUNK)), len(start) - 1])
+    for f, g in zip(edges[:-1], edges[1:]):
+        part, cells = slice(start[f], start[g]), slice(begin[f], begin[g])
+        at = row[part]
+        key = (block["cell"][part] - begin[f]) * (nodes + 1)
+        key += node.take(at)
+        size = int(begin[g] - begin[f]) * (nodes + 1)
+        out[0, cells] = np.bincount(key, minlength=size).reshape(-1, nodes + 1)[:, :-1]
+        out[1, cells] = np.bincount(key, target.take(at), size).reshape(-1, nodes + 1)[:, :-1]
+    out[0, -1] = np.bincount(node, minlength=nodes + 1)[:-1]
+    out[1, -1] = np.bincount(node, target, nodes + 1)[:-1]
     return out.transpose(0, 2, 1)
 
 
@@ -293,7 +299,7 @@ def _level(state, growing: dict[int, Growing], level: int, turn: int, begin, zer
                 for k, tree in trees.items():
                     target = np.rint(residuals(block, k, turn == 0) * unit)
                     node = nodes_of(block, *tree, level, begin, zero) - first
-                    found = block_sums(block, target, node, nodes, cells)
+                    found = block_sums(block, target, node, nodes, begin)
                     if not together:
                         yield from sent(k, found)
                     elif k in held:
