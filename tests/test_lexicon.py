@@ -147,3 +147,26 @@ def test_large_table_maps_rows_that_are_equal(spark):
     assert "first(" not in plan  # whole documents aren't shuffled to find equal ones
     assert sorted(((r.id or 0), r.o) for r in out.collect()) == [
         (0, ["x"]), (1, ["x", "b"]), (1, ["x", "b"]), (2, ["b"]), (3, [])]
+
+
+def test_known_words_stay_off_the_driver(spark, monkeypatch, tmp_path):
+    """spell_correct over its bound: the table is joined, no side of a join is broadcast, hot words are salted alone."""
+    from corpuslens.plans import lexicon_q
+
+    texts = ["the the the cat sat"] * 6 + ["the cot saat xyzzyq", "", None, "the caat"]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]  # ids come twice
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r.doc_id, r.corrected, r.n_tokens) for r in lexicon_q.spell_correct(spark, str(tmp_path)).collect())
+    assert (3, "the sat", 2) in want or (3, "the cat sat", 3) in want
+    monkeypatch.setattr(lexicon_q, "DICT_MAX_BYTES", 0)
+    monkeypatch.setattr(L, "_map_in_place", lambda *a: (_ for _ in ()).throw(AssertionError("sent by the driver")))
+    out = lexicon_q.spell_correct(spark, str(tmp_path))
+    got = sorted((r.doc_id, r.corrected, r.n_tokens) for r in out.collect())
+    assert got == want
+    near = L.near_words(spark.createDataFrame([("cot",)], "token string"),
+                        spark.createDataFrame([("cat", 6)], "word string, freq long"))
+    assert near.count() == 1
+    for df in (out, near):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    d = spark.createDataFrame([("the", 5000), ("a", 2), ("b", 1)], "token string, freq long")
+    assert L.hot_tokens(d) == ["the"] and L.hot_tokens(d.limit(0)) == []
